@@ -193,7 +193,7 @@ def qcut(df: DataFrame, c: str, q: int, out: str = "bin", by: Sequence[str] = ()
     edges = quantile_edges(df, c, q, by, **kw)
     v = F.col(c).cast("double")
     if not by:
-        return df.withColumn(out, edge_bin(v, edges.scalar()))
+        return df.withColumn("__edges", edges.scalar()).withColumn(out, edge_bin(v, F.col("__edges"))).drop("__edges")
     return null_safe_join(df, edges, list(by)).withColumn(out, edge_bin(v, F.col("edges"))).drop("edges")
 
 

@@ -76,7 +76,7 @@ def attach(index: DataFrame, scans: DataFrame, cols: Sequence[str], lo: int, hi:
     s = first_scan(scans, cols).withColumnRenamed("scan_date", "__scan")
     gap = F.datediff("__scan", "visit_date")
     m = index.join(s.drop("scan_id"), KEY, "left").withColumn("__ok", gap.between(lo, hi))
-    return m.withColumns({f"{prefix}_{c}": F.when("__ok", F.col(c)) for c in cols}
+    return m.withColumns({f"{prefix}_{c}": F.when(F.col("__ok"), F.col(c)) for c in cols}
                          | {f"{prefix}_gap_days": F.when(F.col("__ok"), gap),
                             f"has_{prefix}": F.coalesce(F.col("__ok"), F.lit(False)).cast("int")}).drop("__scan", "__ok", *cols)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from visitframe.scaling import Timeline, hot_keys
 
 VISITS = """v AS (SELECT o_custkey AS entity_id, CAST(o_orderdate AS DATE) AS visit_date, o_orderkey AS visit_id,
- c_nationkey AS site, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS status, o_totalprice / 10000 AS score,
+ CAST(c_nationkey AS BIGINT) AS site, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS status, o_totalprice / 10000 AS score,
  o_orderstatus AS packet, c_mktsegment AS segment, c_acctbal AS acctbal
  FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
@@ -30,7 +30,7 @@ LABELLED = TIMED + """, lab AS (SELECT *, max(years) OVER (PARTITION BY entity_i
  CASE WHEN time_to_event <= 1 THEN 1 WHEN followup_after >= 1 THEN 0 END AS label FROM lab)"""
 
 SCANS = """s AS (SELECT o_custkey AS entity_id, CAST(l_shipdate AS DATE) AS scan_date,
- concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS scan_id, l_linenumber AS tracer,
+ concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS scan_id, CAST(l_linenumber AS BIGINT) AS tracer,
  l_returnflag <> 'R' AS qc, l_quantity AS measure, l_extendedprice AS measure2,
  CASE WHEN l_linestatus = 'F' THEN 'a' ELSE 'b' END AS source
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
@@ -42,7 +42,7 @@ PRED = """p AS (SELECT o_orderkey AS row_id, o_custkey AS entity_id, CAST(o_orde
  CAST(o_orderdate AS DATE) AS order_date
  FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
-FEATURES = """f AS (SELECT c_custkey AS entity_id, c_acctbal AS acctbal, c_nationkey AS site, c_mktsegment AS segment,
+FEATURES = """f AS (SELECT c_custkey AS entity_id, c_acctbal AS acctbal, CAST(c_nationkey AS BIGINT) AS site, c_mktsegment AS segment,
  count(o_orderkey) AS n_visits, avg(o_totalprice / 10000) AS mean_score,
  avg(CASE WHEN o_orderkey IS NOT NULL THEN CAST(o_orderstatus = 'F' AS INTEGER) END) AS share_f,
  avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 10000 END) AS score_f,

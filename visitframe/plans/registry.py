@@ -1,4 +1,4 @@
 """Loads every suite module and exposes the filled registries."""
 
-from visitframe.plans import suite_pit, suite_columns, suite_joins  # noqa: F401
+from visitframe.plans import suite_pit, suite_columns, suite_joins, suite_profile, suite_splits, suite_metrics  # noqa: F401
 from visitframe.plans.suite import ORACLES, QUERIES  # noqa: F401

@@ -145,7 +145,7 @@ def _(t):
 
 
 @query("b17_qcut", f"""WITH q AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [i / 10.0 FOR i IN range(0, 11)]))) AS e FROM lineitem)
- SELECT greatest(len(list_filter(e, x -> x < l_quantity)), 1)::BIGINT AS bin, count(*) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem, q GROUP BY 1""")
+ SELECT greatest(len([x FOR x IN e IF x < l_quantity]), 1)::BIGINT AS bin, count(*) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem, q GROUP BY 1""")
 def _(t):
     b = C.qcut(t.lineitem.select("l_quantity"), "l_quantity", 10)
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))

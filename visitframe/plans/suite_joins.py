@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from visitframe.operators import joins, pit
 from visitframe.plans.fixtures import LABELLED, SCANS, TIMED, VISITS
 from visitframe.plans.suite import query
-from visitframe.plans.suite_pit import EVENT, labelled, timed
+from visitframe.plans.suite_pit import event_now, labelled, timed
 
 FIRST_SCAN = SCANS + ", fs AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY scan_date, scan_id) = 1)"
 INDEX = VISITS + ", " + FIRST_SCAN + """, ix AS (SELECT fs.entity_id, scan_date, scan_id, measure,
@@ -125,7 +125,7 @@ def _(t):
  arg_min(measure, (scan_date, scan_id)) FILTER (WHERE qc) AS measure, arg_min(measure2, (scan_date, scan_id)) FILTER (WHERE tracer > 3) AS measure2
  FROM s GROUP BY 1""")
 def _(t):
-    s = t.scans().withColumns({"measure": F.when("qc", F.col("measure")), "measure2": F.when(F.col("tracer") > 3, F.col("measure2"))})
+    s = t.scans().withColumns({"measure": F.when(F.col("qc"), F.col("measure")), "measure2": F.when(F.col("tracer") > 3, F.col("measure2"))})
     return pit.first_known(s, ["measure", "measure2"], order=("scan_date", "scan_id"))
 
 
@@ -141,13 +141,13 @@ def _(t):
  WHEN bool_or(b.status = 1 AND b.years - a.years <= 1) THEN 1 WHEN max(b.years) - a.years >= 1 THEN 0 END AS BIGINT) AS label_recount
  FROM ev a LEFT JOIN ev b ON a.entity_id = b.entity_id AND b.rn > a.rn GROUP BY a.entity_id, a.visit_id, a.years""")
 def _(t):
-    return pit.label_recount(timed(t), EVENT, 1.0).select("entity_id", "visit_id", "label_recount")
+    return pit.label_recount(timed(t), event_now(), 1.0).select("entity_id", "visit_id", "label_recount")
 
 
 @query("c12_label_disagreements", f"""WITH {LABELLED} SELECT count(*) AS n_visits, CAST(0 AS BIGINT) AS n_wrong FROM ev""")
 def _(t):
     tl = labelled(t)
-    return pit.label_recount(tl, EVENT, 1.0).agg(
+    return pit.label_recount(tl, event_now(), 1.0).agg(
         F.count("*").alias("n_visits"), F.count_if(~F.col("label").eqNullSafe(F.col("label_recount"))).alias("n_wrong"))
 
 
@@ -158,7 +158,7 @@ CONFIRM = TIMED + """, fe AS (SELECT entity_id, min(years) AS t FROM tv WHERE st
 
 @query("c13_confirm_outcome", f"WITH {CONFIRM} SELECT outcome, count(*) AS n FROM co GROUP BY 1")
 def _(t):
-    return joins.confirm_outcome(timed(t), EVENT).groupBy("outcome").agg(F.count("*").alias("n"))
+    return joins.confirm_outcome(timed(t), event_now()).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query("c13_cohort_without_reverted", f"""WITH {CONFIRM}, lab AS{LABELLED.split(', lab AS', 1)[1]}
@@ -166,7 +166,7 @@ def _(t):
  AND NOT (label = 1 AND entity_id IN (SELECT entity_id FROM co WHERE outcome = 'reverted'))""")
 def _(t):
     first = labelled(t).df.where("eligible AND n_prior_visits = 0 AND label IS NOT NULL").select("entity_id", "label")
-    reverted = joins.confirm_outcome(timed(t), EVENT).where("outcome = 'reverted'").withColumn("reverted", F.lit(True))
+    reverted = joins.confirm_outcome(timed(t), event_now()).where("outcome = 'reverted'").withColumn("reverted", F.lit(True))
     kept = first.join(reverted, "entity_id", "left").where(~((F.col("label") == 1) & F.coalesce("reverted", F.lit(False))))
     return kept.agg(F.count("*").alias("n"), F.sum("label").alias("events"))
 

@@ -8,7 +8,9 @@ from visitframe.operators import pit
 from visitframe.plans.fixtures import LABELLED, SPARSE, TIMED, VISITS
 from visitframe.plans.suite import query
 
-EVENT = F.col("status") == 1
+def event_now():
+    return F.col("status") == 1
+
 KEYS = ["entity_id", "visit_date", "visit_id"]
 SPARSE_TIMED = SPARSE + """, st AS (SELECT *, date_diff('day', min(visit_date) OVER (PARTITION BY entity_id), visit_date) AS days,
  date_diff('day', min(visit_date) OVER (PARTITION BY entity_id), visit_date) / 365.25::DOUBLE AS years,
@@ -24,8 +26,8 @@ def timed(t, sparse=False):
 def labelled(t):
     """Visits with time, visit number, eligibility, survival pair and the one-year label."""
     tl = pit.visit_index(timed(t))
-    tl = pit.eligible(tl, [2, 3, 4, 5], EVENT)
-    tl = pit.next_event(tl, EVENT)
+    tl = pit.eligible(tl, [2, 3, 4, 5], event_now())
+    tl = pit.next_event(tl, event_now())
     return tl.with_columns({"label": pit.horizon_label(1.0)})
 
 
@@ -108,8 +110,7 @@ def _(t):
     return df.select("entity_id", "visit_id", *[pit.horizon_label(float(h)).alias(f"y_{h}y") for h in (1, 2, 3)])
 
 
-FUTURE = SPARSE_TIMED + """, fut AS (SELECT a.entity_id, a.visit_id, a.score, a.rn, a.years,
- max(b.score) AS max_future, max(b.years) - a.years AS fu
+FUTURE = SPARSE_TIMED + """, fut AS (SELECT a.entity_id, a.visit_id, a.score, a.rn, a.years, max(b.score) AS max_future
  FROM st a LEFT JOIN st b ON a.entity_id = b.entity_id AND b.rn > a.rn AND b.years - a.years <= 3 GROUP BY ALL)"""
 
 
@@ -122,13 +123,13 @@ def _(t):
  SELECT entity_id, visit_id, CAST(CASE WHEN score IS NOT NULL THEN CASE WHEN max_future - score >= 1 THEN 1
  WHEN followup >= 3 THEN 0 END END AS BIGINT) AS y_rise FROM fw""")
 def _(t):
-    tl = pit.max_future(pit.next_event(timed(t, True), EVENT), "score", 3.0)
+    tl = pit.max_future(pit.next_event(timed(t, True), event_now()), "score", 3.0)
     return tl.df.select("entity_id", "visit_id", pit.rise_label("score", "max_future", 1.0, 3.0).alias("y_rise"))
 
 
 @query("e11_eligible", f"WITH {LABELLED} SELECT entity_id, visit_id, eligible AND packet IN ('F', 'O') AS eligible FROM ev")
 def _(t):
-    tl = pit.eligible(t.timeline(), [2, 3, 4, 5], EVENT, F.col("packet").isin("F", "O"))
+    tl = pit.eligible(t.timeline(), [2, 3, 4, 5], event_now(), F.col("packet").isin("F", "O"))
     return tl.df.select("entity_id", "visit_id", "eligible")
 
 
@@ -226,8 +227,9 @@ def _(t):
 
 
 @query("e19_percentile_of_score", f"""WITH {VISITS}, q AS (SELECT quantile_cont(score, [i / 20.0 FOR i IN range(0, 21)]) AS edges FROM v)
- SELECT visit_id, CAST(len(list_filter(edges, x -> x < score)) * 5 AS BIGINT) AS percentile FROM v, q""")
+ SELECT visit_id, CAST(len([x FOR x IN edges IF x < score]) * 5 AS BIGINT) AS percentile FROM v, q""")
 def _(t):
     from visitframe.operators.profile import reference_vector
     v = t.visits()
-    return v.select("visit_id", pit.percentile_of(F.col("score"), reference_vector(v, "score").scalar()).alias("percentile"))
+    v = v.withColumn("edges", reference_vector(v, "score").scalar())
+    return v.select("visit_id", pit.percentile_of(F.col("score"), F.col("edges")).alias("percentile"))

@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitframe.session import stage
+
 HOT_ROWS = 2_000_000        # an entity above this many rows is scanned in chunks
 MAX_HOT_KEYS = 20_000       # the list of hot entities stays below this length
 CELLS_PER_TASK = 1_000_000  # distinct order values one prefix-sum task may hold
@@ -192,12 +194,13 @@ def bucket_edges(cells: DataFrame, order: str, cells_per_task: int) -> list[floa
     The edges only balance the work. They are read back once, as literals, so
     that every branch of the plan sees the same buckets.
     """
-    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    n, edges = cells.agg(F.count("*"), F.percentile_approx(F.col(order).cast("double"), probs, 10_000)).first()
-    if n <= cells_per_task or edges is None:
+    n = cells.count()
+    if n <= cells_per_task:
         return []
-    step = max(1, MAX_BUCKETS // min(MAX_BUCKETS, -(-n // cells_per_task)))
-    return sorted(set(edges[::step]))
+    k = min(MAX_BUCKETS, -(-n // cells_per_task) * 2)
+    probs = [i / k for i in range(1, k)]
+    edges = cells.agg(F.percentile_approx(F.col(order).cast("double"), probs, 10_000)).first()[0]
+    return sorted(set(edges or []))
 
 
 def _bucket(order: str, edges: list[float]) -> Column:
@@ -219,8 +222,11 @@ def prefix_sums(cells: DataFrame, by: Sequence[str], order: str, sums: Sequence[
 
     `cells` has one row per (by, order); pre-aggregate first. With `bounded` the
     caller states that a group cannot exceed one task (for example one row per
-    day), and the size check is left out.
+    day), and the size check is left out. Otherwise the cells are written once
+    to the shared folder, so their input is read a single time.
     """
+    if not bounded:
+        cells = stage(cells, "cells")
     edges = [] if bounded else bucket_edges(cells, order, cells_per_task or CELLS_PER_TASK)
     by = list(by)
     if not edges:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from visitframe.functions.rules import describe_item, first_sentences, percent_text
 from visitframe.functions.text import MIN_SIMILARITY, SCORE_DIGITS, dot, paragraph_array, passage_array, sentences, tokens, words
 from visitframe.operators.ranking import top_signed
-from visitframe.scaling import top_k
+from visitframe.scaling import broadcast_if_small, top_k
 from visitframe.session import stage
 
 K1, B = 1.5, 0.75
@@ -52,19 +52,24 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(qid, doc, bm25) for every passage sharing a word with the query.
 
-    Words outside the query batch are dropped before the counting shuffle.
+    The text is read and tokenised once. Words outside the query batch are
+    dropped before the counting shuffle; an empty word marks each passage, so
+    the number of passages and their mean length come from the same postings.
     """
-    q = query_terms(queries)
+    q = stage(query_terms(queries), "query-terms")
+    mark = docs.sparkSession.range(1).select(F.lit("").alias("term"))
     sized = docs.select(doc, tokens(text).alias("tk")).withColumn("length", F.size("tk"))
-    stats = sized.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("avg_len"))).scalar()
-    tf = (sized.select(doc, "length", F.explode("tk").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-          .groupBy(doc, "term", "length").agg(F.count("*").alias("tf")))
+    tf = (sized.select(doc, "length", F.explode(F.concat("tk", F.array(F.lit("")))).alias("term"))
+          .join(broadcast_if_small(q.select("term").distinct().unionByName(mark)), "term", "left_semi").groupBy(doc, "term", "length").agg(F.count("*").alias("tf")))
+    tf = stage(tf, "postings")
+    stats = tf.where("term = ''").agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("avg_len"))).scalar()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     terms = q.join(df, "term").withColumn("s", stats)
     idf = F.ln(F.lit(1.0) + (F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = terms.select("qid", "term", (F.col("weight") * idf).alias("w"), F.col("s.avg_len").alias("avg_len"))
     score = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
-    return tf.join(terms, "term").groupBy("qid", doc).agg(F.round(F.sum(score), SCORE_DIGITS).alias("bm25"))
+    # with the short side broadcast, a word found in most passages does not gather in one task
+    return tf.join(broadcast_if_small(terms), "term").groupBy("qid", doc).agg(F.round(F.sum(score), SCORE_DIGITS).alias("bm25"))
 
 
 # ---- dense scores --------------------------------------------------------------------------

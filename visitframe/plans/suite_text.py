@@ -9,7 +9,7 @@ from visitframe.operators import retrieval as R
 from visitframe.plans.fixtures import VISITS
 from visitframe.plans.suite import query
 from visitframe.plans.suite_splits import contributions
-from visitframe.session import scratch_path, stage
+from visitframe.session import scratch_path, spread, stage
 from visitframe.streaming import stream as S
 
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -25,12 +25,12 @@ def heading():
 
 @query("k1_paragraphs", f"WITH {PARAS} SELECT doc_id, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars, min(md5(t)) AS first_hash FROM para GROUP BY 1")
 def _(t):
-    p = R.paragraphs(t.documents, "text", heading(), ["doc_id"])
+    p = R.paragraphs(spread(t.documents), "text", heading(), ["doc_id"])
     return p.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min(F.md5("text")).alias("first_hash"))
 
 
 def doc_passages(t):
-    return R.passages(t.documents, "text", heading(), ["doc_id", "source"])
+    return R.passages(spread(t.documents), "text", heading(), ["doc_id", "source"])
 
 
 @query("k2_passages", None)
@@ -50,13 +50,13 @@ TOK = f"""tk AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-
 
 @query("k3_tokens", f"WITH {TOK} SELECT doc_id, len(tk) AS n_tokens, CAST(len(list_distinct(tk)) AS BIGINT) AS n_terms FROM tk")
 def _(t):
-    return t.documents.select("doc_id", F.size(X.tokens("text")).alias("n_tokens"), F.size(F.array_distinct(X.tokens("text"))).alias("n_terms"))
+    return spread(t.documents).select("doc_id", F.size(X.tokens("text")).alias("n_tokens"), F.size(F.array_distinct(X.tokens("text"))).alias("n_terms"))
 
 
 @query("k4_bm25_index", f"""WITH {TOK}, e AS (SELECT doc_id, len(tk) AS length, unnest(tk) AS term FROM tk), p AS (SELECT doc_id, term, length, count(*) AS tf FROM e GROUP BY ALL)
  SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(length) AS max_length FROM p GROUP BY 1""")
 def _(t):
-    return R.bm25_index(t.documents).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("length").alias("max_length"))
+    return R.bm25_index(spread(t.documents)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("length").alias("max_length"))
 
 
 BM = TOK + """, st AS (SELECT count(*) AS n, avg(len(tk)) AS avg_len FROM tk), pe AS (SELECT doc_id, len(tk) AS length, unnest(tk) AS term FROM tk),
@@ -71,7 +71,7 @@ def questions(t):
 
 @query("k5_bm25_scores", f"WITH {BM} SELECT qid, doc_id, bm25 FROM bm", "bm25")
 def _(t):
-    return R.bm25(t.documents, questions(t))
+    return R.bm25(spread(t.documents), questions(t))
 
 
 CENT = """em AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) t(i)), nd AS (SELECT vec_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM em),
@@ -108,7 +108,7 @@ HYB = BM + f""", dv AS {VEC('documents', 'doc_id')}, qv AS {VEC('(SELECT item_id
 
 def letter_docs(t):
     """The passage library with its vectors, written once like any index."""
-    return stage(t.documents.select("doc_id", "text", X.letter_vector("text").alias("vector")), "library")
+    return stage(spread(t.documents).select("doc_id", "text", X.letter_vector("text").alias("vector")), "library")
 
 
 def letter_queries(t):
@@ -213,7 +213,7 @@ def _(t):
 
 @query("k16_embed_text", None)
 def _(t):
-    docs, model = R.embed(t.documents.select("doc_id", "text"))
+    docs, model = R.embed(spread(t.documents).select("doc_id", "text"))
     q, _ = R.embed(questions(t), model=model)
     return R.dense_top(docs.select("doc_id", "vector"), q.select("qid", "vector"), 5)
 

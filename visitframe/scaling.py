@@ -25,6 +25,7 @@ HOT_ROWS = 2_000_000        # an entity above this many rows is scanned in chunk
 MAX_HOT_KEYS = 20_000       # the list of hot entities stays below this length
 CELLS_PER_TASK = 1_000_000  # distinct order values one prefix-sum task may hold
 MAX_BUCKETS = 1_000
+BROADCAST_ROWS = 200_000     # short rows only: a few tens of MB
 
 
 
@@ -39,6 +40,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in on])
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a side after counting it; beyond the bound the join shuffles as usual (with AQE skew handling)."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 # ---------------------------------------------------------------------------
 # Ordered scans per entity
 # ---------------------------------------------------------------------------

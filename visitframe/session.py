@@ -42,6 +42,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "visitframe", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def spread(scan):
+    """Share out a file scan over all cores when it has fewer splits than cores (a small or single-group file).
+
+    For scans only, before work that is heavy per row. A large table has more
+    splits than cores and is left as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def stage(df, name: str):
     """Write a table once to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)

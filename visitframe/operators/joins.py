@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitframe.operators.pit import first_row
-from visitframe.scaling import Run, Timeline, pick_row
+from visitframe.scaling import Run, Timeline, exact_quantiles, pick_row
 
 KEY = "entity_id"
 
@@ -120,5 +120,6 @@ def linkage_summary(scans: DataFrame, visits: DataFrame) -> DataFrame:
     s = first_scan(scans, ["source"])
     m = visits.select(KEY, "visit_date").join(s, KEY)
     gap = m.groupBy(KEY, "source").agg(F.min(F.abs(F.datediff("visit_date", "scan_date"))).alias("gap"))
-    return gap.groupBy("source").agg(F.count("*").alias("n"), *[F.count_if(F.col("gap") <= d).alias(f"within_{d}") for d in (90, 180, 365)],
-                                     F.min("gap").alias("min_gap"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"))
+    agg = gap.groupBy("source").agg(F.count("*").alias("n"), *[F.count_if(F.col("gap") <= d).alias(f"within_{d}") for d in (90, 180, 365)],
+                                    F.min("gap").alias("min_gap"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"))
+    return agg.join(exact_quantiles(gap, ["source"], "gap", {"p25_gap": 0.25, "median_gap": 0.5, "p75_gap": 0.75}), "source")

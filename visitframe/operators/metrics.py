@@ -189,14 +189,15 @@ def decision_curve(df: DataFrame, ts: Sequence[float] | None = None, by: Sequenc
     return _at_thresholds(df, ts, by).select(*by, "threshold", (tp / n - fp / n * odds).alias("model"), (prev - (1 - prev) * odds).alias("treat_all"))
 
 
-def subgroups(df: DataFrame, cols: Sequence[str], min_events: int = 15) -> DataFrame:
-    """Rates per subgroup level; AUROC only with enough events and non-events."""
-    long = unpivot(df, ["y", "p"], cols, "string", "subgroup", "level").where("level IS NOT NULL")
+def subgroups(df: DataFrame, cols: Sequence[str], min_events: int = 15, key: str | None = None, draws: int = 500) -> DataFrame:
+    """Rates per subgroup level; AUROC only with enough events and non-events, with its interval if a row key is given."""
+    long = unpivot(df, ["y", "p", *([key] if key else [])], cols, "string", "subgroup", "level").where("level IS NOT NULL")
     by = ["subgroup", "level"]
     base = long.groupBy(*by).agg(F.count("*").alias("n"), F.sum("y").alias("events"), F.avg("y").alias("observed"), F.avg("p").alias("predicted"))
-    a = auroc(long, by).select(*by, "auroc")
+    out = ["auroc", "auroc_lo", "auroc_hi"] if key else ["auroc"]
+    a = (bootstrap(long, by, key, draws) if key else auroc(long, by)).select(*by, *out)
     enough = (F.col("events") >= min_events) & (F.col("n") - F.col("events") >= min_events)
-    return base.join(a, by, "left").withColumn("auroc", F.when(enough, F.col("auroc")))
+    return base.join(a, by, "left").withColumns({c: F.when(enough, F.col(c)) for c in out})
 
 
 def check_gap(df: DataFrame, by: Sequence[str], min_n: int = 50, limit: float = 0.08) -> DataFrame:

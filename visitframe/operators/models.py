@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitframe.functions.columns import logit, sigmoid
-from visitframe.operators.metrics import auroc
+from visitframe.operators.metrics import auroc, ranking_metrics, score_cells
 from visitframe.operators.pit import percentile_of
+from visitframe.operators.profile import unpivot
 from visitframe.operators.splits import Prep, mask_groups, modality_dropout
+from visitframe.scaling import exact_quantiles
 from visitframe.session import stage
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -172,7 +174,6 @@ def compare_patterns(df: DataFrame, groups: dict[str, Sequence[str]], patterns:
     for name, avail in patterns.items():
         own = fit(df, [*always, *[f for g in avail for f in groups[g]]])
         out = out.unionByName(own(held.withColumn("pattern", F.lit(name))).select(*cols, F.lit("specialist").alias("model")))
-    from visitframe.operators.metrics import ranking_metrics, score_cells
     g = ["pattern", "model", "split"]
     return ranking_metrics(score_cells(out, g), g)
 
@@ -181,7 +182,8 @@ def compare_patterns(df: DataFrame, groups: dict[str, Sequence[str]], patterns:
 
 def fit_fusion(df: DataFrame, cols: Sequence[str], target: str = "y", c: float = 1.0) -> dict:
     """Small logistic model on the clinical log-odds, a few measures and their missing flags; constant columns are dropped."""
-    med = df.agg(*[F.percentile(F.col(x).cast("double"), 0.5).alias(x) for x in cols]).first().asDict()
+    known = {r["variable"]: r["m"] for r in exact_quantiles(unpivot(df, [], cols), ["variable"], "value", {"m": 0.5}).collect()}
+    med = {x: known.get(x, 0.0) for x in cols}
     d = df.withColumns(fusion_design(cols, med))
     names = ["clin_logit", *[n for x in cols for n in (f"d_{x}", f"{x}_missing")]]
     stats = d.agg(F.count("*").alias("n"), *[a for x in names for a in (F.avg(x).alias(f"m_{x}"), F.stddev_pop(x).alias(f"s_{x}"))]).first()
@@ -194,7 +196,7 @@ def fit_fusion(df: DataFrame, cols: Sequence[str], target: str = "y", c: float =
 
 
 def fusion_design(cols: Sequence[str], med: dict) -> dict[str, Column]:
-    return {n: e for x in cols for n, e in ((f"d_{x}", F.coalesce(F.col(x).cast("double"), F.lit(float(med[x] or 0.0)))),
+    return {n: e for x in cols for n, e in ((f"d_{x}", F.coalesce(F.col(x).cast("double"), F.lit(float(med[x])))),
                                             (f"{x}_missing", F.col(x).isNull().cast("double")))}
 
 

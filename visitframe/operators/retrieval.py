@@ -211,8 +211,8 @@ def bm25_top(docs: DataFrame, queries: DataFrame, scores: DataFrame, k: int, doc
     """The k best passages per query by keyword score; short lists are filled with unscored passages by id."""
     best = top_k(scores, ["qid"], [F.col("bm25").desc(), F.col(doc)], k).drop("rank")
     # the k smallest ids outside the list are enough to fill it, and 2k ids always contain them
-    low = docs.select(doc).orderBy(doc).limit(2 * k)
-    fill = queries.select("qid").withColumn("__k", F.lit(1)).join(low.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    low = [r[0] for r in docs.select(doc).orderBy(doc).limit(2 * k).collect()]
+    fill = queries.select("qid", F.explode(F.array(*[F.lit(i) for i in low])).alias(doc))
     fill = fill.join(best.select("qid", doc), ["qid", doc], "left_anti").withColumn("bm25", F.lit(0.0))
     return top_k(best.unionByName(fill.select(*best.columns)), ["qid"], [F.col("bm25").desc(), F.col(doc)], k)
 

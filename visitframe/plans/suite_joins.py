@@ -174,7 +174,8 @@ def _(t):
 @query("d29_linkage_summary", f"""WITH {VISITS}, {FIRST_SCAN}, g AS (SELECT fs.entity_id, source, min(abs(date_diff('day', scan_date, visit_date))) AS gap
  FROM fs JOIN v USING (entity_id) GROUP BY 1, 2)
  SELECT source, count(*) AS n, count(*) FILTER (WHERE gap <= 90) AS within_90, count(*) FILTER (WHERE gap <= 180) AS within_180,
- count(*) FILTER (WHERE gap <= 365) AS within_365, min(gap) AS min_gap, avg(gap) AS mean_gap, max(gap) AS max_gap FROM g GROUP BY 1""", "mean_gap")
+ count(*) FILTER (WHERE gap <= 365) AS within_365, min(gap) AS min_gap, avg(gap) AS mean_gap, max(gap) AS max_gap,
+ quantile_cont(gap, 0.25) AS p25_gap, quantile_cont(gap, 0.5) AS median_gap, quantile_cont(gap, 0.75) AS p75_gap FROM g GROUP BY 1""", "mean_gap p25_gap median_gap p75_gap")
 def _(t):
     return joins.linkage_summary(t.scans(), t.visits())
 
@@ -192,6 +193,7 @@ def _(t):
  count(*) FILTER (WHERE ix.i_status > 1 AND reached = 1) AS converted, count(*) FILTER (WHERE ix.i_status > 1 AND rise >= 1) AS rose
  FROM ix LEFT JOIN fe ON ix.grp = fe.grp AND ix.entity_id = fe.entity_id GROUP BY 1""")
 def _(t):
+    # here code 1 is the event, so the negated code rises with severity
     s, v = t.scans(), t.visits().withColumn("status", -F.col("status"))
     rows = None
     for name, part in [("a", s.where("source = 'a'")), ("b", s.where("source = 'b'")), ("any", s)]:

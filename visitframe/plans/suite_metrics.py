@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from visitframe.functions.columns import cut
-from visitframe.operators import joins, metrics, pit, splits
-from visitframe.plans.fixtures import PRED, TIMED, VISITS
+from visitframe.operators import joins, metrics
+from visitframe.plans.fixtures import LABELLED, PRED, VISITS
 from visitframe.plans.suite import query
 from visitframe.plans.suite_columns import FEATS, checked_entries
-from visitframe.plans.suite_pit import event_now, labelled, timed
+from visitframe.plans.suite_pit import labelled
+from visitframe.scaling import Run, Timeline, exact_quantiles
 
 AUC = """(sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))"""
 
@@ -103,6 +104,16 @@ def _(t):
     return metrics.subgroups(p, ["priority", "segment", "price"])
 
 
+@query("j9_subgroup_intervals", None, "observed predicted auroc auroc_lo auroc_hi")
+def _(t):
+    return metrics.subgroups(t.predictions(), ["priority", "segment"], key="row_id", draws=20)
+
+
+@query("j12_history_intervals", None, "auroc auprc brier auroc_lo auroc_hi auprc_lo auprc_hi brier_lo brier_hi")
+def _(t):
+    return metrics.bootstrap(with_history(t), ["history"], "row_id", draws=20)
+
+
 def survival_rows(t):
     first = labelled(t).df.where("visit_no = 1 AND event_time > 0")
     return first.select("entity_id", "segment", F.col("event_time").alias("time"), "event", F.col("acctbal").alias("risk"),
@@ -113,12 +124,7 @@ SURV = """sv AS (SELECT a.entity_id, segment, acctbal AS risk, CAST(site AS DOUB
 PAIR = """sum(CAST(a.risk > b.risk AS INT)) AS c, sum(CAST(a.risk = b.risk AS INT)) AS t, count(*) AS n FROM sv a JOIN sv b ON a.segment = b.segment AND a.event = 1 AND (b.time > a.time OR (b.time = a.time AND b.event = 0))"""
 
 
-def labelled_sql():
-    from visitframe.plans.fixtures import LABELLED
-    return LABELLED
-
-
-@query("j10_c_index", f"""WITH {labelled_sql()}, {SURV} SELECT segment, CAST(c AS BIGINT) AS concordant, CAST(t AS BIGINT) AS tied, n AS comparable, (c + t / 2.0) / n AS c_index FROM (SELECT a.segment, {PAIR} GROUP BY 1)""", "c_index")
+@query("j10_c_index", f"""WITH {LABELLED}, {SURV} SELECT segment, CAST(c AS BIGINT) AS concordant, CAST(t AS BIGINT) AS tied, n AS comparable, (c + t / 2.0) / n AS c_index FROM (SELECT a.segment, {PAIR} GROUP BY 1)""", "c_index")
 def _(t):
     return metrics.c_index(survival_rows(t), ["segment"])
 
@@ -128,7 +134,10 @@ def _(t):
     return metrics.c_index_gain(survival_rows(t), "entity_id", draws=20)
 
 
-REG = """rg AS (SELECT segment, y - 0.3 AS y, p * 2 - 1 AS p FROM p)"""
+def with_history(t):
+    """Predictions with the number of earlier visits in two strata."""
+    tl = Timeline(t.predictions(), "entity_id", "order_date", ("row_id",), hot=t.hot("orders", "o_custkey")).runs(prior=Run("count", F.lit(1), "before"))
+    return tl.df.withColumn("history", F.when(F.col("prior").between(2, 3), "2-3").when(F.col("prior") >= 4, "4+")).where(F.col("history").isNotNull())
 
 
 @query("j11_regression_metrics", f"""WITH {PRED}, rg AS (SELECT segment, (price - 250000) / 100000 AS y, p_ref * 2 - 1 AS p FROM p),
@@ -138,7 +147,6 @@ REG = """rg AS (SELECT segment, y - 0.3 AS y, p * 2 - 1 AS p FROM p)"""
  sqrt(avg((y - p) ^ 2)) AS rmse, sqrt(avg(y ^ 2)) AS rmse_no_change, 1 - sum((y - p) ^ 2) / (var_pop(y) * count(*)) AS r2, corr(ry, rp) AS spearman FROM k, m GROUP BY 1""",
        "mean_change share_le0 mae mae_no_change mae_train_median rmse rmse_no_change r2 spearman")
 def _(t):
-    from visitframe.scaling import exact_quantiles
     d = t.predictions().select("segment", ((F.col("price") - 250000) / 100000).alias("y"), (F.col("p_ref") * 2 - 1).alias("p"))
     return metrics.regression_metrics(d, ["segment"], train_median=exact_quantiles(d, [], "y", {"m": 0.5}).scalar())
 
@@ -147,10 +155,7 @@ def _(t):
  FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY order_date, row_id) - 1 AS prior FROM p)), k AS (SELECT * FROM h WHERE history IS NOT NULL), r AS ({ranked('k', 'history')})
  SELECT history, count(*) AS n, CAST(sum(y) AS BIGINT) AS events, {AUC} AS auroc FROM r GROUP BY 1""", "auroc")
 def _(t):
-    from visitframe.scaling import Run, Timeline
-    tl = Timeline(t.predictions(), "entity_id", "order_date", ("row_id",), hot=t.hot("orders", "o_custkey")).runs(prior=Run("count", F.lit(1), "before"))
-    h = tl.df.withColumn("history", F.when(F.col("prior").between(2, 3), "2-3").when(F.col("prior") >= 4, "4+")).where(F.col("history").isNotNull())
-    return metrics.auroc(h, ["history"])
+    return metrics.auroc(with_history(t), ["history"])
 
 
 SWEEP = VISITS + """, sw AS (SELECT visit_id, segment, k, 1 / (1 + exp(-(x / 20 + acctbal / 10000 - 2 - CASE WHEN x = 40 AND status = 5 THEN 1.5 ELSE 0 END))) AS p

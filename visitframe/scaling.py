@@ -297,9 +297,9 @@ def md5_key(*parts: Column | str, seed: str = "") -> Column:
 
 
 def rank_by_md5(df: DataFrame, by: Sequence[str], key: str, seed: str, out: str = "rk", total: str | None = None) -> DataFrame:
-    """0-based position of each row in md5 order within `by`, in 4,096 evenly filled buckets per group."""
+    """0-based position of each row in md5 order within `by`, in 65,536 evenly filled buckets per group."""
     by = list(by)
-    df = df.withColumn("__h", md5_key(key, seed=seed)).withColumn("__b", F.substring("__h", 1, 3))
+    df = df.withColumn("__h", md5_key(key, seed=seed)).withColumn("__b", F.substring("__h", 1, 4))
     keys = [*by, "__b"]
     totals = df.groupBy(*keys).agg(F.count("*").alias("__n"))
     g = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

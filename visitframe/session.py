@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -31,10 +32,12 @@ def local_session(cpus: int | str = 8, memory: str = "20g", shuffle_partitions:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder, a local one only if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="visitframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root or _own_dir()
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="visitframe-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitframe.functions.rules import id_guard
+from visitframe.operators.profile import COLUMNS_PER_PASS
+
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text; only an empty cell is null; broken bytes are replaced."""
@@ -16,9 +19,12 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
-    """Narrowest of bigint, double, date, string that fits every known value of each text column, in one pass."""
+    """Narrowest of bigint, double, date, string that fits every known value of each text column, 200 columns per pass."""
     fits = {"bigint": lambda c: c.try_cast("bigint"), "double": lambda c: c.try_cast("double"), "date": lambda c: c.try_cast("date")}
-    row = df.agg(*[F.count_if(F.col(c).isNotNull() & f(F.col(c)).isNull()).alias(f"{c}|{k}") for c in df.columns for k, f in fits.items()]).first()
+    row = {}
+    for i in range(0, len(df.columns), COLUMNS_PER_PASS):
+        part = df.columns[i:i + COLUMNS_PER_PASS]
+        row |= df.agg(*[F.count_if(F.col(c).isNotNull() & f(F.col(c)).isNull()).alias(f"{c}|{k}") for c in part for k, f in fits.items()]).first().asDict()
     return {c: next((k for k in fits if row[f"{c}|{k}"] == 0), "string") for c in df.columns}
 
 
@@ -53,7 +59,6 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 def write_report(df: DataFrame, path: str, id_pattern: str | None = None) -> None:
     """Aggregates as JSON lines; refuses to write text shaped like an identifier."""
-    from visitframe.functions.rules import id_guard
     (df if id_pattern is None else id_guard(df, id_pattern)).write.mode("overwrite").json(path)
 
 

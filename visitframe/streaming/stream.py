@@ -51,7 +51,8 @@ def features_stream(stream: DataFrame, high: float = 30.0) -> DataFrame:
 
     State holds the first day, the last position, the sticky flag, the last known
     value and five slope sums. A visit that arrives behind the position already
-    emitted would change later rows; it is passed through marked `late`.
+    emitted would change later rows; it is passed through marked `late`. One call
+    sees an entity's rows of one micro-batch, so the trigger bounds its memory.
     Input: entity_id, visit_date, visit_id, score.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

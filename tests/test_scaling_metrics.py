@@ -149,3 +149,31 @@ def test_shuffled_labels_give_chance(tables):
     p = tables.predictions().withColumn("p", F.col("y") * 1.0)
     assert metrics.auroc(p).first()["auroc"] == 1.0
     assert 0.4 < metrics.auroc(splits.shuffle_labels(p, "y", "s", "row_id").drop("y").withColumnRenamed("y_shuffled", "y")).first()["auroc"] < 0.6
+
+
+def test_group_tables_broadcast_only_within_the_bound(spark):
+    small, big = spark.range(10), spark.range(100)
+    plan = lambda right: spark.range(1000).join(right, "id")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan(scaling.small_side(small, "t", 50))
+    hinted = scaling.small_side(big, "t", 50)
+    assert "ResolvedHint" not in hinted._jdf.queryExecution().analyzed().toString()
+
+
+def test_similar_cell_falls_back_to_the_whole_group(spark):
+    from visitframe.operators.joins import similar_cell
+    cells = spark.createDataFrame([("old", "a", 10, 2), ("old", "b", 30, 3)], "grp string, status string, n long, events long")
+    rows = spark.createDataFrame([(1, "old", "a"), (2, "old", "z"), (3, "new", "a")], "id long, grp string, status string")
+    out = {r["id"]: (r["cell_found"], r["cell_n"], r["cell_events"]) for r in similar_cell(rows, cells, "grp", "status").collect()}
+    assert out == {1: (True, 10, 2), 2: (False, 40, 5), 3: (False, None, None)}
+
+
+def test_static_mean_uses_window_then_late_frames_then_all(spark):
+    from visitframe.operators.voxels import frames_to_use
+    rows = [("in", k, "PiB", float(m), 1.0) for k, m in enumerate([10, 50, 60, 80])]
+    rows += [("late", k, "PiB", float(m), 1.0) for k, m in enumerate(range(1, 41, 4))]
+    rows += [("few", k, "none", float(m), 1.0) for k, m in enumerate([1, 2, 3])]
+    used = frames_to_use(spark.createDataFrame(rows, "image_id string, frame int, tracer string, mid double, duration double"))
+    out = {}
+    for r in used.collect():
+        out.setdefault(r["image_id"], set()).add(r["frame"])
+    assert out["in"] == {1, 2} and out["few"] == {0, 1, 2} and out["late"] == {4, 5, 6, 7, 8, 9}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitframe.scaling import col, exact_quantiles, null_safe_join
+from visitframe.scaling import col, exact_quantiles, null_safe_join, small_side
 
 # First match wins, in this order (pattern, tracer, class).
 TRACER_PATTERNS = [
@@ -194,7 +194,7 @@ def qcut(df: DataFrame, c: str, q: int, out: str = "bin", by: Sequence[str] = ()
     v = F.col(c).cast("double")
     if not by:
         return df.withColumn("__edges", edges.scalar()).withColumn(out, edge_bin(v, F.col("__edges"))).drop("__edges")
-    return null_safe_join(df, edges, list(by)).withColumn(out, edge_bin(v, F.col("edges"))).drop("edges")
+    return null_safe_join(df, small_side(edges, "edges"), list(by)).withColumn(out, edge_bin(v, F.col("edges"))).drop("edges")
 
 
 # ---- probabilities ----------------------------------------------------------

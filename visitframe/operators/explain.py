@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from visitframe.functions.columns import edge_bin, quantile_edges
 from visitframe.operators.profile import weighted_corr
-from visitframe.scaling import top_k
+from visitframe.scaling import small_side
 
 
 def contributions(df: DataFrame, coefs: dict[str, float], keys: Sequence[str], raw: dict[str, str] | None = None) -> DataFrame:
@@ -76,7 +76,8 @@ def dependence(contrib: DataFrame, q: int = 8, few: int = 5, min_n: int = 20) ->
     known = contrib.where("value IS NOT NULL")
     distinct = known.groupBy("feature", "value").agg(F.lit(1).alias("one")).groupBy("feature").agg(F.sum("one").alias("n_values"))
     edges = quantile_edges(known, "value", q, ["feature"])
-    d = contrib.join(distinct, "feature", "left").join(edges, "feature", "left")
+    facts = distinct.join(edges, "feature")
+    d = contrib.join(small_side(facts, "dependence"), "feature", "left")
     b = F.when(F.col("value").isNull(), F.lit(-1.0)).when(F.col("n_values") <= few, F.col("value")).otherwise(edge_bin(F.col("value"), F.col("edges")).cast("double"))
     t = d.groupBy("feature", F.col("value").isNull().alias("missing"), b.alias("bin")).agg(
         F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.avg("contribution").alias("mean_contribution"))

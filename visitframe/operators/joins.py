@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitframe.operators.pit import first_row
-from visitframe.scaling import Run, Timeline, exact_quantiles, pick_row
+from visitframe.scaling import Run, Timeline, exact_quantiles, pick_row, small_side
 
 KEY = "entity_id"
 
@@ -94,7 +94,7 @@ def similar_cell(df: DataFrame, cells: DataFrame, group: str, status: str) -> Da
     """n, events and rate of the reference cell (group × status), or of the whole group if the cell is absent."""
     whole = cells.groupBy(group).agg(F.sum("n").alias("__gn"), F.sum("events").alias("__ge"))
     own = cells.select(group, status, F.col("n").alias("__cn"), F.col("events").alias("__ce"))
-    j = df.join(own, [group, status], "left").join(whole, group, "left")
+    j = df.join(small_side(own, "cells"), [group, status], "left").join(small_side(whole, "cell-groups"), group, "left")
     n, e = F.coalesce("__cn", "__gn"), F.coalesce("__ce", "__ge")
     return j.withColumns({"cell_found": F.col("__cn").isNotNull(), "cell_n": n, "cell_events": e, "cell_rate": e / n}).drop(
         "__cn", "__ce", "__gn", "__ge")

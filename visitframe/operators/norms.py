@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from visitframe.functions.columns import clip, row_mean
 from visitframe.operators.profile import unpivot
+from visitframe.scaling import small_side
 
 
 def fit_norms(df: DataFrame, tests: Sequence[str], covs: Sequence[str], where: Column | None = None) -> DataFrame:
@@ -73,5 +74,5 @@ def fit_group_z(df: DataFrame, group: str, cols: Sequence[str], where: Column |
 
 
 def apply_group_z(df: DataFrame, params: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
-    j = df.join(params, group, "left").withColumns({f"{c}_z": F.try_divide(F.col(c) - F.col(f"mean_{c}"), F.col(f"sd_{c}")) for c in cols})
+    j = df.join(small_side(params, "group-z"), group, "left").withColumns({f"{c}_z": F.try_divide(F.col(c) - F.col(f"mean_{c}"), F.col(f"sd_{c}")) for c in cols})
     return j.drop(*[f"{p}_{c}" for c in cols for p in ("mean", "sd")])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitframe.operators.profile import unpivot
-from visitframe.scaling import exact_quantiles, md5_key, null_safe_join, rank_by_md5
+from visitframe.scaling import exact_quantiles, md5_key, null_safe_join, rank_by_md5, small_side
 
 SPLITS = ("train", "val", "test", "external")
 
@@ -22,7 +22,7 @@ def holdout_sites(first: DataFrame, frac: float, seed: str, site: str = "site")
 def stratified_split(first: DataFrame, strata: str, seed: str, key: str = "entity_id", site: str = "site", frac_external: float = 0.2) -> DataFrame:
     """(entity, site, split): whole sites to `external`, the rest 70/15/15 within each stratum."""
     ext = holdout_sites(first, frac_external, seed, site).withColumn("__ext", F.lit(True))
-    d = null_safe_join(first.select(key, site, F.coalesce(F.col(strata), F.lit(0)).alias("stratum")), ext, [site])
+    d = null_safe_join(first.select(key, site, F.coalesce(F.col(strata), F.lit(0)).alias("stratum")), small_side(ext, "external-sites"), [site])
     d = d.withColumn("__rest", F.col("__ext").isNull())
     d = rank_by_md5(d, ["__rest", "stratum"], key, seed, "rk", total="n")
     split = (F.when(~F.col("__rest"), "external").when(F.col("rk") < F.floor(F.col("n") * 0.70), "train")
@@ -46,7 +46,7 @@ def kfold(df: DataFrame, label: str, group: str, k: int, seed: str, key: str, mi
     """Fold numbers balanced within label × group; combinations below `min_size` fall back to the label."""
     full = F.concat_ws("_", F.col(label).cast("string"), F.col(group).cast("string"))
     size = df.groupBy(label, group).agg(F.count("*").alias("__k"))
-    d = null_safe_join(df, size, [label, group])
+    d = null_safe_join(df, small_side(size, "stratum-sizes"), [label, group])
     d = d.withColumn("stratum", F.when(F.col("__k") >= min_size, full).otherwise(F.col(label).cast("string"))).drop("__k")
     return rank_by_md5(d, ["stratum"], key, seed, "rk").withColumn("fold", F.col("rk") % k).drop("rk")
 

@@ -45,6 +45,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def small_side(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A fitted table (one row per group) for a join to rows: written once, counted, broadcast within the bound.
+
+    Joining on a few group values by shuffle would send all rows of a group to one task.
+    """
+    return broadcast_if_small(stage(df, name), max_rows)
+
+
 # ---------------------------------------------------------------------------
 # Ordered scans per entity
 # ---------------------------------------------------------------------------

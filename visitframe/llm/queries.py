@@ -54,3 +54,67 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from visitframe.llm.piece_codec import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op7_line_spread", r"""
+WITH cut AS (SELECT doc_id, source, string_split(text, chr(10)) AS a FROM documents),
+lines AS (SELECT doc_id, source, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS raw FROM cut),
+trimmed AS (SELECT *, trim(regexp_replace(raw, '^[\t\r\f\v]+|[\t\r\f\v]+$', '', 'g')) AS line FROM lines),
+spread AS (SELECT line, min(doc_id) AS first_doc FROM trimmed WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 3),
+marked AS (SELECT t.*, s.line IS NOT NULL AND t.doc_id <> s.first_doc AS gone FROM trimmed t LEFT JOIN spread s USING (line))
+SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
+       CAST(count(*) FILTER (line <> '') AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed
+FROM marked GROUP BY doc_id
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from visitframe.llm.line_spread import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
+#: verdict and rule, as the contract of op1 names them
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+OP1_SQL = r"""
+WITH cut AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+rules(verdict, pattern) AS (VALUES {rules}),
+fit AS (SELECT c.*, (SELECT arg_max(struct_pack(p := r.pattern, v := r.verdict), length(r.pattern)) FROM rules r
+    WHERE (c.host = split_part(r.pattern, '/', 1) OR suffix(c.host, '.' || split_part(r.pattern, '/', 1)))
+      AND starts_with(c.path, substr(r.pattern, length(split_part(r.pattern, '/', 1)) + 1))) AS f FROM cut c),
+known AS (SELECT doc_id AS page_id, avg(quality) AS outcome FROM labels GROUP BY doc_id),
+hosts AS (SELECT host, CAST(count(outcome) AS DOUBLE) AS n, coalesce(sum(outcome), 0.0) AS good,
+    array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix
+  FROM cut LEFT JOIN known USING (page_id) GROUP BY host),
+g AS (SELECT (sum(good) + 0.5) / (sum(n) + 1) AS m FROM hosts),
+s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT m FROM g) AS m FROM hosts GROUP BY suffix),
+sw AS (SELECT sum(CASE WHEN n > 0 THEN n * (good / n - m) ** 2 - m * (1 - m) END) / nullif(sum(CASE WHEN n > 0 THEN (n - 1) * m * (1 - m) END), 0) AS rho FROM s0),
+s1 AS (SELECT suffix, (w * m + good) / (w + n) AS m FROM s0, (SELECT CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 10000) ELSE 10000 END AS w FROM sw)),
+d0 AS (SELECT h.domain, any_value(s1.m) AS m, sum(h.n) AS n, sum(h.good) AS good FROM hosts h JOIN s1 USING (suffix) GROUP BY h.domain),
+dw AS (SELECT sum(CASE WHEN n > 0 THEN n * (good / n - m) ** 2 - m * (1 - m) END) / nullif(sum(CASE WHEN n > 0 THEN (n - 1) * m * (1 - m) END), 0) AS rho FROM d0),
+d1 AS (SELECT domain, (w * m + good) / (w + n) AS m FROM d0, (SELECT CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 10000) ELSE 10000 END AS w FROM dw)),
+h0 AS (SELECT h.host, h.n, h.good, d1.m FROM hosts h JOIN d1 USING (domain)),
+hw AS (SELECT sum(CASE WHEN n > 0 THEN n * (good / n - m) ** 2 - m * (1 - m) END) / nullif(sum(CASE WHEN n > 0 THEN (n - 1) * m * (1 - m) END), 0) AS rho FROM h0),
+h1 AS (SELECT host, w * m + good AS a, w * (1 - m) + n - good AS b FROM h0, (SELECT CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 10000) ELSE 10000 END AS w FROM hw))
+SELECT page_id, f.host, f.path, f.f.p AS rule,
+  coalesce(f.f.v, CASE WHEN least(a / (a + b) + 1.96 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 1.0) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM fit f JOIN h1 USING (host)
+""".replace("{rules}", ", ".join(str(r) for r in URL_RULES))
+
+
+@query("op1_host_reputation", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page outcomes are the quality labels that carry the page's number."""
+    from visitframe.llm.host_reputation import Rule, judge_urls
+
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("outcome"))
+    judged = judge_urls(table(spark, sf_dir, "pages"), labels, [Rule(*r) for r in URL_RULES])
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op4_pu_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from visitframe.llm.pu_quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -118,3 +118,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from visitframe.llm.pu_quality import score_quality
 
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_weak_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from visitframe.llm.weak_pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))

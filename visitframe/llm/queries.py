@@ -135,3 +135,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                   F.lit("</s>[INST] ok [/INST]").alias("text"))
     return format_digests(given.unionByName(added))
+
+
+@query("op6_prefix_hash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from visitframe.llm.prefix_hash import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))

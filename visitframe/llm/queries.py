@@ -142,3 +142,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from visitframe.llm.prefix_hash import fingerprint_documents
 
     return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_maxent_lm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from visitframe.llm.maxent_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))

@@ -167,7 +167,7 @@ def by_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     The last range's guest is the first row of all. The driver reads one id per range.
     """
     edges = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else None
-    splits = [float("-inf"), *sorted(set(edges or [])), float("inf")]
+    splits = [float("-inf"), *sorted(set(edges or [0.0])), float("inf")]
     docs = Bucketizer(splits=splits, inputCol="__id", outputCol="__b").transform(docs.withColumn("__id", F.col("doc_id").cast("double")))
     docs = docs.select("doc_id", "text", (F.lit(len(splits)) - F.col("__b")).cast("int").alias("b"))
     tops = [tuple(r) for r in docs.groupBy("b").agg(F.max("doc_id").alias("top")).orderBy("b").collect()]

@@ -113,7 +113,7 @@ def test_hot_keys_are_found_and_null_keys_form_one_group(spark):
     rows = [(None if i % 2 else i, D(i), i, 1, float(i)) for i in range(40)]
     df = spark.createDataFrame(rows, "entity_id long, visit_date date, visit_id long, status int, score double")
     from visitframe.scaling import hot_keys
-    assert hot_keys(df, "entity_id", 5) == [None]
+    assert [r[0] for r in hot_keys(df, "entity_id", 5).collect()] == [None]
     out = by_visit(all_runs(Timeline(df, hot=[None])).df, *FULL)
     assert rounded(out) == rounded(by_visit(all_runs(Timeline(df, hot=[])).df, *FULL))
 

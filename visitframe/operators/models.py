@@ -21,7 +21,7 @@ from visitframe.operators.metrics import auroc, ranking_metrics, score_cells
 from visitframe.operators.pit import percentile_of
 from visitframe.operators.profile import unpivot
 from visitframe.operators.splits import Prep, mask_groups, modality_dropout
-from visitframe.scaling import exact_quantiles
+from visitframe.scaling import exact_quantiles, null_safe_join
 from visitframe.session import stage
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -132,29 +132,29 @@ def ablation_sets(groups: dict[str, Sequence[str]], early: Sequence[str] = (), p
 
 
 def ablate(df: DataFrame, sets: dict[str, Sequence[str]], fit: Callable[[DataFrame, Sequence[str]], Scorer], by: Sequence[str] = ("split",),
-           seeds: Sequence[int] = (0,)) -> DataFrame:
-    """AUROC of every feature set on the held-out rows, and its distance from `all`."""
+           seeds: Sequence[int] = (0,), key: str = "entity_id") -> DataFrame:
+    """AUROC of every feature set on the held-out rows, and its distance from `all`. `key` names a row (a visit, if entities have several)."""
     df = stage(df, "ablation")
     held = df.where("split IN ('test', 'external')")
     out = None
     for name, feats in sets.items():
         runs = None
         for seed in seeds:
-            one = fit(df, feats, seed=seed)(held).select("entity_id", *by, "y", F.lit(name).alias("features"), F.lit(seed).alias("seed"), "p")
+            one = fit(df, feats, seed=seed)(held).select(key, *by, "y", F.lit(name).alias("features"), F.lit(seed).alias("seed"), "p")
             runs = one if runs is None else runs.unionByName(one)
-        mean = runs.groupBy("features", "entity_id", *by, "y").agg(F.avg("p").alias("p"))
+        mean = runs.groupBy("features", key, *by, "y").agg(F.avg("p").alias("p"))
         out = mean if out is None else out.unionByName(mean)
     a = auroc(out, ["features", *by])
     ref = a.where("features = 'all'").select(*by, F.col("auroc").alias("ref"))
-    return a.join(ref, list(by), "left").withColumn("delta_from_all", F.col("auroc") - F.col("ref")).drop("ref")
+    return null_safe_join(a, ref, by).withColumn("delta_from_all", F.col("auroc") - F.col("ref")).drop("ref")
 
 
-def by_group(df: DataFrame, sets: dict[str, Sequence[str]], fit, group: str) -> DataFrame:
+def by_group(df: DataFrame, sets: dict[str, Sequence[str]], fit, group: str, key: str = "entity_id") -> DataFrame:
     """Feature sets scored inside each baseline group: one model for everyone, and models trained inside the group."""
     df = stage(df, "by-group")
-    overall = ablate(df, sets, fit, by=("split", group)).withColumn("trained_on", F.lit("all"))
+    overall = ablate(df, sets, fit, by=("split", group), key=key).withColumn("trained_on", F.lit("all"))
     for (level,) in df.select(group).distinct().orderBy(group).collect():
-        own = ablate(df.where(F.col(group) == level), sets, fit, by=("split", group)).withColumn("trained_on", F.lit("own group"))
+        own = ablate(df.where(F.col(group).eqNullSafe(F.lit(level))), sets, fit, by=("split", group), key=key).withColumn("trained_on", F.lit("own group"))
         overall = overall.unionByName(own)
     return overall
 

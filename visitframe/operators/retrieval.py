@@ -9,6 +9,7 @@ never exist as rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -74,8 +75,18 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "
 
 # ---- dense scores --------------------------------------------------------------------------
 
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in blocks that the driver and each task can hold, each run by itself; about half full on average."""
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        return [queries]
+    k = -(-2 * n // MAX_QUERIES)
+    dealt = stage(queries.withColumn("__block", F.pmod(F.xxhash64("qid"), F.lit(k))), "query-blocks")
+    return [dealt.where(F.col("__block") == i).drop("__block") for i in range(k)]
+
+
 def query_matrix(queries: DataFrame, vector: str) -> tuple[list, np.ndarray]:
-    """The query batch on the driver, refused beyond its bound; longer lists are run in several batches."""
+    """One block of queries on the driver, refused beyond its bound."""
     rows = queries.select("qid", vector).orderBy("qid").limit(MAX_QUERIES + 1).collect()
     if len(rows) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries in one batch")
@@ -94,19 +105,27 @@ def _scores(pdf: pd.DataFrame, vector: str, q: np.ndarray) -> np.ndarray:
 def dense_top(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", vector: str = "vector") -> DataFrame:
     """(qid, doc, similarity, rank): the k most similar passages per query, exact.
 
-    A task scores a batch of passages against all queries and passes on the best
-    k per query and batch; the final ranking sees only those.
+    A task scores its passages against a block of queries and passes on the best
+    k per query once, at its end; the final ranking sees only those.
     """
+    return reduce(DataFrame.unionByName, [_dense_top(docs, block, k, doc, vector) for block in query_blocks(queries)])
+
+
+def _dense_top(docs: DataFrame, queries: DataFrame, k: int, doc: str, vector: str) -> DataFrame:
     ids, q = query_matrix(queries, vector)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list = [None] * len(ids)
         for pdf in batches:
             s, d = _scores(pdf, vector, q), pdf[doc].to_numpy()
-            parts = []
-            for j, qid in enumerate(ids):
-                best = np.lexsort((d, -s[:, j]))[:k]
-                parts.append(pd.DataFrame({"qid": qid, doc: d[best], "similarity": s[best, j]}))
-            yield pd.concat(parts)
+            for j in range(len(ids)):
+                old_s, old_d = kept[j] or (s[:0, j], d[:0])
+                both_s, both_d = np.concatenate([old_s, s[:, j]]), np.concatenate([old_d, d])
+                best = np.lexsort((both_d, -both_s))[:k]
+                kept[j] = (both_s[best], both_d[best])
+        for qid, best in zip(ids, kept):
+            if best is not None:
+                yield pd.DataFrame({"qid": qid, doc: best[1], "similarity": best[0]})
 
     dtype = docs.schema[doc].dataType.simpleString()
     qtype = queries.schema["qid"].dataType.simpleString()
@@ -222,8 +241,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 5, mode: str = "hybrid"
 
     Fusion needs ranks among all passages. A passage outside the first 2k + 60 of
     both lists scores below every one of the k best dense passages, so only the
-    union of those two short lists can win; their exact ranks are counted.
+    union of those two short lists can win; their exact ranks are counted. Queries
+    are run in blocks, so their number has no limit.
     """
+    return reduce(DataFrame.unionByName, [_search(docs, block, k, mode, doc, vector) for block in query_blocks(queries)])
+
+
+def _search(docs: DataFrame, queries: DataFrame, k: int, mode: str, doc: str, vector: str) -> DataFrame:
     if mode == "dense":
         return dense_top(docs, queries, k, doc, vector).select("qid", "rank", doc, F.col("similarity").alias("score"))
     scores = stage(bm25(docs, queries, doc), "bm25")

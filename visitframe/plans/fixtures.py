@@ -60,10 +60,8 @@ ENTRIES = """e AS (SELECT event_id, user_id, ts, event_type, value, CAST(json_ex
 class Tables:
     """The given tables of one folder, and the views over them."""
 
-    _hot: dict[tuple[str, str, str, str], list] = {}
-
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, str(sf_dir).rstrip("/")
+        self.spark, self.dir, self._hot = spark, str(sf_dir).rstrip("/"), {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Tables":
@@ -74,12 +72,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def hot(self, table: str, key: str) -> list:
-        """Hot keys of a table, measured once per session like any other table statistic."""
-        at = (self.spark.sparkContext.applicationId, self.dir, table, key)
-        if at not in self._hot:
-            self._hot[at] = hot_keys(getattr(self, table), key)
-        return self._hot[at]
+    def hot(self, table: str, key: str) -> DataFrame:
+        """Hot keys of a table, counted for this set of tables once."""
+        if (table, key) not in self._hot:
+            self._hot[table, key] = hot_keys(getattr(self, table), key)
+        return self._hot[table, key]
 
     # ---- visits -----------------------------------------------------------
     def visits(self) -> DataFrame:

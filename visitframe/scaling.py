@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from visitframe.session import stage
 
 HOT_ROWS = 2_000_000        # an entity above this many rows is scanned in chunks
-MAX_HOT_KEYS = 20_000       # the list of hot entities stays below this length
 CELLS_PER_TASK = 1_000_000  # distinct order values one prefix-sum task may hold
 MAX_BUCKETS = 1_000
 BROADCAST_ROWS = 200_000     # short rows only: a few tens of MB
@@ -71,17 +70,11 @@ class Run:
     side: str = "upto"
 
 
-def hot_keys(df: DataFrame, key: str, limit: int | None = None) -> list:
-    """Keys with more rows than one task should hold. Raising the limit with the table keeps the list short."""
+def hot_keys(df: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Table of the keys with more rows than one task should hold, written once; there are at most rows / limit."""
     limit = HOT_ROWS if limit is None else limit
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    big = counts.where(F.col("n") > limit)
-    while True:
-        found = big.limit(MAX_HOT_KEYS + 1).collect()
-        if len(found) <= MAX_HOT_KEYS:
-            return [r[0] for r in found]
-        limit *= 10
-        big = counts.where(F.col("n") > limit)
+    return stage(counts.where(F.col("n") > limit).select(key), "hot-keys")
 
 
 class Timeline:
@@ -95,21 +88,36 @@ class Timeline:
     def __init__(self, df: DataFrame, key: str = "entity_id", time: str = "visit_date",
                  tie: Sequence[str] = ("visit_id",), hot: Iterable | None = None, chunk: Column | None = None):
         self.df, self.key, self.time, self.tie = df, key, time, tuple(tie)
-        self._hot = None if hot is None else list(hot)
+        self._hot = hot if hot is None or isinstance(hot, DataFrame) else self._listed(list(hot))
+        self._any: bool | None = None
         self.chunk = F.to_date(F.col(time)) if chunk is None else chunk
 
     @property
     def order(self) -> list[str]:
         return [self.time, *self.tie]
 
+    def _listed(self, keys: list) -> DataFrame:
+        kind = self.df.schema[self.key].dataType.simpleString()
+        return self.df.sparkSession.createDataFrame([(k,) for k in keys], f"`{self.key}` {kind}")
+
     @property
-    def hot(self) -> list:
+    def marks(self) -> DataFrame:
+        """Table of the hot entities."""
         if self._hot is None:
             self._hot = hot_keys(self.df, self.key)
         return self._hot
 
+    @property
+    def hot(self) -> bool:
+        """Whether any entity is hot; looked up once for a chain of calls."""
+        if self._any is None:
+            self._any = not self.marks.isEmpty()
+        return self._any
+
     def on(self, df: DataFrame) -> "Timeline":
-        return Timeline(df, self.key, self.time, self.tie, self._hot, self.chunk)
+        out = Timeline(df, self.key, self.time, self.tie, self._hot, self.chunk)
+        out._any = self._any
+        return out
 
     def with_columns(self, cols: dict[str, Column]) -> "Timeline":
         return self.on(self.df.withColumns(cols))
@@ -142,15 +150,14 @@ class Timeline:
 
     def marked(self) -> DataFrame:
         """Rows with `__hot` and, for hot entities only, their `__chunk`."""
-        spark = self.df.sparkSession
-        key_type = self.df.schema[self.key].dataType
-        marks = spark.createDataFrame([(k, True) for k in self.hot],
-                                      f"{self.key} {key_type.simpleString()}, __hot boolean")
-        df = null_safe_join(self.df, marks, [self.key])
+        # the marks are broadcast within a bound, so that a hot entity is cut before any shuffle by entity
+        marks = self.marks.toDF(self.key).withColumn("__hot", F.lit(True))
+        df = null_safe_join(self.df, broadcast_if_small(marks), [self.key])
         return df.withColumn("__chunk", F.when(F.col("__hot"), self.chunk))
 
     def _chunked(self, runs: dict[str, Run], inputs: dict[str, Column]) -> DataFrame:
-        df = self.on(self.df.withColumns(inputs)).marked()
+        # written once: the totals and the rows read it, and a further call reads it and not the source again
+        df = stage(self.on(self.df.withColumns(inputs)).marked(), "timeline")
         pos = F.struct(*[F.col(c) for c in self.order])
 
         def total(name: str, r: Run) -> Column:

@@ -30,8 +30,10 @@ def local_session(cpus: int | str = 8, memory: str = "20g", shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder, a local one only if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach: the cluster's checkpoint folder. A local session may do without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return root or _own_dir()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -13,9 +14,13 @@ from visitframe.functions.rules import id_guard
 from visitframe.operators.profile import COLUMNS_PER_PASS
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text; only an empty cell is null; broken bytes are replaced."""
-    return spark.read.options(header=True, inferSchema=False, nullValue="", encoding="UTF-8", mode="PERMISSIVE").csv(path)
+def read_raw_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """Every column as text; only an empty cell is null; broken bytes are replaced; a quote inside a cell is doubled.
+
+    With `line_breaks` a quoted cell may hold them, and each file is read by one task. Turn it off for large files
+    without such cells: they are then split.
+    """
+    return spark.read.options(header=True, inferSchema=False, nullValue="", encoding="UTF-8", mode="PERMISSIVE", quote='"', escape='"', multiLine=line_breaks).csv(path)
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
@@ -65,7 +70,13 @@ def write_report(df: DataFrame, path: str, id_pattern: str | None = None) -> Non
 
 
 def read_params(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", False)
+    """JSON lines, or one document (an object or a list) per file with any line breaks; the first line tells which."""
+    first = spark.read.text(path).where("trim(value) <> ''").head(1)
+    try:
+        whole = not (first and isinstance(json.loads(first[0][0]), dict))
+    except ValueError:
+        whole = True
+    reader = spark.read.option("multiLine", whole)
     return (reader.schema(schema) if schema else reader).json(path)
 
 

@@ -6,14 +6,16 @@ exact and the ranking step sees distinct scores only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitframe.functions.columns import logit, qcut
 from visitframe.operators.profile import spearman, unpivot
-from visitframe.session import stage
+from visitframe.session import spread, stage
 from visitframe.scaling import md5_key, null_safe_join, prefix_sums, rank_by_md5
 
 
@@ -89,6 +91,26 @@ def resample(df: DataFrame, by: Sequence[str], key: str, draws: int, seed: str,
     return null_safe_join(counts, ranked.drop("__n"), [*by, "idx"], "inner").drop("idx")
 
 
+def resample_cells(cells: DataFrame, draws: int, seed: str) -> DataFrame:
+    """Cells (…, n) with a replicate number and a Poisson(n) weight: what n rows with Poisson(1) weights add up to.
+
+    The work is cells times draws, whatever the number of rows. A cell's draws depend on its own values and the seed.
+    """
+    names = [c for c in cells.columns if c != "n"]
+    marked = cells.withColumn("__h", F.xxhash64(*names, F.lit(seed)))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 200):
+                part = pdf.iloc[lo:lo + 200]
+                w = np.stack([np.random.default_rng(h & (2**63 - 1)).poisson(n, draws) for h, n in zip(part["__h"], part["n"])])
+                row, rep = np.nonzero(w)
+                yield part[names].iloc[row].assign(rep=(rep + 1).astype("int32"), w=w[row, rep])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields if f.name != "n")
+    return spread(marked).mapInPandas(draw, f"{schema}, rep int, w long")
+
+
 def bootstrap(df: DataFrame, by: Sequence[str], key: str, draws: int = 1000, seed: str = "boot", p_ref: str | None = None,
               method: str = "draws") -> DataFrame:
     """Point values and 95% intervals; one-class replicates are skipped.
@@ -99,7 +121,11 @@ def bootstrap(df: DataFrame, by: Sequence[str], key: str, draws: int = 1000, see
     cols = [*by, key, "y", "p", *([p_ref] if p_ref else [])]
     base = df.select(*cols).where("y IS NOT NULL AND p IS NOT NULL")
     # replicate 0 is the sample itself; both scores are ranked in the same pass
-    every = resample(base, by, key, draws, seed, method).unionByName(base.withColumns({"rep": F.lit(0), "w": F.lit(1).cast("long")}))
+    if method == "cells":
+        cells = stage(base.groupBy(*[c for c in cols if c != key]).agg(F.count("*").alias("n")), "bootstrap-cells")
+        every = resample_cells(cells, draws, seed).unionByName(cells.withColumn("rep", F.lit(0)).withColumnRenamed("n", "w"))
+    else:
+        every = resample(base, by, key, draws, seed, method).unionByName(base.withColumns({"rep": F.lit(0), "w": F.lit(1).cast("long")}))
     scores = {"p": "p", **({"ref": p_ref} if p_ref else {})}
     long = every.select(*by, "rep", "y", "w", F.inline(F.array(*[F.struct(F.lit(n).alias("score"), F.col(c).alias("__p")) for n, c in scores.items()])))
     group = [*by, "rep", "score"]
@@ -189,13 +215,13 @@ def decision_curve(df: DataFrame, ts: Sequence[float] | None = None, by: Sequenc
     return _at_thresholds(df, ts, by).select(*by, "threshold", (tp / n - fp / n * odds).alias("model"), (prev - (1 - prev) * odds).alias("treat_all"))
 
 
-def subgroups(df: DataFrame, cols: Sequence[str], min_events: int = 15, key: str | None = None, draws: int = 500) -> DataFrame:
+def subgroups(df: DataFrame, cols: Sequence[str], min_events: int = 15, key: str | None = None, draws: int = 500, method: str = "cells") -> DataFrame:
     """Rates per subgroup level; AUROC only with enough events and non-events, with its interval if a row key is given."""
     long = unpivot(df, ["y", "p", *([key] if key else [])], cols, "string", "subgroup", "level").where("level IS NOT NULL")
     by = ["subgroup", "level"]
     base = long.groupBy(*by).agg(F.count("*").alias("n"), F.sum("y").alias("events"), F.avg("y").alias("observed"), F.avg("p").alias("predicted"))
     out = ["auroc", "auroc_lo", "auroc_hi"] if key else ["auroc"]
-    a = (bootstrap(long, by, key, draws) if key else auroc(long, by)).select(*by, *out)
+    a = (bootstrap(long, by, key, draws, method=method) if key else auroc(long, by)).select(*by, *out)
     enough = (F.col("events") >= min_events) & (F.col("n") - F.col("events") >= min_events)
     return base.join(a, by, "left").withColumns({c: F.when(enough, F.col(c)) for c in out})
 
@@ -224,7 +250,7 @@ def concordance_counts(df: DataFrame, by: Sequence[str] = (), time: str = "time"
     rows = df.select(*by, F.col(time).alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).alias("r"), wt.alias("w")).dropna(subset=["t", "e", "r"])
     slots = rows.groupBy(*by, "t").agg(F.max("e").alias("has_e"), F.max(1 - F.col("e")).alias("has_c"))
     slots = prefix_sums(slots.withColumn("k", F.col("has_e") + F.col("has_c")), by, "t", ["k"], **kw)
-    slots = slots.select(*by, "t", "has_e", "k_before", F.max("k_total").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).alias("top"))
+    slots = slots.select(*by, "t", "has_e", "k_before", F.col("k_total").alias("top"))
     cells = rows.groupBy(*by, "t", "e", "r").agg(F.sum("w").alias("w"))
     cells = null_safe_join(cells, slots, [*by, "t"], "inner")
     slot = F.col("k_before") + F.when(F.col("e") == 1, 0).otherwise(F.col("has_e"))

@@ -68,7 +68,8 @@ def fit_logistic(df: DataFrame, features: Sequence[str], target: str = "y", grid
     return score
 
 
-def fit_forest(df: DataFrame, features: Sequence[str], target: str = "y", trees: int = 500, leaf: int = 10, depth: int = 10, seed: int = 0) -> Scorer:
+def fit_forest(df: DataFrame, features: Sequence[str], target: str = "y", trees: int = 500, leaf: int = 10, depth: int = 30, seed: int = 0) -> Scorer:
+    """Random forest; 30 levels are the most that the learner allows, so the leaf size ends the growth."""
     design = Design(df, features)
     m = RandomForestClassifier(featuresCol="x", labelCol=target, numTrees=trees, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", maxDepth=depth,
                                seed=seed).fit(design(df.where("split = 'train'")))

@@ -43,7 +43,7 @@ def _(t):
 
 
 BOOT = PRED + """, rk AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY md5(concat_ws('|', row_id, 'boot')), row_id) - 1 AS idx, count(*) OVER (PARTITION BY segment) AS n FROM p),
- dr AS (SELECT segment, b AS rep, ('0x' || substr(md5(concat_ws('|', segment, b, idx, 'boot')), 1, 15))::BIGINT % n AS idx FROM rk, range(1, 41) t(b)),
+ dr AS (SELECT segment, b AS rep, ('0x' || substr(md5(concat_ws('|', segment, b, idx, 'boot')), 1, 15))::BIGINT % n AS idx FROM rk, range(1, 1001) t(b)),
  sm AS (SELECT dr.rep, rk.segment, rk.y, rk.p, rk.p_ref FROM dr JOIN rk ON dr.segment = rk.segment AND dr.idx = rk.idx),
  a1 AS (SELECT segment, rep, AUCX AS auroc, avg((p - y) ^ 2) AS brier FROM (RANKP) GROUP BY 1, 2),
  a2 AS (SELECT segment, rep, AUCX AS ref FROM (RANKR) GROUP BY 1, 2),
@@ -61,12 +61,12 @@ BOOT = PRED + """, rk AS (SELECT *, row_number() OVER (PARTITION BY segment ORDE
  FROM pt JOIN pr USING (segment) JOIN bt USING (segment) GROUP BY ALL""",
        "auroc brier delta_auroc auroc_lo auroc_hi auprc_lo auprc_hi brier_lo brier_hi delta_auroc_lo delta_auroc_hi")
 def _(t):
-    return metrics.bootstrap(t.predictions(), ["segment"], "row_id", draws=40, p_ref="p_ref").drop("auprc")
+    return metrics.bootstrap(t.predictions(), ["segment"], "row_id", draws=1000, p_ref="p_ref").drop("auprc")
 
 
 @query("j4_bootstrap_poisson", None, "auroc auprc brier auroc_lo auroc_hi auprc_lo auprc_hi brier_lo brier_hi")
 def _(t):
-    return metrics.bootstrap(t.predictions(), ["segment"], "row_id", draws=40, method="poisson")
+    return metrics.bootstrap(t.predictions(), ["segment"], "row_id", draws=1000, method="cells")
 
 
 @query("j5_calibration_bins", f"""WITH {PRED}, q AS (SELECT list_sort(list_distinct(quantile_cont(p, [i / 10.0 FOR i IN range(0, 11)]))) AS e FROM p)
@@ -106,12 +106,12 @@ def _(t):
 
 @query("j9_subgroup_intervals", None, "observed predicted auroc auroc_lo auroc_hi")
 def _(t):
-    return metrics.subgroups(t.predictions(), ["priority", "segment"], key="row_id", draws=20)
+    return metrics.subgroups(t.predictions(), ["priority", "segment"], key="row_id", draws=500)
 
 
 @query("j12_history_intervals", None, "auroc auprc brier auroc_lo auroc_hi auprc_lo auprc_hi brier_lo brier_hi")
 def _(t):
-    return metrics.bootstrap(with_history(t), ["history"], "row_id", draws=20)
+    return metrics.bootstrap(with_history(t), ["history"], "row_id", draws=500, method="cells")
 
 
 def survival_rows(t):
@@ -131,7 +131,7 @@ def _(t):
 
 @query("j10_c_index_gain", None, "c_index c_index_ref gain gain_lo gain_hi")
 def _(t):
-    return metrics.c_index_gain(survival_rows(t), "entity_id", draws=20)
+    return metrics.c_index_gain(survival_rows(t), "entity_id", draws=200)
 
 
 def with_history(t):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from visitframe.operators import explain, metrics, models, splits, survival
@@ -28,9 +26,6 @@ def held_out(df, scorer):
     return metrics.ranking_metrics(metrics.score_cells(scorer(df.where("split IN ('test', 'external')")), ["split"]), ["split"])
 
 
-QUICK = {"logistic": partial(models.fit_logistic, grid=(0.1,)), "boosted": partial(models.fit_boosted, depths=(3,), rounds=10)}
-
-
 @query("i1_logistic", None, "auroc auprc brier")
 def _(t):
     df = model_table(t)
@@ -40,7 +35,7 @@ def _(t):
 @query("i2_random_forest", None, "auroc auprc brier")
 def _(t):
     df = model_table(t)
-    return held_out(df, models.fit_forest(df, FEATS, trees=30, depth=6))
+    return held_out(df, models.fit_forest(df, FEATS))
 
 
 @query("i3_boosted_trees", None, "auroc auprc brier")
@@ -52,7 +47,7 @@ def _(t):
 @query("i4_neural_network", None, "auroc auprc brier")
 def _(t):
     df = model_table(t)
-    return held_out(df, models.fit_mlp(df, FEATS, hidden=(16, 8), iterations=40))
+    return held_out(df, models.fit_mlp(df, FEATS))
 
 
 @query("i5_change_regression", None, "mae mae_no_change rmse r2 spearman")
@@ -84,7 +79,7 @@ def _(t):
 @query("i7_fit_fusion", None, "auroc auprc brier")
 def _(t):
     df = model_table(t)
-    clinical = QUICK["logistic"](df, ["acctbal", "n_visits"])
+    clinical = models.fit_logistic(df, ["acctbal", "n_visits"])
     scored = models.clinical_logit(clinical(df))
     params = models.fit_fusion(scored.where("split IN ('train', 'val')"), ["mean_score", "score_f"])
     fused = models.apply_fusion(scored.where("split IN ('test', 'external')"), params)
@@ -93,20 +88,20 @@ def _(t):
 
 @query("i9_group_ablation", None, "auroc delta_from_all")
 def _(t):
-    return models.ablate(model_table(t), models.ablation_sets(GROUPS, early=["money"]), QUICK["logistic"])
+    return models.ablate(model_table(t), models.ablation_sets(GROUPS, early=["money"]), models.fit_logistic)
 
 
 @query("i10_variants_by_group", None, "auroc delta_from_all")
 def _(t):
     sets = {"all": FEATS, "money only": GROUPS["money"]}
     df = model_table(t).withColumn("grp", F.when(F.col("n_visits") >= 10, "many visits").otherwise("few visits"))
-    return models.by_group(df, sets, QUICK["logistic"], "grp")
+    return models.by_group(df, sets, models.fit_logistic, "grp")
 
 
 @query("i11_missing_patterns", None, "auroc auprc brier")
 def _(t):
     optional = {"history": GROUPS["history"], "sparse": GROUPS["sparse"]}
-    return models.compare_patterns(model_table(t), optional, {"Everything": ["history", "sparse"], "No history": ["sparse"], "Money only": []}, GROUPS["money"], QUICK["logistic"])
+    return models.compare_patterns(model_table(t), optional, {"Everything": ["history", "sparse"], "No history": ["sparse"], "No sparse": ["history"], "Money only": []}, GROUPS["money"], models.fit_logistic)
 
 
 @query("i12_score_flags", f"""WITH {FEATURES}, x AS (SELECT entity_id, CASE WHEN acctbal > 2000 THEN acctbal END AS a, CASE WHEN segment <> 'BUILDING' THEN n_visits END AS n, score_f, 1 / (1 + exp(-(mean_score - 25) / 5)) AS p FROM f),
@@ -143,7 +138,7 @@ def _(t):
 @query("i13_fitted_contributions", None, "value contribution", digits=5)
 def _(t):
     df = model_table(t)
-    s = QUICK["logistic"](df, FEATS)
+    s = models.fit_logistic(df, FEATS)
     z = s.design.prep.transform(df)
     return explain.contributions(z, explain.linear_coefs(s), ["entity_id"]).groupBy("feature").agg(F.avg(F.abs("contribution")).alias("contribution"), F.avg("value").alias("value"))
 

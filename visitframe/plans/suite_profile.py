@@ -12,7 +12,7 @@ from visitframe.plans.suite_columns import CODED, coded
 from visitframe.plans.suite_joins import INDEX, index_visits
 from visitframe.plans.suite_pit import SPARSE_TIMED, event_now, labelled, timed
 
-LINE_COLS = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+LINE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 PROFILE_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS variable, count(*) AS n_rows, count(*) - count({c}) AS n_blank, count(*) FILTER (WHERE CAST({c} AS VARCHAR) IN ('0.0', '50.0', 'A')) AS n_coded FROM lineitem"
     for c in LINE_COLS)
@@ -81,10 +81,11 @@ def _(t):
 
 @query("d7_pivot_share", f"""WITH {SPARSE}, l AS (SELECT segment, unnest(['score', 'high']) AS variable, unnest([score IS NOT NULL, CASE WHEN score > 20 THEN 1 END IS NOT NULL]) AS k FROM sp)
  SELECT variable, avg(CAST(k AS INT)) FILTER (WHERE segment = 'AUTOMOBILE') AS AUTOMOBILE, avg(CAST(k AS INT)) FILTER (WHERE segment = 'BUILDING') AS BUILDING,
- avg(CAST(k AS INT)) FILTER (WHERE segment = 'MACHINERY') AS MACHINERY FROM l GROUP BY 1""", "AUTOMOBILE BUILDING MACHINERY")
+ avg(CAST(k AS INT)) FILTER (WHERE segment = 'FURNITURE') AS FURNITURE, avg(CAST(k AS INT)) FILTER (WHERE segment = 'HOUSEHOLD') AS HOUSEHOLD,
+ avg(CAST(k AS INT)) FILTER (WHERE segment = 'MACHINERY') AS MACHINERY FROM l GROUP BY 1""", "AUTOMOBILE BUILDING FURNITURE HOUSEHOLD MACHINERY")
 def _(t):
     v = t.sparse().withColumn("high", F.when(F.col("score") > 20, 1))
-    return profile.pivot_share(v, ["score", "high"], "segment", ["AUTOMOBILE", "BUILDING", "MACHINERY"])
+    return profile.pivot_share(v, ["score", "high"], "segment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
 
 
 CROSS = """coalesce(a, 'All') AS a, coalesce(b, 'All') AS b, count(*) AS n, 100.0 * count(*) / max(count(*)) OVER (PARTITION BY a) AS row_pct"""

@@ -100,13 +100,13 @@ def _(t):
     return u.groupBy("source", "tracer").agg(F.count("*").alias("n"))
 
 
-@query("a9_column_blocks", """WITH c AS (SELECT unnest(['l_quantity', 'l_tax', 'l_discount', 'l_returnflag', 'l_linestatus', 'l_shipdate']) AS variable, unnest([count(*) FILTER (WHERE l_quantity = 50),
-  count(*) FILTER (WHERE l_tax <= 0.06), count(*) FILTER (WHERE l_discount <= 0.05), 0, 0, 0]) / count(*) * 100 AS m FROM lineitem),
+@query("a9_column_blocks", """WITH c AS (SELECT unnest(['l_quantity', 'l_tax', 'l_discount', 'l_returnflag', 'l_linestatus', 'l_shipdate', 'l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_extendedprice']) AS variable, unnest([count(*) FILTER (WHERE l_quantity = 50),
+  count(*) FILTER (WHERE l_tax <= 0.06), count(*) FILTER (WHERE l_discount <= 0.05), 0, 0, 0, 0, 0, 0, 0, 0]) / count(*) * 100 AS m FROM lineitem),
  b AS (SELECT CASE WHEN starts_with(variable, 'l_line') THEN 'Line' WHEN starts_with(variable, 'l_s') THEN 'Ship' ELSE 'Other' END AS block, m FROM c)
  SELECT coalesce(block, 'Total') AS block, count(*) AS n_columns, count(*) FILTER (WHERE m <= 50) AS n_usable FROM b GROUP BY ROLLUP (block)""")
 def _(t):
     df = t.lineitem.select(F.when(F.col("l_quantity") != 50, F.col("l_quantity")).alias("l_quantity"), F.when(F.col("l_tax") > 0.06, F.col("l_tax")).alias("l_tax"),
-                           F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("l_discount"), "l_returnflag", "l_linestatus", "l_shipdate")
+                           F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("l_discount"), "l_returnflag", "l_linestatus", "l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     return io.column_blocks(profile.profile(df, []), {"l_line": "Line", "l_s": "Ship"}, F.col("missing_pct") <= 50)
 
 

@@ -214,3 +214,10 @@ def _(t):
     one = metrics.auroc(p, ["priority"]).select(F.col("priority").alias("name"), F.col("auroc").alias("value"))
     report = metrics.auroc(p.withColumn("p", F.col("p") * 2), ["priority"]).select(F.col("priority").alias("name"), F.col("auroc").alias("reported"))
     return one.join(report, "name").select("name", "value", (F.abs(F.col("value") - F.col("reported")) < 1e-9).alias("passed"))
+
+
+@query("h7_check_metrics_with_faults", f"""WITH {PRED}, k AS ({ranked('p', 'priority')}) SELECT priority AS name, {AUC} AS value, priority <> '1-URGENT' AS passed FROM k GROUP BY 1""", "value")
+def _(t):
+    one = metrics.auroc(t.predictions(), ["priority"]).select(F.col("priority").alias("name"), F.col("auroc").alias("value"))
+    report = one.select("name", (F.col("value") + F.when(F.col("name") == "1-URGENT", 0.01).otherwise(0.0)).alias("reported"))
+    return one.join(report, "name").select("name", "value", (F.abs(F.col("value") - F.col("reported")) < 1e-9).alias("passed"))

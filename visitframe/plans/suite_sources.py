@@ -61,10 +61,11 @@ def _(t):
     return io.read_params(t.spark, path, "segment string, n long, mean_score double")
 
 
-def folder_tree(t):
+def folder_tree(t, one_file: bool = False):
     path = scratch_path(t.spark, "folders")
     name = F.concat_ws("_", F.lit("SET"), F.col("l_returnflag"), F.concat(F.lit("I"), F.col("l_linenumber")))
-    t.lineitem.select(name.alias("folder"), "l_orderkey", "l_quantity").write.mode("overwrite").partitionBy("folder").parquet(path)
+    rows = t.lineitem.select(name.alias("folder"), "l_orderkey", "l_quantity")
+    (rows.repartition("folder") if one_file else rows).write.mode("overwrite").partitionBy("folder").parquet(path)
     return inventory.list_files(t.spark, path)
 
 
@@ -82,6 +83,25 @@ def _(t):
     return inventory.manifest_check(files, t.spark.read.parquet(manifest)).groupBy("passed").agg(F.count("*").alias("n"))
 
 
+@query("a6_folder_names", """SELECT DISTINCT concat('folder=SET_', l_returnflag, '_I', l_linenumber) AS folder, CAST(1 AS BIGINT) AS n_files, true AS filled, '.parquet' AS file_format, false AS has_zip_twin,
+ l_returnflag AS series, CAST(l_linenumber AS VARCHAR) AS image_id FROM lineitem""")
+def _(t):
+    inv = inventory.folder_inventory(folder_tree(t, one_file=True), r"^folder=SET_([A-Z])_I(\d+)$", ["series", "image_id"])
+    return inv.select("folder", "n_files", (F.col("bytes") > 0).alias("filled"), "file_format", "has_zip_twin", "series", "image_id")
+
+
+@query("a7_manifest_with_faults", """WITH f AS (SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem)
+ SELECT size_ok, time_ok, count(*) AS n FROM (SELECT l_linenumber NOT IN (1, 2, 3) AS size_ok, l_linenumber NOT IN (2, 3, 4) AS time_ok FROM f) GROUP BY 1, 2""")
+def _(t):
+    files = folder_tree(t, one_file=True)
+    image = F.regexp_extract("path", r"_I(\d+)/", 1).cast("int")
+    # image 1 has another size, 2 is new, 3 is gone, 4 was written later
+    then = (files.where(image != 2).withColumn("length", F.col("length") + (image == 1).cast("long"))
+            .withColumn("modificationTime", F.when(image == 4, F.col("modificationTime") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("modificationTime"))))
+    checked = inventory.manifest_check(files.where(image != 3), then)
+    return checked.groupBy("size_ok", "time_ok").agg(F.count("*").alias("n"))
+
+
 @query("a8_union_sources", f"""WITH {SCANS} SELECT source, year(scan_date) AS year, count(*) AS n, sum(measure) AS total, count(CASE WHEN tracer IN (1, 2, 3) THEN 1 END) AS n_tracer FROM s GROUP BY 1, 2""", "total")
 def _(t):
     s = t.scans()

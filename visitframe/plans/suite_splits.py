@@ -110,6 +110,15 @@ def _(t):
     return splits.check_splits(t.visits().join(s.select("entity_id", "split"), "entity_id"), s)
 
 
+@query("h3_check_splits_with_faults", f"""WITH {SPLIT} SELECT 'entity in one split' AS check_name, count(*) AS n_bad, count(*) = 0 AS passed FROM (SELECT entity_id FROM v WHERE visit_id % 5 = 0 INTERSECT SELECT entity_id FROM v WHERE visit_id % 5 <> 0)
+ UNION ALL SELECT 'external sites unseen', count(*), count(*) = 0 FROM (SELECT site FROM v WHERE visit_id % 5 = 0 INTERSECT SELECT site FROM v WHERE visit_id % 5 <> 0)
+ UNION ALL SELECT 'saved splits agree', count(*), count(*) = 0 FROM (SELECT entity_id, min(CASE WHEN visit_id % 5 = 0 THEN 'external' ELSE 'train' END) AS split FROM v GROUP BY 1) m
+  JOIN spl USING (entity_id) WHERE m.split <> spl.split""")
+def _(t):
+    mixed = t.visits().withColumn("split", F.when(F.col("visit_id") % 5 == 0, "external").otherwise("train"))
+    return splits.check_splits(mixed, split_of(t))
+
+
 @query("d36_split_table", f"""WITH {SPLIT} SELECT split, count(*) AS entities, count(DISTINCT site) AS sites, avg(CAST(stratum = 1 AS INT)) * 100 AS pct_1, avg(CAST(stratum = 2 AS INT)) * 100 AS pct_2,
  avg(CAST(stratum = 3 AS INT)) * 100 AS pct_3 FROM spl GROUP BY 1""", "pct_1 pct_2 pct_3")
 def _(t):
@@ -132,6 +141,21 @@ def _(t):
                                   ["ever_high", "carried", "slope_score", "delta_score", "years"])
 
 
+@query("h4_no_future_check_first_visit", f"""WITH {SPARSE_TIMED}, n AS (SELECT count(*) AS k FROM st WHERE rn = 1) SELECT unnest(['ever_high', 'carried', 'slope_score', 'delta_score', 'years']) AS variable, k AS n_compared, CAST(0 AS BIGINT) AS n_changed FROM n""")
+def _(t):
+    v = pit.visit_index(timed(t, True)).df
+    base = v.select("entity_id", "visit_date", "visit_id", "score", "visit_no")
+    return splits.check_no_future(base, lambda d: trajectory_features(d.drop("visit_no")), 1, ["ever_high", "carried", "slope_score", "delta_score", "years"])
+
+
+@query("h4_no_future_check_with_leak", f"""WITH {SPARSE_TIMED}, m AS (SELECT *, max(score) OVER (PARTITION BY entity_id) AS peak, max(score) OVER (PARTITION BY entity_id ORDER BY rn) AS peak_so_far FROM st)
+ SELECT 'peak' AS variable, count(*) AS n_compared, count(*) FILTER (WHERE peak IS DISTINCT FROM peak_so_far) AS n_changed FROM m WHERE rn = 3""")
+def _(t):
+    base = pit.visit_index(timed(t, True)).df.select("entity_id", "visit_date", "visit_id", "score", "visit_no")
+    peak = lambda d: d.join(d.groupBy("entity_id").agg(F.max("score").alias("peak")), "entity_id")
+    return splits.check_no_future(base, peak, 3, ["peak"])
+
+
 @query("h5_shuffled_labels", """WITH p AS (SELECT o_orderkey AS row_id, CAST(o_orderstatus = 'F' AS BIGINT) AS y FROM orders),
  a AS (SELECT row_id, row_number() OVER (ORDER BY md5(concat_ws('|', row_id, 's-rows')), row_id) AS rk FROM p), b AS (SELECT y, row_number() OVER (ORDER BY md5(concat_ws('|', row_id, 's-labels')), row_id) AS rk FROM p)
  SELECT row_id, y AS y_shuffled FROM a JOIN b USING (rk)""")
@@ -149,6 +173,14 @@ def _(t):
     return splits.check_counts(actual, report)
 
 
+@query("h6_check_counts_with_faults", """WITH c AS (SELECT o_orderpriority AS name, count(*) AS n FROM orders GROUP BY 1)
+ SELECT name, n, CASE WHEN name <> '1-URGENT' THEN n - CAST(name = '2-HIGH' AS BIGINT) END AS reported, name NOT IN ('1-URGENT', '2-HIGH') AS passed FROM c""")
+def _(t):
+    actual = t.orders.groupBy(F.col("o_orderpriority").alias("name")).agg(F.count("*").alias("n"))
+    report = actual.where("name <> '1-URGENT'").withColumn("n", F.col("n") - (F.col("name") == "2-HIGH").cast("long"))
+    return splits.check_counts(actual, report)
+
+
 @query("h8_kfold", """WITH g AS (SELECT o_orderkey AS row_id, CAST(o_orderstatus = 'F' AS INT) AS y, o_orderpriority AS grp, count(*) OVER (PARTITION BY o_orderstatus = 'F', o_orderpriority) AS k FROM orders),
  s AS (SELECT row_id, CASE WHEN k >= 990 THEN concat_ws('_', y, grp) ELSE CAST(y AS VARCHAR) END AS stratum FROM g)
  SELECT row_id, stratum, (row_number() OVER (PARTITION BY stratum ORDER BY md5(concat_ws('|', row_id, 'fold')), row_id) - 1) % 5 AS fold FROM s""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from visitframe.functions import text as X
 from visitframe.operators import retrieval as R
-from visitframe.plans.fixtures import VISITS
+from visitframe.plans.fixtures import SPARSE, VISITS
 from visitframe.plans.suite import query
 from visitframe.plans.suite_splits import contributions
 from visitframe.session import scratch_path, spread, stage
@@ -231,14 +231,24 @@ def _(t):
     return merged()[0]
 
 
-@query("l2_features_stream", None, "years carried delta_score slope_score", digits=5)
+L2_SQL = f"""WITH {SPARSE}, y AS (SELECT *, date_diff('day', min(visit_date) OVER (PARTITION BY entity_id), visit_date) / 365.25::DOUBLE AS years, CASE WHEN score IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS k FROM sp),
+ s AS (SELECT *, row_number() OVER w AS visit_no, max(CASE WHEN score IS NOT NULL THEN CAST(score > 30 AS BIGINT) END) OVER w AS ever_high, last_value(score IGNORE NULLS) OVER w AS carried,
+ last_value(score IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY visit_date, visit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior, sum(k) OVER w AS n, sum(k * years) OVER w AS sx,
+ sum(score) OVER w AS sy, sum(k * years * years) OVER w AS sxx, sum(years * score) OVER w AS sxy FROM y WINDOW w AS (PARTITION BY entity_id ORDER BY visit_date, visit_id ROWS UNBOUNDED PRECEDING))
+ SELECT entity_id, visit_date, visit_id, visit_no, years, ever_high, carried, score - prior AS delta_score,
+ CASE WHEN score IS NOT NULL AND n >= 2 AND n * sxx - sx * sx > 1e-9 THEN greatest(least((n * sxy - sx * sy) / (n * sxx - sx * sx), 10), -10) END AS slope_score, false AS late FROM s"""
+
+
+@query("l2_features_stream", L2_SQL, "years carried delta_score slope_score")
 def _(t):
+    """Visits arrive year by year; each run of the stream takes up where the last one ended."""
     v = t.sparse().select("entity_id", "visit_date", "visit_id", "score")
-    path, out = scratch_path(t.spark, "visits-in"), scratch_path(t.spark, "features-out")
-    for year in range(1995, 2002):
-        v.where(F.year("visit_date") == year).coalesce(1).write.mode("append").parquet(path)
-    arriving = t.spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
-    S.run_available(S.features_stream(arriving).writeStream.format("parquet").option("path", out).outputMode("append"), "features", t.spark)
+    path, out, offsets = (scratch_path(t.spark, f"features-{x}") for x in ("in", "out", "offsets"))
+    first, last = v.agg(F.year(F.min("visit_date")), F.year(F.max("visit_date"))).first()
+    for year in range(first, last + 1):
+        v.where(F.year("visit_date") == year).write.mode("append").parquet(path)
+        arriving = t.spark.readStream.schema(v.schema).parquet(path)
+        S.run_available(S.features_stream(arriving).writeStream.format("parquet").option("path", out).outputMode("append"), "features", t.spark, offsets)
     return t.spark.read.parquet(out)
 
 

@@ -14,9 +14,9 @@ from visitframe.operators.profile import profile, unpivot
 from visitframe.session import scratch_path
 
 
-def run_available(query_writer, name: str, spark) -> None:
-    """Run a stream over everything that has arrived, then stop."""
-    q = query_writer.option("checkpointLocation", scratch_path(spark, f"{name}-offsets")).trigger(availableNow=True).start()
+def run_available(query_writer, name: str, spark, offsets: str | None = None) -> None:
+    """Run a stream over everything that has arrived, then stop. A given `offsets` folder continues an earlier run."""
+    q = query_writer.option("checkpointLocation", offsets or scratch_path(spark, f"{name}-offsets")).trigger(availableNow=True).start()
     q.awaitTermination()
 
 

@@ -82,3 +82,19 @@ def test_ablation_keeps_rows_of_one_entity_apart_and_null_levels(spark):
     assert [(r["n"], r["auroc"], r["delta_from_all"]) for r in out] == [(10, 1.0, 0.0)]
     groups = models.by_group(df, {"all": ["x"]}, fit, "grp", key="row_id").collect()
     assert {(r["grp"], r["trained_on"]) for r in groups} == {(g, t) for g in ("a", None) for t in ("all", "own group")} and all(r["delta_from_all"] == 0 for r in groups)
+
+
+def test_paired_intervals_of_an_ablation(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, "test" if i % 2 else "train", int(rng.random() < 0.4)) for i in range(600)]
+    rows = [(i, s, y, float(y + rng.normal()), float(y * 0.2 + rng.normal())) for i, s, y in rows]
+    df = spark.createDataFrame(rows, "entity_id long, split string, y int, good double, weak double")
+
+    def fit(d, feats, seed=0):
+        return lambda rows_: rows_.withColumn("p", 1 / (1 + F.exp(-F.coalesce(F.col(feats[-1]), F.lit(0.0)))))
+
+    out = {r["features"]: r for r in models.ablate(df, {"all": ["good"], "less": ["weak"]}, fit, draws=200).collect()}
+    assert (out["all"]["delta_auroc_lo"], out["all"]["delta_auroc_hi"]) == (0.0, 0.0)
+    assert out["less"]["delta_auroc_lo"] < out["less"]["delta_from_all"] < out["less"]["delta_auroc_hi"] < 0
+    groups = models.compare_patterns(df, {"g": ["weak"]}, {"both": ["g"], "none": []}, ["good"], fit, draws=50).collect()
+    assert len(groups) == 6 and all(r["delta_auroc_lo"] <= r["delta_auroc_hi"] for r in groups)

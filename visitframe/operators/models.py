@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitframe.functions.columns import logit, sigmoid
-from visitframe.operators.metrics import auroc, ranking_metrics, score_cells
+from visitframe.operators.metrics import auroc, bootstrap, ranking_metrics, score_cells
 from visitframe.operators.pit import percentile_of
 from visitframe.operators.profile import unpivot
 from visitframe.operators.splits import Prep, mask_groups, modality_dropout
@@ -133,8 +133,11 @@ def ablation_sets(groups: dict[str, Sequence[str]], early: Sequence[str] = (), p
 
 
 def ablate(df: DataFrame, sets: dict[str, Sequence[str]], fit: Callable[[DataFrame, Sequence[str]], Scorer], by: Sequence[str] = ("split",),
-           seeds: Sequence[int] = (0,), key: str = "entity_id") -> DataFrame:
-    """AUROC of every feature set on the held-out rows, and its distance from `all`. `key` names a row (a visit, if entities have several)."""
+           seeds: Sequence[int] = (0,), key: str = "entity_id", draws: int = 0) -> DataFrame:
+    """AUROC of every feature set on the held-out rows, and its distance from `all`.
+
+    `key` names a row (a visit, if entities have several). With `draws` the distance has a 95% interval over paired replicates.
+    """
     df = stage(df, "ablation")
     held = df.where("split IN ('test', 'external')")
     out = None
@@ -145,23 +148,36 @@ def ablate(df: DataFrame, sets: dict[str, Sequence[str]], fit: Callable[[DataFra
             runs = one if runs is None else runs.unionByName(one)
         mean = runs.groupBy("features", key, *by, "y").agg(F.avg("p").alias("p"))
         out = mean if out is None else out.unionByName(mean)
+    if draws:
+        out = stage(out, "ablation-scores")
     a = auroc(out, ["features", *by])
     ref = a.where("features = 'all'").select(*by, F.col("auroc").alias("ref"))
-    return null_safe_join(a, ref, by).withColumn("delta_from_all", F.col("auroc") - F.col("ref")).drop("ref")
+    a = null_safe_join(a, ref, by).withColumn("delta_from_all", F.col("auroc") - F.col("ref")).drop("ref")
+    return null_safe_join(a, paired_gain(out, out.where("features = 'all'"), key, ["features", *by], draws), ["features", *by]) if draws else a
+
 
+def paired_gain(scores: DataFrame, reference: DataFrame, key: str, by: Sequence[str], draws: int) -> DataFrame:
+    """`delta_auroc_lo`, `delta_auroc_hi` per group: scores against the reference's score of the same row, on the same replicates."""
+    pairs = scores.select(*by, key, "y", "p").join(reference.select(key, F.col("p").alias("p_ref")), key)
+    return bootstrap(pairs, by, key, draws, p_ref="p_ref", method="cells").select(*by, "delta_auroc_lo", "delta_auroc_hi")
 
-def by_group(df: DataFrame, sets: dict[str, Sequence[str]], fit, group: str, key: str = "entity_id") -> DataFrame:
+
+def by_group(df: DataFrame, sets: dict[str, Sequence[str]], fit, group: str, key: str = "entity_id", seeds: Sequence[int] = (0,), draws: int = 0) -> DataFrame:
     """Feature sets scored inside each baseline group: one model for everyone, and models trained inside the group."""
     df = stage(df, "by-group")
-    overall = ablate(df, sets, fit, by=("split", group), key=key).withColumn("trained_on", F.lit("all"))
+    overall = ablate(df, sets, fit, by=("split", group), seeds=seeds, key=key, draws=draws).withColumn("trained_on", F.lit("all"))
     for (level,) in df.select(group).distinct().orderBy(group).collect():
-        own = ablate(df.where(F.col(group).eqNullSafe(F.lit(level))), sets, fit, by=("split", group), key=key).withColumn("trained_on", F.lit("own group"))
+        own = ablate(df.where(F.col(group).eqNullSafe(F.lit(level))), sets, fit, by=("split", group), seeds=seeds, key=key, draws=draws).withColumn("trained_on", F.lit("own group"))
         overall = overall.unionByName(own)
     return overall
 
 
-def compare_patterns(df: DataFrame, groups: dict[str, Sequence[str]], patterns: dict[str, Sequence[str]], always: Sequence[str], fit, key: str = "entity_id") -> DataFrame:
-    """Under each availability pattern: ordinary model, model trained with blanked copies, and a model of its own."""
+def compare_patterns(df: DataFrame, groups: dict[str, Sequence[str]], patterns: dict[str, Sequence[str]], always: Sequence[str], fit, key: str = "entity_id",
+                     draws: int = 0) -> DataFrame:
+    """Under each availability pattern: ordinary model, model trained with blanked copies, and a model of its own.
+
+    With `draws` also the interval of each model's gain over the ordinary one, on paired replicates.
+    """
     df = stage(df, "patterns")
     feats = [*always, *[f for fs in groups.values() for f in fs]]
     held = df.where("split IN ('test', 'external')")
@@ -176,7 +192,11 @@ def compare_patterns(df: DataFrame, groups: dict[str, Sequence[str]], patterns:
         own = fit(df, [*always, *[f for g in avail for f in groups[g]]])
         out = out.unionByName(own(held.withColumn("pattern", F.lit(name))).select(*cols, F.lit("specialist").alias("model")))
     g = ["pattern", "model", "split"]
-    return ranking_metrics(score_cells(out, g), g)
+    if not draws:
+        return ranking_metrics(score_cells(out, g), g)
+    out = stage(out, "pattern-scores").withColumn("row", F.concat_ws("|", "pattern", F.col(key).cast("string")))
+    gain = paired_gain(out, out.where("model = 'standard'"), "row", g, draws)
+    return ranking_metrics(score_cells(out, g), g).join(gain, g, "left")
 
 
 # ---- late fusion --------------------------------------------------------------------

@@ -86,22 +86,22 @@ def _(t):
     return metrics.ranking_metrics(metrics.score_cells(fused, ["split"], p="p_fused"), ["split"])
 
 
-@query("i9_group_ablation", None, "auroc delta_from_all")
+@query("i9_group_ablation", None, "auroc delta_from_all delta_auroc_lo delta_auroc_hi")
 def _(t):
-    return models.ablate(model_table(t), models.ablation_sets(GROUPS, early=["money"]), models.fit_logistic)
+    return models.ablate(model_table(t), models.ablation_sets(GROUPS, early=["money"]), models.fit_logistic, draws=1000)
 
 
-@query("i10_variants_by_group", None, "auroc delta_from_all")
+@query("i10_variants_by_group", None, "auroc delta_from_all delta_auroc_lo delta_auroc_hi")
 def _(t):
     sets = {"all": FEATS, "money only": GROUPS["money"]}
     df = model_table(t).withColumn("grp", F.when(F.col("n_visits") >= 10, "many visits").otherwise("few visits"))
-    return models.by_group(df, sets, models.fit_logistic, "grp")
+    return models.by_group(df, sets, models.fit_logistic, "grp", draws=1000)
 
 
-@query("i11_missing_patterns", None, "auroc auprc brier")
+@query("i11_missing_patterns", None, "auroc auprc brier delta_auroc_lo delta_auroc_hi")
 def _(t):
     optional = {"history": GROUPS["history"], "sparse": GROUPS["sparse"]}
-    return models.compare_patterns(model_table(t), optional, {"Everything": ["history", "sparse"], "No history": ["sparse"], "No sparse": ["history"], "Money only": []}, GROUPS["money"], models.fit_logistic)
+    return models.compare_patterns(model_table(t), optional, {"Everything": ["history", "sparse"], "No history": ["sparse"], "No sparse": ["history"], "Money only": []}, GROUPS["money"], models.fit_logistic, draws=1000)
 
 
 @query("i12_score_flags", f"""WITH {FEATURES}, x AS (SELECT entity_id, CASE WHEN acctbal > 2000 THEN acctbal END AS a, CASE WHEN segment <> 'BUILDING' THEN n_visits END AS n, score_f, 1 / (1 + exp(-(mean_score - 25) / 5)) AS p FROM f),

@@ -32,14 +32,43 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@query("op2_setsketch_dedup")
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(a) = 0 THEN []::VARCHAR[] WHEN len(a) < 3 THEN [array_to_string(a, ' ')]
+  ELSE list_transform(range(1, len(a) - 1), lambda i: concat_ws(' ', a[i], a[i + 1], a[i + 2])) END) AS g FROM w),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s), x AS (SELECT doc_id, unnest(g) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM x a JOIN x b USING (h) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT n.doc_id, n.n AS n_shingles, min(c) AS component_id, n.doc_id = min(c) AS kept FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n
+"""
+
+OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM benchmark),
+bw AS (SELECT DISTINCT item, k, phrase FROM (SELECT item, least(len(a), 13) AS k,
+  unnest(list_transform(range(1, greatest(len(a) - 12, 1) + 1), lambda i: array_to_string(a[i:i + least(len(a), 13) - 1], ' '))) AS phrase FROM b WHERE len(a) > 0)),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, k, unnest(range(1, len(a) - k + 2)) AS i, unnest(list_transform(range(1, len(a) - k + 2), lambda i: array_to_string(a[i:i + k - 1], ' '))) AS phrase FROM d, ks WHERE len(a) >= k),
+m AS (SELECT doc_id, i, k, item FROM dw JOIN bw USING (k, phrase)),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY 1)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit > 0 AND 20 * n_hit >= len(a), false) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op2_setsketch_dedup", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from visitframe.llm.setsketch import NearDuplicates
 
     return NearDuplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100).classes()
 
 
-@query("op8_fm_index_decontamination")
+@query("op8_fm_index_decontamination", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from visitframe.llm.fm_index import find_contamination, verdict
 

@@ -170,8 +170,10 @@ def neighbour_classes(texts: DataFrame, hashes: np.ndarray, counts: np.ndarray,
     x = np.sqrt(m / np.maximum(m.sum(1, keepdims=True), 1))
     rng, weight = np.random.default_rng(seed), np.sqrt(counts.astype(float))
     centres = x[[0]]
+    far = np.full(n, np.inf)
     while len(centres) < classes:  # far words become centres
-        d = ((x[:, None] - centres[None]) ** 2).sum(2).min(1) * weight
+        far = np.minimum(far, ((x - centres[-1]) ** 2).sum(1))
+        d = far * weight
         centres = np.concatenate([centres, x[[rng.choice(n, p=d / d.sum()) if d.sum() > 0 else len(centres)]]])
     before = None
     while True:

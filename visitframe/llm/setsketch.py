@@ -9,10 +9,15 @@ larger, smaller and equal registers give a maximum-likelihood estimate of the
 similarity; pairs that pass it are confirmed on the full sets in whole numbers.
 
 Sizes: equal sets are one node from the start, so copies cost nothing. Within a
-bucket of equal band values all members are compared with one hub (a star, never
-all pairs); only members that are still in another component afterwards are
-compared further, with another hub and at last with each other. All joins have
-unique keys on one side, which lets Spark split a hot bucket or a hot hub.
+bucket of equal band values all members are compared with one hub, the member
+that shares most buckets (a star, never all pairs). What is then still in another
+component is compared through the shingles themselves. Let a shingle be rare if
+at most `RARE` of these sets hold it. Two sets that share no rare shingle share at
+most the smaller number of their common ones, so either they share a rare shingle
+(at most `RARE` partners each) or both consist of common shingles almost entirely,
+which is what the hub has already gathered. No link is lost to either rule.
+Apart from rare shingles, joins have unique keys on one side, which lets Spark
+split a hot bucket or a hot hub.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitframe.llm.blocks import NOT_SPACE, mix, shingle_sets, text_blocks, words_of
@@ -31,6 +36,7 @@ from visitframe.session import stage
 
 _U = np.uint64
 ID_ROWS = 500_000  # candidate ids (one long each) that may be broadcast
+RARE = 12
 
 
 @dataclass(frozen=True)
@@ -150,6 +156,14 @@ def _set_task(k: int):
     return task
 
 
+def _explode_task(batches):
+    for batch in batches:
+        sets = [np.frombuffer(raw, np.int64) for raw in batch.column(1).to_pylist()]
+        if sets:
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(np.concatenate(sets))], names=["sid", "member"])
+
+
 def _estimate_task(sketch: Sketch, least: float):
     def task(batches):
         for batch in batches:
@@ -196,6 +210,13 @@ class NearDuplicates:
         """Sizes alone allow the similarity."""
         return F.lit(self.den) * F.least(a, b) >= F.lit(self.num) * F.greatest(a, b)
 
+    def _sets(self, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(sid, members) of the wanted sets, from the texts again: their ids are broadcast if they are few, else joined."""
+        ids = stage(nodes.join(wanted, "sid", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "candidate-ids")
+        texts = self.docs.join(broadcast_if_small(ids, ID_ROWS), "doc_id", "left_semi")
+        # rows with one id may differ in text: each set once
+        return texts.mapInArrow(_set_task(self.k), "sid binary, members binary").groupBy("sid").agg(F.min("members").alias("members"))
+
     def confirm(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs (a, b) of set ids that are linked: estimate by likelihood, then count on full sets."""
         regs = nodes.select("sid", "regs", F.col("n_shingles").alias("n"))
@@ -204,30 +225,56 @@ class NearDuplicates:
         likely = stage(both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
                        .mapInArrow(_estimate_task(self.sketch, self.num / self.den - self.slack), "a binary, b binary"), "likely")
         ends = likely.select(F.col("a").alias("sid")).union(likely.select(F.col("b").alias("sid"))).distinct()
-        ids = stage(nodes.join(ends, "sid", "left_semi").select(F.col("first_id").alias("doc_id")), "candidate-ids")
-        texts = self.docs.join(broadcast_if_small(ids.distinct(), ID_ROWS), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_set_task(self.k), "sid binary, members binary")
-        # rows with one id may differ in text: each wanted set once
-        sets = stage(sets.groupBy("sid").agg(F.min("members").alias("members")), "sets")
+        sets = stage(self._sets(ends, nodes), "sets")
         both = (likely.join(sets.select(F.col("sid").alias("a"), F.col("members").alias("x")), "a")
                 .join(sets.select(F.col("sid").alias("b"), F.col("members").alias("y")), "b"))
         return stage(both.select("a", "b", "x", "y").mapInArrow(_verify_task(self.num, self.den), "a binary, b binary"), "links")
 
-    def _stars(self, members: DataFrame, salt: int) -> DataFrame:
-        """Pairs of each bucket's members with one hub; members of the hub's component are left out."""
-        pick = F.struct(F.xxhash64("sid", F.lit(salt)).alias("h"), F.col("sid").alias("sid"), F.col("n").alias("n"), F.col("comp").alias("comp"))
-        hub = members.groupBy("key").agg(F.min(pick).alias("hub"))
-        return (members.join(hub, "key").where(F.col("sid") != F.col("hub.sid")).where(F.col("comp") != F.col("hub.comp"))
+    def _stars(self, members: DataFrame, centre: Column) -> DataFrame:
+        """Pairs of each bucket's members with its hub, the most central one."""
+        hub = members.groupBy("key").agg(F.max(F.struct(centre.alias("centre"), "sid", "n")).alias("hub"))
+        return (members.join(hub, "key").where(F.col("sid") != F.col("hub.sid"))
                 .withColumn("hub_n", F.col("hub.n")).where(self._fits("n", "hub_n"))
                 .select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct())
 
     @staticmethod
-    def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-        """Members of buckets that still hold more than one component."""
+    def _open(members: DataFrame) -> DataFrame:
+        """Members of buckets that hold more than one component."""
+        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        return members.join(mixed, "key", "left_semi")
+
+    def _rare(self, members: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """From members (key, sid, n, comp) of open buckets: pairs of different components that share a rare shingle,
+        and the members that can be linked without one, with `common`, the number of their shingles that are not rare."""
+        known = stage(members.select("sid", "n", "comp").distinct(), "open-nodes")
+        held = self._sets(known.select("sid"), nodes).mapInArrow(_explode_task, "sid binary, member long")
+        held = stage(held.join(known, "sid"), "open-members")
+        held = stage(held.join(held.groupBy("member").agg(F.count("*").alias("f")), "member"), "counted-members")
+        rare = held.where(F.col("f") <= RARE)
+        other = rare.where("f > 1").select("member", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+        pairs = (rare.where("f > 1").select("member", F.col("sid").alias("a"), "n", "comp").join(other, "member")
+                 .where((F.col("comp") < F.col("comp_b")) & self._fits("n", "n_b")).select("a", "b").distinct())
+        # a link without a rare shingle needs (den + num) * common >= num * (n_a + n_b), and den * n_b >= num * n_a
+        own = held.groupBy("sid").agg(F.count_if(F.col("f") > RARE).alias("common"))
+        full = members.join(own, "sid")
+        return pairs, full.where(F.lit(self.den) * F.col("common") >= F.lit(self.num) * F.col("n"))
+
+    def _common_pairs(self, full: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs of different components that consist of common shingles enough to be linked by them.
+
+        A pair that shares several buckets is formed in the first of them only.
+        """
+        num, den = F.lit(self.num), F.lit(self.den)
+        full = full.join(nodes.select("sid", "bands"), "sid")
+        other = full.select("key", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("common").alias("common_b"), F.col("bands").alias("bands_b"))
+        return (full.withColumnRenamed("sid", "a").join(other, "key")
+                .where((F.col("comp") < F.col("comp_b")) & self._fits("n", "n_b") & ((den + num) * F.least("common", "common_b") >= num * (F.col("n") + F.col("n_b")))
+                       & (F.array_intersect("bands", "bands_b")[0] == F.col("key")))
+                .select("a", "b"))
+
+    def _still_open(self, members: DataFrame, comps: DataFrame) -> DataFrame:
         now = members.drop("comp").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        now = stage(now, "members")
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        return stage(now.join(mixed, "key", "left_semi"), "open")
+        return stage(self._open(stage(now, "members")), "open")
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept for every document."""
@@ -236,22 +283,25 @@ class NearDuplicates:
         nodes = stage(known.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles"),
                                                F.min("bands").alias("bands"), F.min("regs").alias("regs")), "nodes")
         spread = nodes.select("sid", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-        shared = stage(spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-bands")
-        members = stage(spread.join(shared, "key", "left_semi").withColumn("comp", F.col("sid")), "members")
+        shared = spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        members = stage(spread.join(shared, "key"), "members")
+        degree = members.groupBy("sid").agg(F.sum("c").alias("degree"))
+        members = stage(members.drop("c").join(degree, "sid"), "members")
 
-        links = self.confirm(self._stars(members, 0), nodes)
+        links = self.confirm(self._stars(members, F.col("degree")), nodes)
         comps = connected_components(links)
-        left = self._open(members, comps)
-        if not left.isEmpty():
-            links = stage(links.union(self.confirm(self._stars(left, 1), nodes)), "links")
-            comps = connected_components(links)
-            left = self._open(left, comps)
+        left = self._still_open(members, comps)
         if not left.isEmpty():
-            other = left.select("key", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-            pairs = (left.withColumnRenamed("sid", "a").join(other, "key").where((F.col("comp") < F.col("comp_b")) & self._fits("n", "n_b"))
-                     .select("a", "b").distinct())
+            pairs, full = self._rare(left, nodes)
+            # the set with most common shingles and fewest others is the centre of its bucket: an original among edited copies
+            full = stage(self._open(stage(full, "full")), "full-open")
+            pairs = pairs.union(self._stars(full, F.struct("common", (-F.col("n")).alias("others")))).distinct()
             links = stage(links.union(self.confirm(pairs, nodes)), "links")
             comps = connected_components(links)
+            full = self._still_open(full, comps)
+            if not full.isEmpty():
+                links = stage(links.union(self.confirm(self._common_pairs(full, nodes), nodes)), "links")
+                comps = connected_components(links)
         # a class is named by the smallest id of its documents
         roots = nodes.select("sid", "first_id").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         names = roots.groupBy("comp").agg(F.min("first_id").alias("component_id"))

@@ -252,6 +252,35 @@ def test_language_model_edge_rows(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(whole[r["doc_id"]], rel=1e-9) and math.isfinite(r["score"])
 
 
+def test_words_of_one_class_depend_on_the_history(spark, monkeypatch):
+    """Every key has its own value; keys and values beyond the few most frequent words share their spelling classes."""
+    from visitframe.llm import maxent_lm as M
+    monkeypatch.setattr(M, "HEAD", 50)
+    rng = random.Random(5)
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [(i, " ".join(f"k{j}x v{j}y" for j in rng.sample(range(300), 150))) for i in range(100, 500)]
+    some = range(0, 300, 3)
+    rows += [(held[0], " ".join(f"k{j}x v{j}y" for j in some)), (held[1], " ".join(f"k{j}x v{(j + 3) % 300}y" for j in some))]
+    score = {r["doc_id"]: r["score"] for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert score[held[0]] > score[held[1]] + 0.5 * len(some)
+
+
+def test_word_trees_are_proper_distributions():
+    from visitframe.llm import maxent_lm as M
+    rng = np.random.default_rng(3)
+    cls, counts = rng.integers(0, 4, 500), rng.integers(1, 1000, 500)
+    cls[cls == 3] = M.WIDTH - 1
+    tree = M.word_trees(cls, counts)
+    blocks = rng.normal(size=(512, M.FAN)).astype(np.float32)
+    model = M.ClassModel(M.WordTable(np.arange(500, dtype=np.uint64)), cls, tree, np.zeros((512, M.WIDTH), np.float32), np.zeros_like(blocks))
+    keys = np.tile(rng.integers(0, 2**63, (1, 4)).astype(np.uint64), (500, 1))
+    p = np.exp(model.log_word(keys, np.arange(500)))
+    assert p == pytest.approx(counts / np.bincount(cls, weights=counts)[cls], rel=1e-4)
+    model.blocks = blocks
+    q = np.exp(model.log_word(keys, np.arange(500)))
+    assert np.bincount(cls, weights=q)[np.unique(cls)] == pytest.approx(1, rel=1e-4) and np.abs(np.log(q / p)).max() > 0.5
+
+
 # pipeline
 
 def shingles(t, k=5):

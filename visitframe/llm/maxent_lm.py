@@ -1,23 +1,34 @@
 """Language-model scoring with a hashed maximum-entropy model and a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The class is predicted by
-a softmax over hashed features of the history: the words one, two and three places
-back (n-gram and skip features) and the pair of the last two. The `HEAD` most
-frequent words fall into classes by their neighbours; all other words into `TAILS`
-classes by their spelling, each of which keeps a share for words never seen.
+P(word | history) = P(class | history) * P(word | class, history). Both are predicted
+from hashed features of the history: the words one, two and three places back (n-gram
+and skip features) and the pair of the last two. The class has one softmax. The word
+has a softmax tree inside its class: a Huffman tree over the class's words with `FAN`
+branches a node, so a frequent word costs one small softmax and a rare one a few. A
+weight block belongs to a feature and a node, by hash.
+
+All words seen `LEAST` times or more (and at least the `HEAD` most frequent) have a
+leaf and are features of their own. The `HEAD` most frequent fall into classes by
+their neighbours, all other words into `TAILS` classes by their spelling, each of
+which has one more leaf for all words below `LEAST` and those never seen: these are
+told apart by their counts. So vocabulary, feature rows and weight blocks grow with
+the corpus; each task holds one copy of them.
 
 Everything is learnt from all training texts: word counts, neighbour counts and
 one epoch of updates. For these each task goes through its texts block by block,
 moves the weights by the log ratio of observed and expected counts of every
-feature row, and sends its weights; Spark averages them by how often a row was
-seen. Two such rounds share the texts between them.
+feature row, and sends how far its weights moved (as half-precision numbers);
+Spark averages that by how often a row was seen. Two such rounds share the texts between them. There is one task per core, so
+what is sent grows with the model and not with model times input.
 
-Counts of the `TABLE` most frequent words are broadcast (a fixed bound); rarer words
-of a document are joined with the count table, so counts are exact for all words.
+Counts of the `TABLE` most frequent words (and of all with a leaf) are broadcast;
+rarer words of a document are joined with the count table, so counts are exact for
+all words.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +42,8 @@ from visitframe.session import stage
 HEAD, TABLE, ANCHORS = 4096, 1 << 18, 64
 CLASSES, TAILS = 32, 8
 WIDTH = CLASSES + TAILS
-ROWS = 1 << 15
+LEAST, FAN = 32, 16
+ROWS = 1 << 15  # feature rows besides those that come with the words
 ROUNDS, SLAB = 2, 512
 SMOOTH = 4.0
 _U = np.uint64
@@ -191,59 +203,144 @@ def neighbour_classes(texts: DataFrame, hashes: np.ndarray, counts: np.ndarray,
 # The model
 # ---------------------------------------------------------------------------
 
+@dataclass
+class Tree:
+    """Softmax trees of all classes. Leaf i has the nodes and branches from start[i] to start[i + 1]."""
+
+    start: np.ndarray
+    node: np.ndarray
+    branch: np.ndarray
+    bias: np.ndarray  # log share of each branch in its node's count; missing branches have none
+
+
+def word_trees(cls: np.ndarray, counts: np.ndarray) -> Tree:
+    """A Huffman tree with `FAN` branches a node over the leaves of each class."""
+    nodes: list[list[tuple[int, float]]] = []
+    paths: list[list[tuple[int, int]]] = [[] for _ in cls]
+    for c in range(WIDTH):
+        leaves = np.flatnonzero(cls == c)
+        heap = [(float(counts[i]), int(i)) for i in leaves]  # leaves count from 0, nodes from -1 down
+        heapq.heapify(heap)
+        take, first = (len(heap) - 2) % (FAN - 1) + 2, len(nodes)
+        while len(heap) > 1:
+            low = [heapq.heappop(heap) for _ in range(take)][::-1]
+            nodes.append([(i, n) for n, i in low])
+            heapq.heappush(heap, (sum(n for n, _ in low), -len(nodes)))
+            take = FAN
+        above: dict[int, list[tuple[int, int]]] = {}
+        for k in range(len(nodes) - 1, first - 1, -1):
+            path = above.pop(k, [])
+            for b, (i, _) in enumerate(nodes[k]):
+                if i < 0:
+                    above[-1 - i] = [*path, (k, b)]
+                else:
+                    paths[i] = [*path, (k, b)]
+    bias = np.full((len(nodes), FAN), -1e9, np.float32)
+    for k, branches in enumerate(nodes):
+        n = np.array([n for _, n in branches])
+        bias[k, : len(n)] = np.log(n / n.sum())
+    flat = np.array([step for path in paths for step in path], np.int64).reshape(-1, 2)
+    return Tree(np.cumsum([0, *map(len, paths)]), flat[:, 0].astype(np.int32), flat[:, 1].astype(np.int8), bias)
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
+def _step(weights: np.ndarray, rows: np.ndarray, target: np.ndarray, p: np.ndarray, seen: np.ndarray) -> None:
+    """One step: each feature row moves by the smoothed log ratio of observed and expected counts of its outputs."""
+    features, width = rows.shape[1], weights.shape[1]
+    flat = rows.ravel()
+    order = np.sort((flat << 24) | np.arange(len(flat)))  # as one number: sorts much faster than by argsort
+    flat, order = order >> 24, order & 0xFF_FFFF
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    which = flat[first]
+    token = order // features
+    n = np.diff(np.append(first, len(flat)))
+    expected = p[token[first]]
+    more = n > 1  # most rows come once; only the others need sums
+    if more.any():
+        expected[more] = np.add.reduceat(p[token[np.repeat(more, n)]], np.cumsum(n[more]) - n[more], axis=0)
+    observed = np.bincount(np.repeat(np.arange(len(which)), n) * width + target[token], minlength=len(which) * width).astype(np.float32).reshape(-1, width)
+    floor = expected * (SMOOTH / n[:, None]).astype(np.float32) + np.float32(0.01)
+    observed += floor
+    expected += floor
+    observed /= expected
+    weights[which] += np.log(observed) / np.float32(features)
+    seen[which] += n
+
+
 @dataclass
 class ClassModel:
-    """Head words with classes, and weights of hashed feature rows (row 0 is the bias)."""
+    """Words with classes and leaves, weights of hashed feature rows (row 0 is the bias), and weight blocks of (feature, node)."""
 
     head: WordTable
     word_class: np.ndarray
+    tree: Tree
     weights: np.ndarray
+    blocks: np.ndarray
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Feature number (head place, or HEAD + spelling) and class of each token."""
+        """Number as feature and leaf (place among the words, or their number + spelling) and class of each token."""
         i = self.head.place(hashes)
         tail = (hashes & _U(7)).astype(np.int64)
         cls = np.where(i >= 0, self.word_class[i] if len(self.word_class) else 0, CLASSES + tail)
-        return np.where(i >= 0, i, HEAD + tail), cls
+        return np.where(i >= 0, i, len(self.word_class) + tail), cls
 
-    @staticmethod
-    def rows(ids: np.ndarray, cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Feature rows of every token (tokens x features): three places back each, and the pair of the last two."""
-        n, start = HEAD + TAILS + 1, HEAD + TAILS
+    def keys(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Hashed features of every token (tokens x features): three places back each, and the pair of the last two."""
+        start = len(self.word_class) + TAILS
+        n = _U(start + 1)
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         place = np.arange(len(ids)) - bounds[:-1][row]
         back = []
         for k in range(1, BACK + 1):
             p = np.full(len(ids), start)
             p[k:] = np.where(place[k:] >= k, ids[:-k], start)
-            back.append(p)
-        pair = mix(back[0].astype(_U) * _U(n) + back[1].astype(_U))
-        kept = 1 + BACK * n
-        return np.stack([1 + k * n + p for k, p in enumerate(back)] + [kept + (pair % _U(ROWS - kept)).astype(np.int64)], 1)
+            back.append(p.astype(_U))
+        return np.stack([mix(_U(k) * n + p) for k, p in enumerate(back)] + [mix(_U(BACK) * n + back[0] + n * (back[1] + _U(1)))], 1)
 
-    def log_softmax(self, rows: np.ndarray) -> np.ndarray:
+    def class_rows(self, keys: np.ndarray) -> np.ndarray:
+        return 1 + (keys % _U(len(self.weights) - 1)).astype(np.int64)
+
+    def log_class(self, rows: np.ndarray) -> np.ndarray:
         z = self.weights[rows[:, 0]] + self.weights[0]
         for k in range(1, rows.shape[1]):
             z += self.weights[rows[:, k]]
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z
-
-    def update(self, rows: np.ndarray, cls: np.ndarray, seen: np.ndarray) -> None:
-        """One step: each feature row moves by the smoothed log ratio of observed and expected class counts."""
-        p = np.exp(self.log_softmax(rows))
-        features = rows.shape[1]
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
-        which = flat[order][first]
-        token = order // features
-        expected = np.add.reduceat(p[token], first, axis=0)
-        n = np.diff(np.append(first, len(flat)))
-        observed = np.bincount(np.repeat(np.arange(len(which)), n) * WIDTH + cls[token], minlength=len(which) * WIDTH).reshape(-1, WIDTH)
-        floor = SMOOTH * (expected / n[:, None]) + 0.01
-        self.weights[which] += np.log((observed + floor) / (expected + floor)).astype(np.float32) / features
-        seen[which] += n
+        return _log_softmax(z)
+
+    def steps(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(token, place in the tree's lists) of every node on the way to each token's leaf."""
+        n = self.tree.start[ids + 1] - self.tree.start[ids]
+        token = np.repeat(np.arange(len(ids)), n)
+        return token, np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) + self.tree.start[ids][token]
+
+    def node_rows(self, keys: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return (mix(keys ^ (node.astype(_U) * _U(0x9E37_79B9_7F4A_7C15))[:, None]) % _U(len(self.blocks))).astype(np.int64)
+
+    def log_branch(self, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
+        z = self.tree.bias[node]
+        for k in range(rows.shape[1]):
+            z += self.blocks[rows[:, k]]
+        return _log_softmax(z)
+
+    def log_word(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """log P(leaf | class, history) of each token."""
+        token, at = self.steps(ids)
+        node = self.tree.node[at]
+        logs = self.log_branch(self.node_rows(keys[token], node), node)[np.arange(len(at)), self.tree.branch[at]]
+        return np.bincount(token, weights=logs, minlength=len(ids))
+
+    def update(self, keys: np.ndarray, ids: np.ndarray, cls: np.ndarray, seen: tuple[np.ndarray, np.ndarray]) -> None:
+        rows = self.class_rows(keys)
+        _step(self.weights, rows, cls, np.exp(self.log_class(rows)), seen[0])
+        token, at = self.steps(ids)
+        if len(at):
+            node = self.tree.node[at]
+            rows = self.node_rows(keys[token], node)
+            _step(self.blocks, rows, self.tree.branch[at].astype(np.int64), np.exp(self.log_branch(rows, node)), seen[1])
 
 
 MINI = 16_384
@@ -251,38 +348,40 @@ MINI = 16_384
 
 def _train_task(model: ClassModel):
     def task(batches):
-        own = ClassModel(model.head, model.word_class, model.weights.copy())
-        seen = np.zeros(ROWS)
+        own = ClassModel(model.head, model.word_class, model.tree, model.weights.copy(), model.blocks.copy())
+        seen = np.zeros(len(own.weights)), np.zeros(len(own.blocks))
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(0)):
                 h, bounds = tokens_of(data, offsets)
                 ids, cls = own.ids(h)
-                rows = own.rows(ids, cls, bounds)
+                keys = own.keys(ids, bounds)
                 for lo in range(0, len(h), MINI):
-                    own.update(rows[lo: lo + MINI], cls[lo: lo + MINI], seen)
-        for s in range(0, ROWS, SLAB):
-            n = seen[s: s + SLAB]
-            if n.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([n.tobytes()], pa.binary()), pa.array([own.weights[s: s + SLAB].tobytes()], pa.binary())], names=["slab", "n", "w"])
+                    own.update(keys[lo: lo + MINI], ids[lo: lo + MINI], cls[lo: lo + MINI], seen)
+        for kind, (w, before) in enumerate(((own.weights, model.weights), (own.blocks, model.blocks))):
+            for s in range(0, len(w), SLAB):
+                n = seen[kind][s: s + SLAB].astype(np.float32)
+                if n.any():
+                    moved = (w[s: s + SLAB] - before[s: s + SLAB]).astype(np.float16)
+                    yield pa.RecordBatch.from_arrays([pa.array([2 * s + kind]), pa.array([n.tobytes()], pa.binary()), pa.array([moved.tobytes()], pa.binary())], names=["slab", "n", "w"])
 
     return task
 
 
 def _average_task(batches):
-    """Slabs arrive sorted; their weighted sums are kept one at a time."""
+    """Slabs arrive sorted; the weighted sums of their moves are kept one at a time."""
     slab, n, total = None, None, None
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([slab]), pa.array([n.tobytes()], pa.binary()), pa.array([(total / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())],
+        return pa.RecordBatch.from_arrays([pa.array([slab]), pa.array([n.tobytes()], pa.binary()), pa.array([(total / np.maximum(n, 1)[:, None]).astype(np.float16).tobytes()], pa.binary())],
                                           names=["slab", "n", "w"])
 
     for batch in batches:
         for s, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            a, b = np.frombuffer(a), np.frombuffer(b, np.float32).reshape(-1, WIDTH)
+            a, b = np.frombuffer(a, np.float32), np.frombuffer(b, np.float16).reshape(SLAB, -1)
             if s != slab:
                 if slab is not None:
                     yield out()
-                slab, n, total = s, np.zeros(SLAB), np.zeros((SLAB, WIDTH))
+                slab, n, total = s, np.zeros(SLAB), np.zeros(b.shape)
             n, total = n + a, total + a[:, None] * b
     if slab is not None:
         yield out()
@@ -291,24 +390,31 @@ def _average_task(batches):
 SLABS = "slab long, n binary, w binary"
 
 
-def train(texts: DataFrame, head: np.ndarray, word_class: np.ndarray, class_counts: np.ndarray, rounds: int = ROUNDS) -> ClassModel:
-    """Weights after one epoch in `rounds` rounds; `texts` has `text` and the number `part` of the round that uses it."""
-    weights = np.zeros((ROWS, WIDTH), np.float32)
+def train(texts: DataFrame, head: np.ndarray, word_class: np.ndarray, class_counts: np.ndarray, tree: Tree, rounds: int = ROUNDS) -> ClassModel:
+    """Weights after one epoch in `rounds` rounds; `texts` has `text` and the number `part` of the round that uses it.
+
+    Two feature rows and four weight blocks come with every word.
+    """
+    size = -(-(ROWS + 2 * len(head)) // SLAB) * SLAB
+    weights = np.zeros((size, WIDTH), np.float32)
     weights[0] = np.log((class_counts + 0.5) / (class_counts.sum() + 0.5 * WIDTH))
-    model = ClassModel(WordTable(head), word_class, weights)
+    blocks = np.zeros((-(-(ROWS + 4 * len(head)) // SLAB) * SLAB, FAN), np.float32)
+    model = ClassModel(WordTable(head), word_class, tree, weights, blocks)
+    context = texts.sparkSession.sparkContext
     for r in range(rounds):
-        shared = texts.sparkSession.sparkContext.broadcast(model)
+        shared = context.broadcast(model)
 
         def task(batches, shared=shared):
             yield from _train_task(shared.value)(batches)
 
-        sent = texts.where(F.col("part") == r).select("text").mapInArrow(task, SLABS)
-        means = sent.repartition("slab").sortWithinPartitions("slab").mapInArrow(_average_task, SLABS).collect()  # ROWS rows of weights
-        weights = model.weights.copy()
-        for s, n, w in means:
-            used = np.frombuffer(n) > 0
-            weights[s: s + SLAB][used] = np.frombuffer(w, np.float32).reshape(-1, WIDTH)[used]
-        model = ClassModel(model.head, word_class, weights)
+        sent = texts.where(F.col("part") == r).select("text").coalesce(context.defaultParallelism).mapInArrow(task, SLABS)
+        means = sent.repartition("slab").sortWithinPartitions("slab").mapInArrow(_average_task, SLABS).toLocalIterator(prefetchPartitions=False)
+        both = model.weights.copy(), model.blocks.copy()
+        for slab, _, w in means:
+            s, of = slab // 2, both[slab % 2]
+            of[s: s + SLAB] += np.frombuffer(w, np.float16).reshape(SLAB, -1)  # rows not seen have moved by 0
+        model = ClassModel(model.head, word_class, tree, *both)
+        shared.destroy()  # its copies on disk go
     return model
 
 
@@ -321,7 +427,6 @@ class Scorer:
     model: ClassModel
     table: WordTable
     counts: np.ndarray      # of the table's words
-    inside: np.ndarray      # log10 P(word | class) of the head words
     tail_total: np.ndarray  # training tokens of each spelling class outside the head
     unseen: np.ndarray      # share of each spelling class for words never seen
     n: int
@@ -342,20 +447,18 @@ class Scorer:
         rows = len(offsets) - 1
         of = np.repeat(np.arange(rows), np.diff(bounds))
         ids, cls = self.model.ids(h)
-        feats = self.model.rows(ids, cls, bounds)
-        log_class = np.empty(len(h))
+        keys = self.model.keys(ids, bounds)
+        logs = np.empty(len(h))
         for lo in range(0, len(h), MINI):
-            part = self.model.log_softmax(feats[lo: lo + MINI])
-            log_class[lo: lo + MINI] = part[np.arange(len(part)), cls[lo: lo + MINI]]
+            part = self.model.log_class(self.model.class_rows(keys[lo: lo + MINI]))
+            logs[lo: lo + MINI] = part[np.arange(len(part)), cls[lo: lo + MINI]] + self.model.log_word(keys[lo: lo + MINI], ids[lo: lo + MINI])
         place = self.table.place(h)
         known = place >= 0
         count = np.where(known, self.counts[place] if len(self.counts) else 0, 0)
         base = np.where(known, np.log10((count + 0.5) / self.norm), 0.0)
-        tail = cls >= CLASSES
-        word = np.where(tail, 0.0, self.inside[np.minimum(ids, len(self.inside) - 1)] if len(self.inside) else 0.0)
-        at = tail & known
-        word[at] = self.tail_log10(count[at], cls[at] - CLASSES)
-        score = log_class / np.log(10) + word
+        score = logs / np.log(10)
+        at = (ids >= len(self.model.word_class)) & known
+        score[at] += self.tail_log10(count[at], cls[at] - CLASSES)
 
         def total(x):
             return np.bincount(of, weights=x, minlength=rows)
@@ -395,20 +498,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.where(~held_out(F.col("doc_id"))).select("text", part.alias("part"))
     counts = stage(word_counts(texts), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words, word_counts_ = most_frequent(counts, TABLE)
-    head, head_counts = words[:HEAD], word_counts_[:HEAD]
-    word_class = neighbour_classes(texts, head, head_counts)
-    # totals of the spelling classes without the head
+    often = counts.where(F.col("c") >= LEAST).count()
+    words, word_counts_ = most_frequent(counts, max(TABLE, often))
+    head, head_counts = words[: max(HEAD, often)], word_counts_[: max(HEAD, often)]
+    spelling = (head & _U(7)).astype(int)
+    word_class = np.concatenate([neighbour_classes(texts, head[:HEAD], head_counts[:HEAD]), CLASSES + spelling[HEAD:]]).astype(np.int64)
+    # totals of the spelling classes without the words that have a leaf
     tail = F.col("h").bitwiseAND(F.lit(7))
     total, ones = np.zeros(TAILS), np.zeros(TAILS)
     for r in counts.groupBy(tail.alias("t")).agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("ones")).collect():
         total[r["t"]], ones[r["t"]] = r["n"], r["ones"]
-    np.subtract.at(total, (head & _U(7)).astype(int), head_counts)
-    np.subtract.at(ones, (head & _U(7)).astype(int), (head_counts == 1).astype(float))
-    class_counts = np.concatenate([np.bincount(word_class, weights=head_counts, minlength=CLASSES), total])
-    model = train(texts, head, word_class, class_counts)
-    inside = np.log10(head_counts / np.maximum(class_counts[word_class], 1)) if len(head) else np.zeros(0)
-    scorer = Scorer(model, WordTable(words), word_counts_, inside, total, (ones + 1) / (total + 2), n, v)
+    np.subtract.at(total, spelling, head_counts)
+    np.subtract.at(ones, spelling, (head_counts == 1).astype(float))
+    leaf_class, leaf_counts = np.concatenate([word_class, CLASSES + np.arange(TAILS)]), np.concatenate([head_counts, total + 1])
+    class_counts = np.bincount(leaf_class, weights=np.concatenate([head_counts, total]), minlength=WIDTH)
+    model = train(texts, head, word_class, class_counts, word_trees(leaf_class, leaf_counts))
+    scorer = Scorer(model, WordTable(words), word_counts_, total, (ones + 1) / (total + 2), n, v)
     shared = spark.sparkContext.broadcast(scorer)
 
     def task(batches):

@@ -205,6 +205,24 @@ def test_prefix_hashes_compare_spans():
     assert likeness(Windows("").sketch(), Windows("").sketch()) == 1.0 and likeness(Windows("a").sketch(), Windows("").sketch()) == 0.0
 
 
+def test_common_parts_of_neighbours_are_exact(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 12))) for _ in range(300)] + ["", "aaaa", "aaaa", "aa", "é" * 9]
+    long = "".join(rng.choice("abcdefgh") for _ in range(150_000))
+    texts += [long[:140_000] + "X" + long[140_001:], long, "Y" + long[1:]]
+    rows = list(enumerate(texts)) + [(None, "abab")]
+
+    def shared(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    got = {r["doc_id"]: r for r in fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
+    for i, t in rows:
+        after = "" if i is None else texts[i - 1]
+        e, seam = edited(t, after), t[len(t) - len(t) // 2:]
+        want = (shared(t, e), shared(t[::-1], e[::-1]), shared(t, after), shared(t[::-1], after[::-1]), shared(seam, after))
+        assert tuple(got[i][k] for k in ("edited_prefix", "edited_suffix", "next_prefix", "next_suffix", "seam")) == want
+
+
 @pytest.mark.parametrize("ranges", [1, 7])
 def test_fingerprint_rows(spark, ranges):
     docs = Q.table(spark, SF, "documents")

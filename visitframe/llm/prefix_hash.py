@@ -12,6 +12,10 @@ likeness of two fingerprints is the share of common hashes among the `SIZE`
 smallest of both. The hash of a text that was joined from parts is put together
 from the parts' spans and the few spans over the seam.
 
+The fingerprint's likeness is a sample; what a text shares at its ends with its edited
+text and with the following one is exact (`extensions`), from prefix hashes of the
+whole texts, which take 16 bytes a code point while the two texts are compared.
+
 Every document is compared with the next one in descending order of ids. Texts are
 dealt out once by ranges of ids; the first row of each range also goes, as a
 guest, to the range before, so neighbours always meet in one task.
@@ -90,13 +94,23 @@ class PrefixHashes:
     def common_extension(self, start: np.ndarray, other: "PrefixHashes", other_start: np.ndarray) -> np.ndarray:
         """Length of the longest common run from each pair of places, by binary search over span hashes."""
         start, other_start = np.asarray(start), np.asarray(other_start)
-        lo = np.zeros(len(start), np.int64)
-        hi = np.minimum(self.n - start, other.n - other_start)
-        while (lo < hi).any():
-            mid = (lo + hi + 1) // 2
-            same = self.span(start, start + mid) == other.span(other_start, other_start + mid)
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
+        return _longest(np.minimum(self.n - start, other.n - other_start),
+                        lambda k: self.span(start, start + k) == other.span(other_start, other_start + k))
+
+    def common_extension_back(self, end: np.ndarray, other: "PrefixHashes", other_end: np.ndarray) -> np.ndarray:
+        """Length of the longest common run up to each pair of places."""
+        end, other_end = np.asarray(end), np.asarray(other_end)
+        return _longest(np.minimum(end, other_end), lambda k: self.span(end - k, end) == other.span(other_end - k, other_end))
+
+
+def _longest(most: np.ndarray, same) -> np.ndarray:
+    """Largest lengths up to `most` with `same`, which holds for all smaller ones; steps double first, as most runs are short."""
+    lo, hi = np.zeros(len(most), np.int64), most
+    while (lo < hi).any():
+        mid = np.minimum((lo + hi + 1) // 2, 2 * lo + 1)
+        yes = same(mid)
+        lo, hi = np.where(yes, mid, lo), np.where(yes, hi, mid - 1)
+    return lo
 
 
 def _smallest(hashes: np.ndarray) -> np.ndarray:
@@ -113,12 +127,16 @@ def _smallest(hashes: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """Span hashes of a text and of its beginnings, for its own fingerprint and those of joined texts."""
+    """Span hashes of a text and of its beginnings, for its own fingerprint and those of joined texts, and its prefix hashes as a whole."""
 
     def __init__(self, text: str):
         self.codes = code_points(text)
         self.n = len(self.codes)
-        self.hashes = np.concatenate([PrefixHashes(self.codes[i: i + PIECE + SPAN - 1]).windows(SPAN) for i in range(0, max(1, self.n - SPAN + 1), PIECE)])
+        self.prefix = PrefixHashes(self.codes)
+        if self.n <= PIECE:
+            self.hashes = self.prefix.windows(SPAN)
+        else:
+            self.hashes = np.concatenate([PrefixHashes(self.codes[i: i + PIECE + SPAN - 1]).windows(SPAN) for i in range(0, max(1, self.n - SPAN + 1), PIECE)])
 
     @staticmethod
     def whole(codes: np.ndarray) -> np.ndarray:
@@ -135,6 +153,21 @@ class Windows:
         return _smallest(np.concatenate([self.hashes[: max(0, n - SPAN + 1)], PrefixHashes(seam).windows(SPAN), other.hashes[: max(0, m - SPAN + 1)]]))
 
 
+def extensions(w: Windows, v: Windows) -> tuple[int, int, int, int, int]:
+    """(edited_prefix, edited_suffix, next_prefix, next_suffix, seam) of a text, its edited text and the following text.
+
+    Common prefix and suffix of text and edited text, and of text and following text; and how far the following
+    text's start agrees with the text from the seam of the edited text on. Whatever their length, from span hashes.
+    """
+    half = w.n // 2
+    kept, taken = w.n - half, min(half, v.n)
+    seam, next_prefix = w.prefix.common_extension([kept, 0], v.prefix, [0, 0]).tolist()
+    suffix, next_suffix = w.prefix.common_extension_back([w.n, w.n], v.prefix, [taken, v.n]).tolist()
+    if suffix == taken:  # all that was put in; go on before the seam
+        suffix += int(w.prefix.common_extension_back([w.n - taken], w.prefix, [kept])[0])
+    return kept + min(seam, taken), suffix, next_prefix, next_suffix, seam
+
+
 def fingerprint(sketch: np.ndarray) -> str:
     return sketch.astype(">u8").tobytes().hex()
 
@@ -153,13 +186,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, " \
+         "edited_prefix long, edited_suffix long, next_prefix long, next_suffix long, seam long"
 
 
 def _pair(text: str, w: Windows, after: str, v: Windows) -> tuple:
     half = w.n // 2
     own, mixed, following = w.sketch(), w.joined_sketch(w.n - half, v, min(half, v.n)), v.sketch()
-    return (w.n, hashlib.sha256(edited(text, after).encode()).hexdigest(), fingerprint(own), fingerprint(mixed), likeness(own, mixed), likeness(own, following))
+    return (w.n, hashlib.sha256(edited(text, after).encode()).hexdigest(), fingerprint(own), fingerprint(mixed), likeness(own, mixed), likeness(own, following),
+            *extensions(w, v))
 
 
 def by_ranges(docs: DataFrame, ranges: int) -> DataFrame:
@@ -216,13 +251,13 @@ def _alone_task(batches):
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), *[pa.int64()] * 5]
     cols = list(zip(*rows)) if rows else [()] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))])
 
 
 def fingerprint_documents(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and `extensions`.
 
     `docs` has a whole-number doc_id and a text; a null text is an empty one. Rows of the same id follow each other
     in the order of their packed texts. A row without an id has no follower: its edited text is its first half, and it is compared with nothing.

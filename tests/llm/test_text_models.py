@@ -143,6 +143,16 @@ def test_votes_find_written_out_data_and_leave_plain_text(spark):
     assert find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("form", ["jane@example dot com", "jane@example[dot]com", "jane @example.com", "jane@ example.com", "jane [ @ ] example.com", "jane{at} example (.) com", "jane(AT )example DOT com"])
+def test_every_loose_address_is_a_candidate(spark, form):
+    from visitframe.llm.weak_pii import candidates
+    t = f"Please contact {form}, thanks"
+    assert candidates(t, strict_spans(t)) == [("email", 15, 15 + len(form), False)]
+    rows = [(0, t)] + [(i, "write to john.doe [at] mail [dot] com now") for i in range(1, 5)]
+    spans = {r["doc_id"]: r["spans"] for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[0] == f"email:15:{15 + len(form)}"
+
+
 def test_expectation_maximisation_trusts_agreeing_labelers():
     post, reliability, prior = aggregate_votes({(1, 1, 1, 1): 50, (1, 1, -1, 1): 40, (-1, -1, 1, -1): 60, (-1, -1, -1, -1): 50})
     assert post[1, 1, -1, 1] > 0.99 and post[-1, -1, 1, -1] < 0.01 and 0.4 < prior < 0.5

@@ -38,7 +38,8 @@ TRACE = re.compile(r"[0-9@]")
 LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[({] ?(?:at|AT|@) ?[\])}] ?| (?:at|AT) | ?@ ?)"
                          r"[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| (?:dot|DOT) |\.)[A-Za-z0-9-]{1,63})+")
 LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:00[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z])")
-WRITTEN = re.compile(r"[\[({ ](?:at|AT|@)[\])} ]")
+# stands in every text in which LOOSE_EMAIL can match
+WRITTEN = re.compile(r"@|[\[({ ](?:at|AT)[\])} ]")
 
 #: gazetteers: common endings of addresses, first digits of card networks, words that come before each kind
 TOP_DOMAINS = frozenset("com org net edu gov info biz io co uk de fr es it nl eu us ca au ch at be se no dk pl pt br jp cn ru in mx ar".split())

@@ -293,6 +293,18 @@ def test_words_of_one_class_depend_on_the_history(spark, monkeypatch):
     assert score[held[0]] > score[held[1]] + 0.5 * len(some)
 
 
+def test_most_frequent_words_fill_the_table(spark):
+    from visitframe.llm import maxent_lm as M
+    rng = random.Random(2)
+    rows = [(rng.getrandbits(64) - 2**63, 9 if i < 10 else 5) for i in range(2000)]
+    counts = spark.createDataFrame(rows, "h long, c long")
+    want = sorted(((c, h % 2**64) for h, c in rows), key=lambda r: (-r[0], r[1]))
+    for most in (5, 10, 100, 1999, 2000, 3000):
+        h, c = M.most_frequent(counts, most)
+        assert list(zip(c.tolist(), h.tolist())) == want[:most]
+    assert len(M.most_frequent(counts.limit(0), 7)[0]) == 0
+
+
 def test_word_trees_are_proper_distributions():
     from visitframe.llm import maxent_lm as M
     rng = np.random.default_rng(3)

@@ -128,19 +128,33 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most `most` tokens, all those with at least some count, as hashes and counts in descending order."""
-    step = F.floor(F.log2("c") * 16)
+    """The `most` most frequent tokens (all, if there are fewer), as hashes and counts in descending order.
+
+    Where a step of nearly equal counts does not fit whole, it gives its smallest hashes.
+    """
+    step, prefix = F.floor(F.log2("c") * 16), F.shiftrightunsigned("h", 48)
     sizes = counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect()  # 16 rows per doubling of counts
-    total, least = 0, None
+    room, whole, part, cut = most, [], None, -1
     for r in sizes:
-        total += r["n"]
-        if total > most:
+        if r["n"] > room:
+            part = r["s"]
             break
-        least = r["s"]
-    if least is None:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    rows = counts.where(step >= least).toArrow()
+        room -= r["n"]
+        whole.append(r["s"])
+    if part is not None:
+        left = room
+        for r in counts.where(step == part).groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():  # 65,536 rows at most
+            left -= r["n"]
+            if left >= 0 or room > 0:
+                cut = r["p"]
+            if left <= 0:
+                break
+    taken = step >= (whole[-1] if whole else (part or 0) + 1)
+    rows = counts.where(taken if part is None else taken | ((step == part) & (prefix <= cut))).select("h", "c", (step.eqNullSafe(F.lit(part)) if part is not None else F.lit(False)).alias("last")).toArrow()
     h, c = rows.column("h").to_numpy().astype(np.int64).view(_U), rows.column("c").to_numpy()
+    last = rows.column("last").to_numpy().astype(bool)
+    kept = np.concatenate([np.flatnonzero(~last), np.flatnonzero(last)[np.argsort(h[last])][:room]])
+    h, c = h[kept], c[kept]
     order = np.lexsort((h, -c))
     return h[order], c[order]
 

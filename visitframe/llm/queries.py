@@ -178,3 +178,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from visitframe.llm.maxent_lm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM documents),
+n AS (SELECT r, doc_id, len(a) AS n FROM d WHERE len(a) > 0), g AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM n),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(a) AS t FROM d) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), g),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM benchmark),
+it AS (SELECT q, item_id, t, count(*) AS times FROM (SELECT q, item_id, unnest(a) AS t FROM i) GROUP BY q, item_id, t),
+m AS (SELECT r, doc_id, 75 + (25 * n * nn) // ll AS m FROM n, g),
+s AS (SELECT q, item_id, m.r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM it JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY q, item_id, m.r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS p FROM s WHERE score > 0)
+SELECT item_id, CAST(p AS INTEGER) AS rank, doc_id, score FROM k WHERE p <= 20
+"""
+
+
+@query("op11_block_max_search", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from visitframe.llm.maxscore import LexicalIndex
+
+    return LexicalIndex(table(spark, sf_dir, "documents")).search(table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+w AS (SELECT r, unnest(range(1, len(a) - 33)) AS i, unnest(list_transform(range(1, len(a) - 33), lambda i: md5(array_to_string(a[i:i + 34], ' ')))) AS h FROM d WHERE len(a) >= 35),
+hit AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+gone AS (SELECT r, list(pos) AS p FROM hit GROUP BY r),
+words AS (SELECT r, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS word FROM d),
+kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.pos) AS t FROM words LEFT JOIN hit ON words.r = hit.r AND words.pos = hit.pos WHERE hit.r IS NULL GROUP BY words.r)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+@query("op13_recompression", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from visitframe.llm.recompression import RepeatedPassages
+
+    return RepeatedPassages(table(spark, sf_dir, "documents")).cut()

@@ -219,3 +219,30 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from visitframe.llm.recompression import RepeatedPassages
 
     return RepeatedPassages(table(spark, sf_dir, "documents")).cut()
+
+
+OP12_SQL = r"""
+WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || chr(0) || coalesce(text, ''))) AS p,
+    md5(coalesce(role, '') || chr(0) || coalesce(text, '')) AS id, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+crc(c, rest, v) AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR), 4294967295 FROM t
+  UNION ALL SELECT c, rest[2:], xor(v >> 8, list_reduce([xor(v & 255, ascii(rest))] || [0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) FROM crc WHERE rest <> ''),
+h AS (SELECT c, xor(v, 4294967295) % 6 AS h FROM crc WHERE rest = ''),
+r AS (SELECT c, p, id, n FROM h JOIN t ON t.conv_id = c - c % 100 AND p <= h UNION ALL SELECT c, p + 1000000 AS p, id, n FROM h JOIN t ON t.conv_id = c AND p > h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY p) AS d, id, n FROM r),
+q AS (SELECT h.c, coalesce(string_agg(id, '' ORDER BY d), '') AS k, count(id) AS len FROM h LEFT JOIN s ON s.c = h.c GROUP BY h.c),
+m AS (SELECT c, unnest(range(0, len + 1)) AS d, k, len FROM q),
+node AS (SELECT left(k, 32 * d) AS k, d, min(c) AS c, count(*) AS n, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len = d), '') AS ends FROM m GROUP BY 1, 2),
+v AS (SELECT node.*, coalesce((node.n - 1) * s.n, 0) AS saved FROM node LEFT JOIN s ON s.c = node.c AND s.d = node.d),
+kids AS (SELECT left(k, 32 * (d - 1)) AS k, count(*) AS kids FROM node WHERE d > 0 GROUP BY 1),
+x AS (SELECT v.*, coalesce(kids, 0) AS kids FROM v LEFT JOIN kids USING (k)),
+under AS (SELECT left(k, 32 * u) AS k, sum(saved) AS saved, count(*) FILTER (kids = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM x) GROUP BY 1)
+SELECT x.c AS conv_id, x.d AS depth, up.c AS parent_conv_id, x.n AS n_convs, x.kids AS n_children, under.leaves AS n_leaves, CAST(under.saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM x JOIN under USING (k) LEFT JOIN node up ON x.d > 0 AND up.k = left(x.k, 32 * (x.d - 1))
+"""
+
+
+@query("op12_double_array_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from visitframe.llm.prefix_trie import conversation_nodes
+
+    return conversation_nodes(table(spark, sf_dir, "conversations"))

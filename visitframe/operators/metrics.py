@@ -6,17 +6,26 @@ exact and the ranking step sees distinct scores only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from visitframe.functions.columns import logit, qcut
 from visitframe.operators.profile import spearman, unpivot
 from visitframe.session import spread, stage
-from visitframe.scaling import md5_key, null_safe_join, prefix_sums, rank_by_md5
+from visitframe.scaling import bucket_edges, bucket_of, md5_key, null_safe_join, prefix_sums, rank_by_md5
+
+
+#: cells that one node of a bootstrap tree deals to, and the bits (children) of an inner node
+NODE_CELLS, FAN_BITS = 512, 9
+#: cells of one sorted chunk of a score
+CHUNK_CELLS = 2_000
 
 
 def score_cells(df: DataFrame, by: Sequence[str], p: str = "p", y: str = "y", w: Column | None = None) -> DataFrame:
@@ -91,6 +100,184 @@ def resample(df: DataFrame, by: Sequence[str], key: str, draws: int, seed: str,
     return null_safe_join(counts, ranked.drop("__n"), [*by, "idx"], "inner").drop("idx")
 
 
+def deal_cells(cells: DataFrame, by: Sequence[str], draws: int, seed: str, per_node: int | None = None) -> DataFrame:
+    """Cells (…, n) with packed weights `w`, one per replicate: exactly as many draws per group and replicate as the group has rows.
+
+    Weight 0 is the cell's own number of rows, so replicate 0 is the table itself.
+
+    Cells hang below a tree over the leading bits of their hash. From the top down every node deals the draws it got to
+    its children by one multinomial draw per replicate, that is conditional binomials; the last level
+    deals to its cells. A node is one row, so no group meets in one task, and the work is cells times draws whatever the
+    number of rows. Draws depend on the seed, the group and the node alone, so a task that runs again draws the same.
+    """
+    by, size = list(by), per_node or NODE_CELLS
+    names = [c for c in cells.columns if c != "n"]
+    total = cells.count()
+    bits = max(0, math.ceil(math.log2(total / size))) if total > size else 0
+    marked = cells.withColumn("__h", F.xxhash64(*names, F.lit(seed)))
+    node = lambda width: F.expr(f"shiftrightunsigned(__h, {64 - width})") if width else F.lit(0).cast("long")
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    keys = "".join(f"`{c}` {kinds[c]}, " for c in by)
+
+    inner = [c for c in names if c not in by]
+
+    def nodes(batches: Iterator[pa.RecordBatch]):
+        """(batch, row, children as structs, draws x children) of each node."""
+        for batch in batches:
+            at = {c: batch.schema.get_field_index(c) for c in ("kids", "drawn", "__seed")}
+            for i in range(batch.num_rows):
+                kids = batch.column(at["kids"])[i].values
+                n = kids.field("n").to_numpy(zero_copy_only=False)
+                got = batch.column(at["drawn"])[i]
+                got = got.values.to_numpy() if got.is_valid else np.full(draws, n.sum())
+                rng = np.random.default_rng([batch.column(at["__seed"])[i].as_py() & (2**63 - 1), len(n)])
+                yield batch, i, kids, rng.multinomial(got, n / n.sum())
+
+    def groups(batch: pa.RecordBatch, i: int, n: int) -> list[pa.Array]:
+        return [batch.column(batch.schema.get_field_index(c)).take(pa.array(np.full(n, i))) for c in by]
+
+    def to_children(batches):
+        for batch, i, kids, w in nodes(batches):
+            columns = [*groups(batch, i, len(kids)), kids.field("node"), pa.array(list(np.ascontiguousarray(w.T)), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*by, "__node", "drawn"])
+
+    def to_cells(batches):
+        for batch, i, kids, w in nodes(batches):
+            own = kids.field("n").to_numpy(zero_copy_only=False)
+            columns = [*groups(batch, i, len(kids)), *[kids.field(c) for c in inner], pa.array([pack_weights(np.append(n, r)) for n, r in zip(own, w.T)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*by, *inner, "w"])
+
+    def joined(kids: DataFrame, drawn: DataFrame | None) -> DataFrame:
+        kids = kids.withColumn("__seed", F.xxhash64(*[F.col(c) for c in by], "__node", F.lit(seed)))
+        if drawn is None:
+            return spread(kids.withColumn("drawn", F.lit(None).cast("array<bigint>")))
+        return null_safe_join(kids, drawn, [*by, "__node"])
+
+    drawn, width = None, 0
+    while width < bits:
+        deeper = min(width + FAN_BITS, bits)
+        kids = (marked.groupBy(*by, node(deeper).alias("node")).agg(F.sum("n").alias("n"))
+                .withColumn("__node", F.expr(f"shiftrightunsigned(node, {deeper - width})")).groupBy(*by, "__node").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("kids")))
+        drawn = joined(kids, drawn).mapInArrow(to_children, keys + "__node long, drawn array<bigint>")
+        width = deeper
+    kids = marked.groupBy(*by, node(bits).alias("__node")).agg(F.sort_array(F.collect_list(F.struct("__h", "n", *inner))).alias("kids"))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, *inner])
+    return joined(kids, drawn).mapInArrow(to_cells, f"{schema}, w binary")
+
+
+def pack_weights(w: np.ndarray) -> bytes:
+    """Weights in the narrowest whole numbers that hold them, after a byte with their width."""
+    kind = np.min_scalar_type(int(w.max(initial=0)))
+    return bytes([kind.itemsize]) + w.astype(kind).tobytes()
+
+
+def unpack_weights(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64)
+
+
+def explode_weights(dealt: DataFrame) -> DataFrame:
+    """A row per cell and replicate that drew it; replicate 0 is the table itself."""
+    rest = [c for c in dealt.columns if c != "w"]
+
+    def task(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("w")
+            for i in range(batch.num_rows):
+                w = unpack_weights(batch.column(at)[i].as_py())
+                rep = np.flatnonzero(w)
+                same = pa.array(np.full(len(rep), i))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(same) for c in range(batch.num_columns) if c != at], pa.array(rep.astype(np.int32)), pa.array(w[rep])],
+                                                 names=[*rest, "rep", "w"])
+
+    return dealt.mapInArrow(task, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields if f.name != "w") + ", rep int, w long")
+
+
+def replicate_metrics(dealt: DataFrame, by: Sequence[str], score: str, precision: bool = True) -> DataFrame:
+    """(by, rep, n, events, auroc, auprc, brier) of one score over dealt cells (by, y, score, w), without a row per draw.
+
+    Cells are cut into chunks by even edges of the score and sorted. A task runs through a chunk with one number per
+    replicate, for all replicates at once: positives, negatives, pairs inside the chunk, squared errors. Chunk totals are
+    scanned per replicate; for the average precision a second run starts each chunk from what lies above it.
+    """
+    by = list(by)
+    cells = dealt.select(*by, F.col(score).alias("v"), "y", "w")
+    edges = bucket_edges(cells, "v", CHUNK_CELLS)
+    cells = cells.withColumn("chunk", bucket_of("v", edges))
+    keys, kinds = [*by, "chunk"], {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in keys)
+
+    def chunks(batches):
+        """(key, start or None, [(score, positives, negatives)]) chunk by chunk; ties are one entry."""
+        key, start, entries = None, None, []
+        for batch in batches:
+            cols = batch.to_pydict()
+            for row in zip(*(cols[c] for c in [*keys, "v", "y", "w"])):
+                if row[:-3] != key:
+                    if key is not None:
+                        yield key, start, entries
+                    key, start, entries = row[:-3], None, []
+                v, y, w = row[-3:]
+                if v is None:
+                    start = np.frombuffer(w).reshape(3, -1)
+                    continue
+                w = unpack_weights(w)
+                if not entries or entries[-1][0] != v:
+                    entries.append([v, np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)])
+                entries[-1][1 if y else 2] += w
+        if key is not None:
+            yield key, start, entries
+
+    def rows(key, **columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        arrays = [pa.array([k] * n, pa_kinds[c]) for c, k in zip(keys, key)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, columns.values())], names=[*keys, "rep", *columns])
+
+    pa_kinds = {f.name: to_arrow_type(f.dataType) for f in cells.schema.fields}
+
+    def totals(batches):
+        for key, _, entries in chunks(batches):
+            pos = neg = pairs = square = 0
+            for v, a, b in entries:
+                pairs = pairs + a * (neg + b / 2)
+                pos, neg, square = pos + a, neg + b, square + a * (v - 1.0) ** 2 + b * v**2
+            yield rows(key, pos=pos, neg=neg, pairs=pairs, square=square)
+
+    def precisions(batches):
+        for key, (tp, fp, all_pos), entries in chunks(batches):
+            out = np.zeros(len(tp))
+            for _, a, b in reversed(entries):
+                tp, fp = tp + a, fp + b
+                out += np.divide(a * tp, (tp + fp) * all_pos, out=np.zeros(len(a)), where=a > 0)
+            yield rows(key, auprc=out)
+
+    run = stage(cells.repartition(*keys).sortWithinPartitions(*keys, "v").mapInArrow(totals, schema + "rep int, pos long, neg long, pairs double, square double"), "replicate-chunks")
+    g, up = Window.partitionBy(*by, "rep"), Window.partitionBy(*by, "rep").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*by, "rep").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    scanned = run.withColumns({"below": zero(F.sum("neg").over(up)), "tp": zero(F.sum("pos").over(down)), "fp": zero(F.sum("neg").over(down)), "all_pos": F.sum("pos").over(g)})
+    P, N = F.sum("pos"), F.sum("neg")
+    two = (P > 0) & (N > 0)
+    out = scanned.groupBy(*by, "rep").agg((P + N).alias("n"), P.alias("events"), F.when(two, F.sum(F.col("pairs") + F.col("pos") * F.col("below")) / (P * N)).alias("auroc"),
+                                          (F.sum("square") / (P + N)).alias("brier"))
+    if not precision:
+        return out
+
+    part = F.sort_array(F.collect_list(F.struct("rep", "tp", "fp", "all_pos")))
+    heads = scanned.groupBy(*keys).agg(part.alias("s"))
+
+    def packed(batches):
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("s"))
+            w = [np.stack([lists[i].values.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("tp", "fp", "all_pos")]).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keys], pa.array(w, pa.binary())], names=[*keys, "w"])
+
+    heads = heads.mapInArrow(packed, schema + "w binary").select(*keys, F.lit(None).cast("double").alias("v"), F.lit(None).cast(kinds["y"]).alias("y"), "w")
+    both = cells.withColumn("v", F.col("v").cast("double")).select(*keys, "v", "y", "w").unionByName(heads)
+    ap = both.repartition(*keys).sortWithinPartitions(*keys, F.col("v").asc_nulls_first()).mapInArrow(precisions, schema + "rep int, auprc double").groupBy(*by, "rep").agg(F.sum("auprc").alias("auprc"))
+    out = null_safe_join(out, ap, [*by, "rep"])
+    return out.withColumn("auprc", F.when(F.col("auroc").isNotNull(), F.col("auprc")))
+
+
 def resample_cells(cells: DataFrame, draws: int, seed: str) -> DataFrame:
     """Cells (…, n) with a replicate number and a Poisson(n) weight: what n rows with Poisson(1) weights add up to.
 
@@ -112,16 +299,25 @@ def resample_cells(cells: DataFrame, draws: int, seed: str) -> DataFrame:
 
 
 def bootstrap(df: DataFrame, by: Sequence[str], key: str, draws: int = 1000, seed: str = "boot", p_ref: str | None = None,
-              method: str = "draws") -> DataFrame:
+              method: str = "cells") -> DataFrame:
     """Point values and 95% intervals; one-class replicates are skipped.
 
-    With `p_ref` also the paired AUROC difference on the same replicates.
+    With `p_ref` also the paired AUROC difference on the same replicates. Methods: `cells` deals exactly n draws to the
+    distinct (group, outcome, score) cells, `poisson cells` gives them independent weights, `draws` and `poisson` draw
+    for every row. `min_drawn` and `max_drawn` are the least and the most rows of a replicate.
     """
     by = list(by)
     cols = [*by, key, "y", "p", *([p_ref] if p_ref else [])]
     base = df.select(*cols).where("y IS NOT NULL AND p IS NOT NULL")
     # replicate 0 is the sample itself; both scores are ranked in the same pass
     if method == "cells":
+        cells = stage(base.groupBy(*[c for c in cols if c != key]).agg(F.count("*").alias("n")), "bootstrap-cells")
+        dealt = stage(deal_cells(cells, by, draws, seed), "dealt-cells")
+        m = replicate_metrics(dealt, by, "p")
+        if p_ref:
+            m = null_safe_join(m, replicate_metrics(dealt, by, p_ref, precision=False).select(*by, "rep", F.col("auroc").alias("__ref")), [*by, "rep"])
+        return _intervals(m, by, p_ref is not None)
+    if method == "poisson cells":
         cells = stage(base.groupBy(*[c for c in cols if c != key]).agg(F.count("*").alias("n")), "bootstrap-cells")
         every = resample_cells(cells, draws, seed).unionByName(cells.withColumn("rep", F.lit(0)).withColumnRenamed("n", "w"))
     else:
@@ -131,16 +327,20 @@ def bootstrap(df: DataFrame, by: Sequence[str], key: str, draws: int = 1000, see
     group = [*by, "rep", "score"]
     m = ranking_metrics(score_cells(long, group, "__p", "y", F.col("w")), group)
     own = lambda c, s="p": F.max(F.when(F.col("score") == s, F.col(c))).alias(c if s == "p" else "__ref")
-    names = ["n", "events", "auroc", "auprc", "brier"]
-    m = m.groupBy(*by, "rep").agg(*[own(c) for c in names], own("auroc", "ref"))
-    stats = ["auroc", "auprc", "brier"]
-    if p_ref:
+    return _intervals(m.groupBy(*by, "rep").agg(*[own(c) for c in ("n", "events", "auroc", "auprc", "brier")], own("auroc", "ref")), by, p_ref is not None)
+
+
+def _intervals(m: DataFrame, by: Sequence[str], paired: bool) -> DataFrame:
+    """Point values (replicate 0) and intervals from metrics per replicate."""
+    names, stats = ["n", "events", "auroc", "auprc", "brier"], ["auroc", "auprc", "brier"]
+    if paired:
         m = m.withColumn("delta_auroc", F.col("auroc") - F.col("__ref"))
         stats.append("delta_auroc")
         names.append("delta_auroc")
     drawn = (F.col("rep") > 0) & F.col("auroc").isNotNull()
     return m.groupBy(*by).agg(
         *[F.max(F.when(F.col("rep") == 0, F.col(c))).alias(c) for c in names], F.count_if(drawn).alias("replicates"),
+        *[f(F.when(F.col("rep") > 0, F.col("n"))).alias(c) for c, f in (("min_drawn", F.min), ("max_drawn", F.max))],
         *[F.percentile(F.when(drawn, F.col(c)), q).alias(f"{c}_{s}") for c in stats for s, q in (("lo", 0.025), ("hi", 0.975))])
 
 
@@ -273,10 +473,14 @@ def c_index(df: DataFrame, by: Sequence[str] = (), **kw) -> DataFrame:
     return c.withColumn("c_index", F.try_divide(F.col("concordant") + F.col("tied") / 2.0, F.col("comparable")))
 
 
-def c_index_gain(df: DataFrame, key: str, draws: int = 200, seed: str = "cgain", method: str = "draws") -> DataFrame:
-    """Paired gain of `risk` over `risk_ref` with a 95% interval over the same replicates."""
+def c_index_gain(df: DataFrame, key: str, draws: int = 200, seed: str = "cgain", method: str = "cells") -> DataFrame:
+    """Paired gain of `risk` over `risk_ref` with a 95% interval over the same replicates, dealt to distinct rows as in `bootstrap`."""
     base = df.select(key, "time", "event", "risk", "risk_ref")
-    every = resample(base, [], key, draws, seed, method).unionByName(base.withColumns({"rep": F.lit(0), "w": F.lit(1).cast("long")}))
+    if method == "cells":
+        cells = stage(base.drop(key).dropna(subset=["time", "event"]).groupBy("time", "event", "risk", "risk_ref").agg(F.count("*").alias("n")), "concordance-cells")
+        every = explode_weights(deal_cells(cells, [], draws, seed))
+    else:
+        every = resample(base, [], key, draws, seed, method).unionByName(base.withColumns({"rep": F.lit(0), "w": F.lit(1).cast("long")}))
     long = every.select("rep", "time", "event", "w", F.inline(F.array(*[
         F.struct(F.lit(n).alias("model"), F.col(n).cast("double").alias("r")) for n in ("risk", "risk_ref")])))
     c = c_index(long, ["rep", "model"], risk="r", w="w").groupBy("rep").agg(

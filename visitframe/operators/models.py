@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitframe.functions.columns import logit, sigmoid
+from visitframe.operators.boosting import Booster, Settings, scorer
 from visitframe.operators.metrics import auroc, bootstrap, ranking_metrics, score_cells
 from visitframe.operators.pit import percentile_of
 from visitframe.operators.profile import unpivot
@@ -76,17 +76,11 @@ def fit_forest(df: DataFrame, features: Sequence[str], target: str = "y", trees:
     return lambda d: _positive(m.transform(design(d)))
 
 
-def fit_boosted(df: DataFrame, features: Sequence[str], target: str = "y", depths: Sequence[int] = (3, 4, 6), rounds: int = 300, step: float = 0.03,
-                seed: int = 0) -> Scorer:
-    """Boosted trees with early stopping on the validation rows; the depth is chosen by validation AUROC."""
-    design = Design(df, features)
-    data = design(df.where("split IN ('train', 'val')")).withColumn("is_val", F.col("split") == "val")
-    fits = [GBTClassifier(featuresCol="x", labelCol=target, maxDepth=d, maxIter=rounds, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-                          minInstancesPerNode=5, validationIndicatorCol="is_val", validationTol=0.001, seed=seed).fit(data) for d in depths]
-    val = df.where("split = 'val'").withColumn("y", F.col(target))
-    scorers = [lambda d, m=m: _positive(m.transform(design(d))) for m in fits]
-    best = fits[0] if len(fits) == 1 else _best(fits, scorers, val)
-    return lambda d: _positive(best.transform(design(d)))
+def fit_boosted(df: DataFrame, features: Sequence[str], target: str = "y", depths: Sequence[int] = (3, 4, 6), rounds: int = 3000, step: float = 0.03,
+                patience: int = 100, seed: int = 0) -> Scorer:
+    """Histogram boosting with missing values as they are; rounds end and the depth is chosen by validation AUROC."""
+    models = Booster(df, features, target, Settings(step=step, seed=seed)).fit(depths, rounds, patience)
+    return scorer(max(models, key=lambda m: m.score), probability=True)
 
 
 def fit_mlp(df: DataFrame, features: Sequence[str], target: str = "y", hidden: Sequence[int] = (128, 64), iterations: int = 100, seed: int = 0) -> Scorer:
@@ -96,13 +90,10 @@ def fit_mlp(df: DataFrame, features: Sequence[str], target: str = "y", hidden: S
     return lambda d: _positive(m.transform(design(d)))
 
 
-def fit_change(df: DataFrame, features: Sequence[str], target: str, rounds: int = 300, depth: int = 4, step: float = 0.03, seed: int = 0) -> Scorer:
-    """Boosted regression trees with absolute error."""
-    design = Design(df, features)
-    data = design(df.where("split IN ('train', 'val')")).withColumn("is_val", F.col("split") == "val")
-    m = GBTRegressor(featuresCol="x", labelCol=target, lossType="absolute", maxDepth=depth, maxIter=rounds, stepSize=step, subsamplingRate=0.8,
-                     featureSubsetStrategy="0.8", minInstancesPerNode=5, validationIndicatorCol="is_val", seed=seed).fit(data)
-    return lambda d: m.transform(design(d)).withColumnRenamed("prediction", "p").drop("x")
+def fit_change(df: DataFrame, features: Sequence[str], target: str, rounds: int = 3000, depth: int = 4, step: float = 0.03, patience: int = 100, seed: int = 0) -> Scorer:
+    """Boosted regression trees with absolute error; rounds end by the error on the validation rows."""
+    model, = Booster(df, features, target, Settings(step=step, absolute=True, seed=seed)).fit([depth], rounds, patience)
+    return scorer(model, probability=False)
 
 
 def predictions(df: DataFrame, scorers: dict[str, Scorer], keep: Sequence[str], seed: int = 0) -> DataFrame:

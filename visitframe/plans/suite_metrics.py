@@ -55,18 +55,37 @@ BOOT = PRED + """, rk AS (SELECT *, row_number() OVER (PARTITION BY segment ORDE
     "RANKR", ranked("sm", "segment, rep", "p_ref")).replace("RANK0", ranked("p", "segment")).replace("RANK1", ranked("p", "segment", "p_ref"))
 
 
-@query("j4_bootstrap", f"""WITH {BOOT} SELECT segment, n, events, pt.auroc, pt.brier, pt.auroc - pr.ref AS delta_auroc, count(*) AS replicates,
+def boot_facts(df, by, n="n"):
+    """What is certain about an interval: its point values, that every replicate drew exactly n rows, and that it holds the point."""
+    return df.select(*by, "n", "events", "auroc", "brier", *[c for c in ("delta_auroc",) if c in df.columns], "replicates", (F.col("min_drawn") == F.col("n")).alias("all_drawn"),
+                     (F.col("max_drawn") == F.col("n")).alias("none_over"), *[((F.col(f"{c}_lo") < F.col(c)) & (F.col(c) < F.col(f"{c}_hi"))).alias(f"{c}_inside") for c in ("auroc", "brier")])
+
+
+@query("j4_bootstrap", f"""WITH {PRED}, pt AS (SELECT segment, count(*) AS n, CAST(sum(y) AS BIGINT) AS events, {AUC} AS auroc, avg((p - y) ^ 2) AS brier FROM ({ranked('p', 'segment')}) GROUP BY 1),
+ pr AS (SELECT segment, {AUC} AS ref FROM ({ranked('p', 'segment', 'p_ref')}) GROUP BY 1)
+ SELECT segment, n, events, auroc, brier, auroc - ref AS delta_auroc, CAST(1000 AS BIGINT) AS replicates, true AS all_drawn, true AS none_over, true AS auroc_inside, true AS brier_inside
+ FROM pt JOIN pr USING (segment)""", "auroc brier delta_auroc")
+def _(t):
+    return boot_facts(metrics.bootstrap(t.predictions(), ["segment"], "row_id", draws=1000, p_ref="p_ref"), ["segment"])
+
+
+@query("j4_bootstrap_intervals", None, "auroc auprc brier delta_auroc auroc_lo auroc_hi auprc_lo auprc_hi brier_lo brier_hi delta_auroc_lo delta_auroc_hi")
+def _(t):
+    return metrics.bootstrap(t.predictions(), ["segment"], "row_id", draws=1000, p_ref="p_ref")
+
+
+@query("j4_bootstrap_draws", f"""WITH {BOOT} SELECT segment, n, events, pt.auroc, pt.brier, pt.auroc - pr.ref AS delta_auroc, count(*) AS replicates,
  quantile_cont(bt.auroc, 0.025) AS auroc_lo, quantile_cont(bt.auroc, 0.975) AS auroc_hi, quantile_cont(bt.auprc, 0.025) AS auprc_lo, quantile_cont(bt.auprc, 0.975) AS auprc_hi,
  quantile_cont(bt.brier, 0.025) AS brier_lo, quantile_cont(bt.brier, 0.975) AS brier_hi, quantile_cont(d, 0.025) AS delta_auroc_lo, quantile_cont(d, 0.975) AS delta_auroc_hi
  FROM pt JOIN pr USING (segment) JOIN bt USING (segment) GROUP BY ALL""",
        "auroc brier delta_auroc auroc_lo auroc_hi auprc_lo auprc_hi brier_lo brier_hi delta_auroc_lo delta_auroc_hi")
 def _(t):
-    return metrics.bootstrap(t.predictions(), ["segment"], "row_id", draws=1000, p_ref="p_ref").drop("auprc")
+    return metrics.bootstrap(t.predictions(), ["segment"], "row_id", draws=1000, p_ref="p_ref", method="draws").drop("auprc", "min_drawn", "max_drawn")
 
 
 @query("j4_bootstrap_poisson", None, "auroc auprc brier auroc_lo auroc_hi auprc_lo auprc_hi brier_lo brier_hi")
 def _(t):
-    return metrics.bootstrap(t.predictions(), ["segment"], "row_id", draws=1000, method="cells")
+    return metrics.bootstrap(t.predictions(), ["segment"], "row_id", draws=1000, method="poisson cells")
 
 
 @query("j5_calibration_bins", f"""WITH {PRED}, q AS (SELECT list_sort(list_distinct(quantile_cont(p, [i / 10.0 FOR i IN range(0, 11)]))) AS e FROM p)
@@ -111,7 +130,7 @@ def _(t):
 
 @query("j12_history_intervals", None, "auroc auprc brier auroc_lo auroc_hi auprc_lo auprc_hi brier_lo brier_hi")
 def _(t):
-    return metrics.bootstrap(with_history(t), ["history"], "row_id", draws=500, method="cells")
+    return metrics.bootstrap(with_history(t), ["history"], "row_id", draws=500)
 
 
 def survival_rows(t):

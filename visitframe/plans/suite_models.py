@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from visitframe.operators.boosting import Booster, Settings
 from visitframe.operators import explain, metrics, models, splits, survival
 from visitframe.operators.profile import reference_vector
 from visitframe.plans.fixtures import FEATURES, PRED
@@ -41,7 +43,31 @@ def _(t):
 @query("i3_boosted_trees", None, "auroc auprc brier")
 def _(t):
     df = model_table(t)
-    return held_out(df, models.fit_boosted(df, FEATS, depths=(2, 3), rounds=15, step=0.1))
+    return held_out(df, models.fit_boosted(df, FEATS))
+
+
+#: fixed cuts per feature: first edge, last edge, step
+CUTS = {"acctbal": (-1000, 10000, 500), "n_visits": (1, 40, 1), "score_f": (0, 50, 1)}
+EDGES = " UNION ALL ".join(f"SELECT {i} AS fi, '{f}' AS feature, CAST(unnest(range({a}, {b + 1}, {s})) AS DOUBLE) AS edge" for i, (f, (a, b, s)) in enumerate(CUTS.items()))
+LONG = " UNION ALL ".join(f"SELECT {i} AS fi, CAST({f} AS DOUBLE) AS x, g, h FROM tr" for i, f in enumerate(CUTS))
+
+
+@query("i3_first_split", f"""WITH {FEATURES}, m AS (SELECT avg(y) AS m FROM f WHERE entity_id % 3 <> 0), tr AS (SELECT f.*, m - y AS g, m * (1 - m) AS h FROM f, m WHERE entity_id % 3 <> 0),
+ tot AS (SELECT sum(g) AS gt, sum(h) AS ht FROM tr), e AS ({EDGES}), l AS ({LONG}),
+ c AS (SELECT fi, feature, edge, missing_left, sum(CASE WHEN x <= edge OR (x IS NULL AND missing_left) THEN g ELSE 0 END) AS gl, sum(CASE WHEN x <= edge OR (x IS NULL AND missing_left) THEN h ELSE 0 END) AS hl
+  FROM e JOIN l USING (fi), (VALUES (true), (false)) s(missing_left) GROUP BY ALL),
+ k AS (SELECT *, gl ^ 2 / (hl + 2) + (gt - gl) ^ 2 / (ht - hl + 2) - gt ^ 2 / (ht + 2) AS gain FROM c, tot WHERE hl >= 5 AND ht - hl >= 5)
+ SELECT feature, edge, missing_left, gain, -0.03 * gl / (hl + 2) AS left_value, -0.03 * (gt - gl) / (ht - hl + 2) AS right_value, ln(m / (1 - m)) AS base
+ FROM k, m ORDER BY round(gain, 9) DESC, fi, missing_left DESC, edge LIMIT 1""", "gain left_value right_value base")
+def _(t):
+    """The first split over all training rows, with fixed cuts and no draws."""
+    df = t.features().withColumn("split", F.when(F.col("entity_id") % 3 != 0, "train").otherwise("val"))
+    edges = [np.arange(a, b + 1, s, dtype=float) for a, b, s in CUTS.values()]
+    model, = Booster(df, list(CUTS), "y", Settings(rows=1, columns=1), edges).fit([1], rounds=1, trim=False)
+    tree = model.trees[0]
+    f = int(tree.feature[0])
+    row = (list(CUTS)[f], float(edges[f][tree.cut[0] - 1]), bool(tree.missing_left[0]), float(tree.gain[0]), float(tree.value[1]), float(tree.value[2]), model.base)
+    return t.spark.createDataFrame([row], "feature string, edge double, missing_left boolean, gain double, left_value double, right_value double, base double")
 
 
 @query("i4_neural_network", None, "auroc auprc brier")
@@ -53,7 +79,7 @@ def _(t):
 @query("i5_change_regression", None, "mae mae_no_change rmse r2 spearman")
 def _(t):
     df = model_table(t).withColumn("change", F.col("mean_score") - 25)
-    p = models.fit_change(df, ["acctbal", "n_visits", "share_f", "score_f"], "change", rounds=10, depth=3, step=0.1)(df.where("split IN ('test', 'external')"))
+    p = models.fit_change(df, ["acctbal", "n_visits", "share_f", "score_f"], "change")(df.where("split IN ('test', 'external')"))
     return metrics.regression_metrics(p, ["split"], y="change").drop("mae_train_median", "mean_change", "share_le0", "rmse_no_change")
 
 

@@ -224,7 +224,7 @@ def bucket_edges(cells: DataFrame, order: str, cells_per_task: int) -> list[floa
     return sorted(set(edges or []))
 
 
-def _bucket(order: str, edges: list[float]) -> Column:
+def bucket_of(order: str, edges: list[float]) -> Column:
     """Number of edges below the value, by binary search written as nested conditions."""
     v = F.col(order).cast("double")
 
@@ -255,7 +255,7 @@ def prefix_sums(cells: DataFrame, by: Sequence[str], order: str, sums: Sequence[
         prior = w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return cells.withColumns({f"{s}_before": F.coalesce(F.sum(s).over(prior), F.lit(0)) for s in sums}
                                  | {f"{s}_total": F.sum(s).over(w) for s in sums})
-    df = cells.withColumn("__b", _bucket(order, edges))
+    df = cells.withColumn("__b", bucket_of(order, edges))
     keys = [*by, "__b"]
     totals = df.groupBy(*keys).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     g = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

@@ -16,8 +16,8 @@ the corpus; each task holds one copy of them.
 
 Everything is learnt from all training texts: word counts, neighbour counts and
 one epoch of updates. For these each task goes through its texts block by block,
-moves the weights by the log ratio of observed and expected counts of every
-feature row, and sends how far its weights moved (as half-precision numbers);
+moves the weights of every feature row along the gradient (its observed less its
+expected counts), at a rate that falls as the row is seen more often, and sends how far its weights moved (as half-precision numbers);
 Spark averages that by how often a row was seen. Two such rounds share the texts between them. There is one task per core, so
 what is sent grows with the model and not with model times input.
 
@@ -45,7 +45,7 @@ WIDTH = CLASSES + TAILS
 LEAST, FAN = 32, 16
 ROWS = 1 << 15  # feature rows besides those that come with the words
 ROUNDS, SLAB = 2, 512
-SMOOTH = 4.0
+ETA = 0.15
 _U = np.uint64
 END = _U(0x5BF0_3635_1D2C_E4A8)
 BACK = 3
@@ -257,14 +257,34 @@ def word_trees(cls: np.ndarray, counts: np.ndarray) -> Tree:
     return Tree(np.cumsum([0, *map(len, paths)]), flat[:, 0].astype(np.int32), flat[:, 1].astype(np.int8), bias)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _log_of(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax's value at each row's target."""
+    z -= z.max(1, keepdims=True)
+    at = z[np.arange(len(z)), target]
+    np.exp(z, out=z)
+    return at - np.log(z.sum(1))
+
+
+def _sum_rows(weights: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """`start` plus the weights of all feature rows of each token."""
+    z = np.take(weights, rows[:, 0], axis=0)
+    z += start
+    part = np.empty_like(z)
+    for k in range(1, rows.shape[1]):
+        np.take(weights, rows[:, k], axis=0, out=part, mode="clip")
+        z += part
     return z
 
 
 def _step(weights: np.ndarray, rows: np.ndarray, target: np.ndarray, p: np.ndarray, seen: np.ndarray) -> None:
-    """One step: each feature row moves by the smoothed log ratio of observed and expected counts of its outputs."""
+    """One gradient step: a feature row moves by its observed less its expected counts, at a rate that falls with the root of how often it was seen."""
     features, width = rows.shape[1], weights.shape[1]
     flat = rows.ravel()
     order = np.sort((flat << 24) | np.arange(len(flat)))  # as one number: sorts much faster than by argsort
@@ -273,17 +293,15 @@ def _step(weights: np.ndarray, rows: np.ndarray, target: np.ndarray, p: np.ndarr
     which = flat[first]
     token = order // features
     n = np.diff(np.append(first, len(flat)))
-    expected = p[token[first]]
+    move = p[token[first]]
     more = n > 1  # most rows come once; only the others need sums
     if more.any():
-        expected[more] = np.add.reduceat(p[token[np.repeat(more, n)]], np.cumsum(n[more]) - n[more], axis=0)
-    observed = np.bincount(np.repeat(np.arange(len(which)), n) * width + target[token], minlength=len(which) * width).astype(np.float32).reshape(-1, width)
-    floor = expected * (SMOOTH / n[:, None]).astype(np.float32) + np.float32(0.01)
-    observed += floor
-    expected += floor
-    observed /= expected
-    weights[which] += np.log(observed) / np.float32(features)
+        move[more] = np.add.reduceat(p[token[np.repeat(more, n)]], np.cumsum(n[more]) - n[more], axis=0)
     seen[which] += n
+    rate = (ETA / np.sqrt(seen[which])).astype(np.float32)
+    move *= -rate[:, None]
+    np.add.at(move.reshape(-1), np.repeat(np.arange(len(which)), n) * width + target[token], np.repeat(rate, n))
+    weights[which] += move
 
 
 @dataclass
@@ -319,11 +337,8 @@ class ClassModel:
     def class_rows(self, keys: np.ndarray) -> np.ndarray:
         return 1 + (keys % _U(len(self.weights) - 1)).astype(np.int64)
 
-    def log_class(self, rows: np.ndarray) -> np.ndarray:
-        z = self.weights[rows[:, 0]] + self.weights[0]
-        for k in range(1, rows.shape[1]):
-            z += self.weights[rows[:, k]]
-        return _log_softmax(z)
+    def class_sums(self, rows: np.ndarray) -> np.ndarray:
+        return _sum_rows(self.weights, rows, self.weights[0])
 
     def steps(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(token, place in the tree's lists) of every node on the way to each token's leaf."""
@@ -334,27 +349,28 @@ class ClassModel:
     def node_rows(self, keys: np.ndarray, node: np.ndarray) -> np.ndarray:
         return (mix(keys ^ (node.astype(_U) * _U(0x9E37_79B9_7F4A_7C15))[:, None]) % _U(len(self.blocks))).astype(np.int64)
 
-    def log_branch(self, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
-        z = self.tree.bias[node]
-        for k in range(rows.shape[1]):
-            z += self.blocks[rows[:, k]]
-        return _log_softmax(z)
+    def branch_sums(self, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return _sum_rows(self.blocks, rows, self.tree.bias[node])
+
+    def log_class(self, keys: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """log P(class | history) of each token."""
+        return _log_of(self.class_sums(self.class_rows(keys)), cls)
 
     def log_word(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log P(leaf | class, history) of each token."""
         token, at = self.steps(ids)
         node = self.tree.node[at]
-        logs = self.log_branch(self.node_rows(keys[token], node), node)[np.arange(len(at)), self.tree.branch[at]]
+        logs = _log_of(self.branch_sums(self.node_rows(keys[token], node), node), self.tree.branch[at])
         return np.bincount(token, weights=logs, minlength=len(ids))
 
     def update(self, keys: np.ndarray, ids: np.ndarray, cls: np.ndarray, seen: tuple[np.ndarray, np.ndarray]) -> None:
         rows = self.class_rows(keys)
-        _step(self.weights, rows, cls, np.exp(self.log_class(rows)), seen[0])
+        _step(self.weights, rows, cls, _softmax(self.class_sums(rows)), seen[0])
         token, at = self.steps(ids)
         if len(at):
             node = self.tree.node[at]
             rows = self.node_rows(keys[token], node)
-            _step(self.blocks, rows, self.tree.branch[at].astype(np.int64), np.exp(self.log_branch(rows, node)), seen[1])
+            _step(self.blocks, rows, self.tree.branch[at].astype(np.int64), _softmax(self.branch_sums(rows, node)), seen[1])
 
 
 MINI = 16_384
@@ -464,8 +480,7 @@ class Scorer:
         keys = self.model.keys(ids, bounds)
         logs = np.empty(len(h))
         for lo in range(0, len(h), MINI):
-            part = self.model.log_class(self.model.class_rows(keys[lo: lo + MINI]))
-            logs[lo: lo + MINI] = part[np.arange(len(part)), cls[lo: lo + MINI]] + self.model.log_word(keys[lo: lo + MINI], ids[lo: lo + MINI])
+            logs[lo: lo + MINI] = self.model.log_class(keys[lo: lo + MINI], cls[lo: lo + MINI]) + self.model.log_word(keys[lo: lo + MINI], ids[lo: lo + MINI])
         place = self.table.place(h)
         known = place >= 0
         count = np.where(known, self.counts[place] if len(self.counts) else 0, 0)
@@ -503,7 +518,8 @@ def _score_task(scorer: Scorer):
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`.
 
-    A null text is an empty one, whose only token is its end. Rows without an id are learnt from. Repeated rows are
+    All words of a spelling class that were never seen share one probability, so `score` and `base_score` do not
+    spread over the same unseen words. A null text is an empty one, whose only token is its end. Rows without an id are learnt from. Repeated rows are
     scored each on its own. Without training rows every word is one never seen.
     """
     spark = docs.sparkSession

@@ -223,8 +223,9 @@ def passages(seed):
     return texts
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3, 4])
-def test_cut_equals_brute_force(spark, rounds):
+@pytest.mark.parametrize("rounds,hot", [(0, 10_000), (1, 0), (3, 3), (4, 10_000)])
+def test_cut_equals_brute_force(spark, rounds, hot, monkeypatch):
+    monkeypatch.setattr(recompression, "HOT_ROWS", hot)
     texts = passages(rounds)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS x", "2 AS s")
     got = {r["doc_id"]: tuple(r)[1:] for r in recompression.RepeatedPassages(docs, rounds=rounds).cut().collect()}

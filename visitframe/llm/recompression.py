@@ -19,8 +19,8 @@ about a dozen windows. Spark then
 
 Windows without any symbol fixed inside them (periodic passages) stand for themselves, so nothing is lost; those that a
 piece holds twice are marked at once, and one row of them goes on to be compared. Equality is
-that of two 64-bit hashes (x with u, or x with the window's). Rows of one (x, u) combine before the shuffle; joins by x
-are on keys that AQE may split. A long text is parsed piece by piece with an overlap of `window - 1` words: a pick looks
+that of two 64-bit hashes (x with u, or x with the window's). Rows of one (x, u) combine before the shuffle; the matches
+of names with very many rows are broadcast, so these rows stay where they are. A long text is parsed piece by piece with an overlap of `window - 1` words: a pick looks
 at its window only, so the pieces change nothing but the extent of a few `u`, which step 2 compares.
 
 Null and empty texts have no words; rows with a null id and repeated rows are documents of their own (a repeated row
@@ -41,10 +41,13 @@ from pyspark.sql import functions as F
 
 from visitframe.llm.blocks import NOT_SPACE, mix, string_buffers
 from visitframe.llm.terms import Spans, cut_words, gather, pieces
+from visitframe.scaling import broadcast_if_small
 from visitframe.session import spread, stage
 
 WINDOW = 35
 ROUNDS = 3
+#: rows of one name that may meet in a task
+HOT_ROWS = 10_000
 #: windows of a group: their marks are bits of one long
 LONGEST = 60
 FAR = np.int64(1) << np.int64(40)
@@ -177,6 +180,16 @@ def _listed(column) -> tuple[np.ndarray, pa.StructArray]:
     return np.concatenate([[0], np.cumsum(size)]), flat
 
 
+def _spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their match in `table`, which has one row per key and the number `c` of rows that carry it.
+
+    A key with more than `HOT_ROWS` rows is broadcast, so its rows stay where they are; there are few such keys, and
+    their number is checked. All others meet by a shuffle.
+    """
+    hot = table.where(F.col("c") > HOT_ROWS)
+    return (rows.join(broadcast_if_small(hot), keys).unionByName(rows.join(table.where(F.col("c") <= HOT_ROWS), keys))).drop("c")
+
+
 class RepeatedPassages:
     """Finds and cuts words of windows that occur more than once in `docs`."""
 
@@ -238,16 +251,16 @@ class RepeatedPassages:
         """(id, f, marks): per document the groups with a repeated window, as (first word, bits of the repeated ones)."""
         groups = stage(self.groups(), "window-groups")
         named = groups.where(~F.col("known")).drop("known")
-        again = named.groupBy("x").agg(F.count("*").alias("c"), F.min("u").alias("a"), F.max("u").alias("b")).where("c > 1").select("x", (F.col("a") != F.col("b")).alias("varied"))
-        found = stage(named.join(again, "x"), "repeated-groups")
+        again = named.groupBy("x").agg(F.count("*").alias("c"), F.min("u").alias("a"), F.max("u").alias("b")).where("c > 1").select("x", "c", (F.col("a") != F.col("b")).alias("varied"))
+        found = stage(_spread_join(named, stage(again, "repeated-names"), ["x"]), "repeated-groups")
         full = F.expr("shiftleft(1L, n) - 1").alias("bits")
         plain = found.where(~F.col("varied")).select("id", "f", "s", full).union(groups.where("known").select("id", "f", "s", full))
         varied = found.where("varied")
         variants = stage(varied.groupBy("x", "u").agg(F.count("*").alias("n"), F.min(F.struct("id", "f", "s", "n")).alias("at")), "variants")
         windows = stage(self._variant_windows(variants), "variant-windows")
-        twice = windows.groupBy("x", "h").agg(F.sum("n").alias("c")).where("c > 1").select("x", "h")
-        bits = windows.join(twice, ["x", "h"]).groupBy("x", "u").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("bits"))
-        ends = varied.join(bits, ["x", "u"]).select("id", "f", "s", "bits")
+        twice = stage(windows.groupBy("x", "h").agg(F.sum("n").alias("total"), F.count("*").alias("c")).where("total > 1").select("x", "h", "c"), "repeated-windows")
+        bits = _spread_join(windows, twice, ["x", "h"]).groupBy("x", "u").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("bits"), F.max("n").alias("c"))
+        ends = _spread_join(varied, stage(bits, "repeated-bits"), ["x", "u"]).select("id", "f", "s", "bits")
         return plain.union(ends).groupBy("id", "f").agg(F.collect_list(F.struct("s", "bits")).alias("marks"))
 
     def cut(self, keep_text: bool = False) -> DataFrame:

@@ -1,5 +1,9 @@
 """The driver contract: names, column agreement and the flagship query."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -34,3 +38,9 @@ def test_query_equals_its_sql(spark, name):
     assert len(mine) == len(other)
     for a, b in zip(mine, other):
         assert all(x == pytest.approx(y, abs=2e-6) if isinstance(x, float) else x == y for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("missing", ["sentencepiece", "visitframe.llm"])
+def test_other_queries_stay_without_the_text_part(missing):
+    code = f"import sys; sys.modules['{missing}'] = None; import __spark_entry__ as e; n = e.queries(); assert len(n) > 200 and not any(k.startswith('op') for k in n)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(entry.__file__).parent)

@@ -2,10 +2,10 @@
 
 P(word | history) = P(class | history) * P(word | class, history). Both are predicted
 from hashed features of the history: the words one, two and three places back (n-gram
-and skip features) and the pair of the last two. The class has one softmax. The word
-has a softmax tree inside its class: a Huffman tree over the class's words with `FAN`
-branches a node, so a frequent word costs one small softmax and a rare one a few. A
-weight block belongs to a feature and a node, by hash.
+and skip features) and the pair of the last two. Classes have one softmax tree, and the
+words of each class another: Huffman trees with `FAN` branches a node, so a frequent
+word costs a few small softmaxes and a rare one some more. A weight block belongs to a
+feature and a node, by hash.
 
 All words seen `LEAST` times or more (and at least the `HEAD` most frequent) have a
 leaf and are features of their own. The `HEAD` most frequent fall into classes by
@@ -29,7 +29,7 @@ all words.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,8 @@ from visitframe.session import stage
 HEAD, TABLE, ANCHORS = 4096, 1 << 18, 64
 CLASSES, TAILS = 32, 8
 WIDTH = CLASSES + TAILS
-LEAST, FAN = 32, 16
-ROWS = 1 << 15  # feature rows besides those that come with the words
+LEAST, FAN = 32, 8
+ROWS, EACH = 1 << 15, 6  # weight blocks of each kind of tree, and how many more come with every word
 ROUNDS, SLAB = 2, 512
 ETA = 0.15
 _U = np.uint64
@@ -227,28 +227,32 @@ class Tree:
     bias: np.ndarray  # log share of each branch in its node's count; missing branches have none
 
 
+def _huffman(leaves: np.ndarray, counts: np.ndarray, nodes: list[list[tuple[int, float]]], paths: list[list[tuple[int, int]]]) -> None:
+    """Adds a Huffman tree with `FAN` branches a node over the leaves to `nodes`, and sets their `paths`."""
+    heap = [(float(counts[i]), int(i)) for i in leaves]  # leaves count from 0, nodes from -1 down
+    heapq.heapify(heap)
+    take, first = (len(heap) - 2) % (FAN - 1) + 2, len(nodes)
+    while len(heap) > 1:
+        low = [heapq.heappop(heap) for _ in range(take)][::-1]
+        nodes.append([(i, n) for n, i in low])
+        heapq.heappush(heap, (sum(n for n, _ in low), -len(nodes)))
+        take = FAN
+    above: dict[int, list[tuple[int, int]]] = {}
+    for k in range(len(nodes) - 1, first - 1, -1):
+        path = above.pop(k, [])
+        for b, (i, _) in enumerate(nodes[k]):
+            if i < 0:
+                above[-1 - i] = [*path, (k, b)]
+            else:
+                paths[i] = [*path, (k, b)]
+
+
 def word_trees(cls: np.ndarray, counts: np.ndarray) -> Tree:
-    """A Huffman tree with `FAN` branches a node over the leaves of each class."""
+    """A Huffman tree over the leaves of each class."""
     nodes: list[list[tuple[int, float]]] = []
     paths: list[list[tuple[int, int]]] = [[] for _ in cls]
     for c in range(WIDTH):
-        leaves = np.flatnonzero(cls == c)
-        heap = [(float(counts[i]), int(i)) for i in leaves]  # leaves count from 0, nodes from -1 down
-        heapq.heapify(heap)
-        take, first = (len(heap) - 2) % (FAN - 1) + 2, len(nodes)
-        while len(heap) > 1:
-            low = [heapq.heappop(heap) for _ in range(take)][::-1]
-            nodes.append([(i, n) for n, i in low])
-            heapq.heappush(heap, (sum(n for n, _ in low), -len(nodes)))
-            take = FAN
-        above: dict[int, list[tuple[int, int]]] = {}
-        for k in range(len(nodes) - 1, first - 1, -1):
-            path = above.pop(k, [])
-            for b, (i, _) in enumerate(nodes[k]):
-                if i < 0:
-                    above[-1 - i] = [*path, (k, b)]
-                else:
-                    paths[i] = [*path, (k, b)]
+        _huffman(np.flatnonzero(cls == c), counts, nodes, paths)
     bias = np.full((len(nodes), FAN), -1e9, np.float32)
     for k, branches in enumerate(nodes):
         n = np.array([n for _, n in branches])
@@ -257,19 +261,30 @@ def word_trees(cls: np.ndarray, counts: np.ndarray) -> Tree:
     return Tree(np.cumsum([0, *map(len, paths)]), flat[:, 0].astype(np.int32), flat[:, 1].astype(np.int8), bias)
 
 
+REACH = 60  # sums of weights are held within this, so that a float32 exponential is always finite and above 0
+
+
+def _exp(z: np.ndarray) -> np.ndarray:
+    """Exponentials in place, and their sum of each row."""
+    np.exp(np.clip(z, -REACH, REACH, out=z), out=z)
+    return np.einsum("ij->i", z)  # for so few columns faster than sum, and on one core
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    total = _exp(z)
+    z /= total[:, None]
     return z
 
 
 def _log_of(z: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Logarithm of the softmax's value at each row's target."""
-    z -= z.max(1, keepdims=True)
-    at = z[np.arange(len(z)), target]
-    np.exp(z, out=z)
-    return at - np.log(z.sum(1))
+    at = np.clip(z[np.arange(len(z)), target], -REACH, REACH)
+    return at - np.log(_exp(z))
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Each row as one item, which numpy moves at once."""
+    return x.view(f"V{x.strides[0]}").ravel()
 
 
 def _sum_rows(weights: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -285,7 +300,9 @@ def _sum_rows(weights: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.nd
 
 def _step(weights: np.ndarray, rows: np.ndarray, target: np.ndarray, p: np.ndarray, seen: np.ndarray) -> None:
     """One gradient step: a feature row moves by its observed less its expected counts, at a rate that falls with the root of how often it was seen."""
-    features, width = rows.shape[1], weights.shape[1]
+    features = rows.shape[1]
+    up = np.negative(p, out=p)
+    up.ravel()[np.arange(len(up)) * up.shape[1] + target] += 1
     flat = rows.ravel()
     order = np.sort((flat << 24) | np.arange(len(flat)))  # as one number: sorts much faster than by argsort
     flat, order = order >> 24, order & 0xFF_FFFF
@@ -293,26 +310,47 @@ def _step(weights: np.ndarray, rows: np.ndarray, target: np.ndarray, p: np.ndarr
     which = flat[first]
     token = order // features
     n = np.diff(np.append(first, len(flat)))
-    move = p[token[first]]
-    more = n > 1  # most rows come once; only the others need sums
-    if more.any():
-        move[more] = np.add.reduceat(p[token[np.repeat(more, n)]], np.cumsum(n[more]) - n[more], axis=0)
-    seen[which] += n
-    rate = (ETA / np.sqrt(seen[which])).astype(np.float32)
-    move *= -rate[:, None]
-    np.add.at(move.reshape(-1), np.repeat(np.arange(len(which)), n) * width + target[token], np.repeat(rate, n))
-    weights[which] += move
+    move = np.take(up, token[first], axis=0)
+    more = np.flatnonzero(n > 1)  # most rows come once; only the others need sums
+    if len(more):
+        times = n[more]
+        start = np.cumsum(times) - times
+        _whole(move)[more] = _whole(np.add.reduceat(np.take(up, token[np.arange(times.sum()) + np.repeat(first[more] - start, times)], axis=0), start, axis=0))
+    times = seen[which] + n
+    seen[which] = times
+    move *= (ETA / np.sqrt(times)).astype(np.float32)[:, None]
+    move += np.take(weights, which, axis=0)
+    _whole(weights)[which] = _whole(move)
+
+
+def _way(tree: Tree, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token, place in the tree's lists) of every node on the way to each token's leaf."""
+    n = tree.start[leaf + 1] - tree.start[leaf]
+    token = np.repeat(np.arange(len(leaf)), n)
+    return token, np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) + tree.start[leaf][token]
+
+
+def _block_rows(blocks: np.ndarray, keys: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return (mix(keys ^ (node.astype(_U) * _U(0x9E37_79B9_7F4A_7C15))[:, None]) % _U(len(blocks))).astype(np.int64)
+
+
+def _log_leaf(tree: Tree, blocks: np.ndarray, keys: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    token, at = _way(tree, leaf)
+    node = tree.node[at]
+    logs = _log_of(_sum_rows(blocks, _block_rows(blocks, keys[token], node), tree.bias[node]), tree.branch[at])
+    return np.bincount(token, weights=logs, minlength=len(leaf))
 
 
 @dataclass
 class ClassModel:
-    """Words with classes and leaves, weights of hashed feature rows (row 0 is the bias), and weight blocks of (feature, node)."""
+    """Words with classes and leaves, and weight blocks of (feature, node) for the words' trees (`blocks`) and the classes' (`weights`)."""
 
     head: WordTable
     word_class: np.ndarray
     tree: Tree
     weights: np.ndarray
     blocks: np.ndarray
+    classes: Tree | None = None
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number as feature and leaf (place among the words, or their number + spelling) and class of each token."""
@@ -334,43 +372,21 @@ class ClassModel:
             back.append(p.astype(_U))
         return np.stack([mix(_U(k) * n + p) for k, p in enumerate(back)] + [mix(_U(BACK) * n + back[0] + n * (back[1] + _U(1)))], 1)
 
-    def class_rows(self, keys: np.ndarray) -> np.ndarray:
-        return 1 + (keys % _U(len(self.weights) - 1)).astype(np.int64)
-
-    def class_sums(self, rows: np.ndarray) -> np.ndarray:
-        return _sum_rows(self.weights, rows, self.weights[0])
-
-    def steps(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(token, place in the tree's lists) of every node on the way to each token's leaf."""
-        n = self.tree.start[ids + 1] - self.tree.start[ids]
-        token = np.repeat(np.arange(len(ids)), n)
-        return token, np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) + self.tree.start[ids][token]
-
-    def node_rows(self, keys: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return (mix(keys ^ (node.astype(_U) * _U(0x9E37_79B9_7F4A_7C15))[:, None]) % _U(len(self.blocks))).astype(np.int64)
-
-    def branch_sums(self, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return _sum_rows(self.blocks, rows, self.tree.bias[node])
-
     def log_class(self, keys: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """log P(class | history) of each token."""
-        return _log_of(self.class_sums(self.class_rows(keys)), cls)
+        return _log_leaf(self.classes, self.weights, keys, cls)
 
     def log_word(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log P(leaf | class, history) of each token."""
-        token, at = self.steps(ids)
-        node = self.tree.node[at]
-        logs = _log_of(self.branch_sums(self.node_rows(keys[token], node), node), self.tree.branch[at])
-        return np.bincount(token, weights=logs, minlength=len(ids))
+        return _log_leaf(self.tree, self.blocks, keys, ids)
 
     def update(self, keys: np.ndarray, ids: np.ndarray, cls: np.ndarray, seen: tuple[np.ndarray, np.ndarray]) -> None:
-        rows = self.class_rows(keys)
-        _step(self.weights, rows, cls, _softmax(self.class_sums(rows)), seen[0])
-        token, at = self.steps(ids)
-        if len(at):
-            node = self.tree.node[at]
-            rows = self.node_rows(keys[token], node)
-            _step(self.blocks, rows, self.tree.branch[at].astype(np.int64), _softmax(self.branch_sums(rows, node)), seen[1])
+        for tree, blocks, leaf, n in ((self.classes, self.weights, cls, seen[0]), (self.tree, self.blocks, ids, seen[1])):
+            token, at = _way(tree, leaf)
+            if len(at):
+                node = tree.node[at]
+                rows = _block_rows(blocks, keys[token], node)
+                _step(blocks, rows, tree.branch[at].astype(np.int64), _softmax(_sum_rows(blocks, rows, tree.bias[node])), n)
 
 
 MINI = 16_384
@@ -378,8 +394,8 @@ MINI = 16_384
 
 def _train_task(model: ClassModel):
     def task(batches):
-        own = ClassModel(model.head, model.word_class, model.tree, model.weights.copy(), model.blocks.copy())
-        seen = np.zeros(len(own.weights)), np.zeros(len(own.blocks))
+        own = replace(model, weights=model.weights.copy(), blocks=model.blocks.copy())
+        seen = np.zeros(len(own.weights), np.float32), np.zeros(len(own.blocks), np.float32)
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(0)):
                 h, bounds = tokens_of(data, offsets)
@@ -389,7 +405,7 @@ def _train_task(model: ClassModel):
                     own.update(keys[lo: lo + MINI], ids[lo: lo + MINI], cls[lo: lo + MINI], seen)
         for kind, (w, before) in enumerate(((own.weights, model.weights), (own.blocks, model.blocks))):
             for s in range(0, len(w), SLAB):
-                n = seen[kind][s: s + SLAB].astype(np.float32)
+                n = seen[kind][s: s + SLAB]
                 if n.any():
                     moved = (w[s: s + SLAB] - before[s: s + SLAB]).astype(np.float16)
                     yield pa.RecordBatch.from_arrays([pa.array([2 * s + kind]), pa.array([n.tobytes()], pa.binary()), pa.array([moved.tobytes()], pa.binary())], names=["slab", "n", "w"])
@@ -420,16 +436,13 @@ def _average_task(batches):
 SLABS = "slab long, n binary, w binary"
 
 
-def train(texts: DataFrame, head: np.ndarray, word_class: np.ndarray, class_counts: np.ndarray, tree: Tree, rounds: int = ROUNDS) -> ClassModel:
+def train(texts: DataFrame, head: np.ndarray, word_class: np.ndarray, classes: Tree, tree: Tree, rounds: int = ROUNDS) -> ClassModel:
     """Weights after one epoch in `rounds` rounds; `texts` has `text` and the number `part` of the round that uses it.
 
-    Two feature rows and four weight blocks come with every word.
+    `EACH` weight blocks for classes and as many for words come with every word.
     """
-    size = -(-(ROWS + 2 * len(head)) // SLAB) * SLAB
-    weights = np.zeros((size, WIDTH), np.float32)
-    weights[0] = np.log((class_counts + 0.5) / (class_counts.sum() + 0.5 * WIDTH))
-    blocks = np.zeros((-(-(ROWS + 4 * len(head)) // SLAB) * SLAB, FAN), np.float32)
-    model = ClassModel(WordTable(head), word_class, tree, weights, blocks)
+    weights, blocks = (np.zeros((-(-(ROWS + EACH * len(head)) // SLAB) * SLAB, FAN), np.float32) for _ in range(2))
+    model = ClassModel(WordTable(head), word_class, tree, weights, blocks, classes)
     context = texts.sparkSession.sparkContext
     for r in range(rounds):
         shared = context.broadcast(model)
@@ -443,7 +456,7 @@ def train(texts: DataFrame, head: np.ndarray, word_class: np.ndarray, class_coun
         for slab, _, w in means:
             s, of = slab // 2, both[slab % 2]
             of[s: s + SLAB] += np.frombuffer(w, np.float16).reshape(SLAB, -1)  # rows not seen have moved by 0
-        model = ClassModel(model.head, word_class, tree, *both)
+        model = replace(model, weights=both[0], blocks=both[1])
         shared.destroy()  # its copies on disk go
     return model
 
@@ -542,7 +555,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     np.subtract.at(ones, spelling, (head_counts == 1).astype(float))
     leaf_class, leaf_counts = np.concatenate([word_class, CLASSES + np.arange(TAILS)]), np.concatenate([head_counts, total + 1])
     class_counts = np.bincount(leaf_class, weights=np.concatenate([head_counts, total]), minlength=WIDTH)
-    model = train(texts, head, word_class, class_counts, word_trees(leaf_class, leaf_counts))
+    classes = word_trees(np.zeros(WIDTH, int), class_counts + 0.5)  # one tree of all classes
+    model = train(texts, head, word_class, classes, word_trees(leaf_class, leaf_counts))
     scorer = Scorer(model, WordTable(words), word_counts_, total, (ones + 1) / (total + 2), n, v)
     shared = spark.sparkContext.broadcast(scorer)
 

@@ -278,21 +278,24 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def _log_of(z: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Logarithm of the softmax's value at each row's target."""
-    at = np.clip(z[np.arange(len(z)), target], -REACH, REACH)
+    at = np.clip(np.take(z.ravel(), np.arange(0, z.size, z.shape[1]) + target), -REACH, REACH)
     return at - np.log(_exp(z))
 
 
+def _take(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of `x`; without a test of each index, all of which are within it."""
+    return np.take(x, at, axis=0, mode="clip")
+
+
 def _whole(x: np.ndarray) -> np.ndarray:
     """Each row as one item, which numpy moves at once."""
     return x.view(f"V{x.strides[0]}").ravel()
 
 
 def _sum_rows(weights: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """`start` plus the weights of all feature rows of each token."""
-    z = np.take(weights, rows[:, 0], axis=0)
-    z += start
-    part = np.empty_like(z)
-    for k in range(1, rows.shape[1]):
+    """`start`, in place, plus the weights of all feature rows of each token."""
+    z, part = start, np.empty_like(start)
+    for k in range(rows.shape[1]):
         np.take(weights, rows[:, k], axis=0, out=part, mode="clip")
         z += part
     return z
@@ -302,7 +305,7 @@ def _step(weights: np.ndarray, rows: np.ndarray, target: np.ndarray, p: np.ndarr
     """One gradient step: a feature row moves by its observed less its expected counts, at a rate that falls with the root of how often it was seen."""
     features = rows.shape[1]
     up = np.negative(p, out=p)
-    up.ravel()[np.arange(len(up)) * up.shape[1] + target] += 1
+    up.ravel()[np.arange(0, up.size, up.shape[1]) + target] += 1
     flat = rows.ravel()
     order = np.sort((flat << 24) | np.arange(len(flat)))  # as one number: sorts much faster than by argsort
     flat, order = order >> 24, order & 0xFF_FFFF
@@ -310,24 +313,26 @@ def _step(weights: np.ndarray, rows: np.ndarray, target: np.ndarray, p: np.ndarr
     which = flat[first]
     token = order // features
     n = np.diff(np.append(first, len(flat)))
-    move = np.take(up, token[first], axis=0)
-    more = np.flatnonzero(n > 1)  # most rows come once; only the others need sums
+    move = _take(up, _take(token, first))
+    two = np.flatnonzero(n == 2)  # most rows come once or twice; only the others need longer sums
+    _whole(move)[two] = _whole(_take(move, two) + _take(up, _take(token, first[two] + 1)))
+    more = np.flatnonzero(n > 2)
     if len(more):
         times = n[more]
         start = np.cumsum(times) - times
-        _whole(move)[more] = _whole(np.add.reduceat(np.take(up, token[np.arange(times.sum()) + np.repeat(first[more] - start, times)], axis=0), start, axis=0))
-    times = seen[which] + n
-    seen[which] = times
-    move *= (ETA / np.sqrt(times)).astype(np.float32)[:, None]
-    move += np.take(weights, which, axis=0)
+        _whole(move)[more] = _whole(np.add.reduceat(_take(up, _take(token, np.arange(times.sum()) + np.repeat(first[more] - start, times))), start, axis=0))
+    count = _take(seen, which) + n.astype(np.float32)
+    seen[which] = count
+    move *= (np.float32(ETA) / np.sqrt(count))[:, None]
+    move += _take(weights, which)
     _whole(weights)[which] = _whole(move)
 
 
 def _way(tree: Tree, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(token, place in the tree's lists) of every node on the way to each token's leaf."""
-    n = tree.start[leaf + 1] - tree.start[leaf]
-    token = np.repeat(np.arange(len(leaf)), n)
-    return token, np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) + tree.start[leaf][token]
+    start = np.take(tree.start, leaf)
+    n = np.take(tree.start, leaf + 1) - start
+    return np.repeat(np.arange(len(leaf)), n), np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
 
 
 def _block_rows(blocks: np.ndarray, keys: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -336,8 +341,8 @@ def _block_rows(blocks: np.ndarray, keys: np.ndarray, node: np.ndarray) -> np.nd
 
 def _log_leaf(tree: Tree, blocks: np.ndarray, keys: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     token, at = _way(tree, leaf)
-    node = tree.node[at]
-    logs = _log_of(_sum_rows(blocks, _block_rows(blocks, keys[token], node), tree.bias[node]), tree.branch[at])
+    node = np.take(tree.node, at)
+    logs = _log_of(_sum_rows(blocks, _block_rows(blocks, _take(keys, token), node), _take(tree.bias, node)), np.take(tree.branch, at))
     return np.bincount(token, weights=logs, minlength=len(leaf))
 
 
@@ -352,9 +357,9 @@ class ClassModel:
     blocks: np.ndarray
     classes: Tree | None = None
 
-    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, hashes: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Number as feature and leaf (place among the words, or their number + spelling) and class of each token."""
-        i = self.head.place(hashes)
+        i = self.head.place(hashes) if place is None else place
         tail = (hashes & _U(7)).astype(np.int64)
         cls = np.where(i >= 0, self.word_class[i] if len(self.word_class) else 0, CLASSES + tail)
         return np.where(i >= 0, i, len(self.word_class) + tail), cls
@@ -384,9 +389,9 @@ class ClassModel:
         for tree, blocks, leaf, n in ((self.classes, self.weights, cls, seen[0]), (self.tree, self.blocks, ids, seen[1])):
             token, at = _way(tree, leaf)
             if len(at):
-                node = tree.node[at]
-                rows = _block_rows(blocks, keys[token], node)
-                _step(blocks, rows, tree.branch[at].astype(np.int64), _softmax(_sum_rows(blocks, rows, tree.bias[node])), n)
+                node = np.take(tree.node, at)
+                rows = _block_rows(blocks, _take(keys, token), node)
+                _step(blocks, rows, np.take(tree.branch, at), _softmax(_sum_rows(blocks, rows, _take(tree.bias, node))), n)
 
 
 MINI = 16_384
@@ -399,7 +404,8 @@ def _train_task(model: ClassModel):
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(0)):
                 h, bounds = tokens_of(data, offsets)
-                ids, cls = own.ids(h)
+                distinct, at = np.unique(h, return_inverse=True)  # each word is looked up once a block
+                ids, cls = (np.take(x, at) for x in own.ids(distinct))
                 keys = own.keys(ids, bounds)
                 for lo in range(0, len(h), MINI):
                     own.update(keys[lo: lo + MINI], ids[lo: lo + MINI], cls[lo: lo + MINI], seen)
@@ -489,18 +495,22 @@ class Scorer:
         h, bounds = tokens_of(data, offsets)
         rows = len(offsets) - 1
         of = np.repeat(np.arange(rows), np.diff(bounds))
-        ids, cls = self.model.ids(h)
+        distinct, at = np.unique(h, return_inverse=True)
+        place = self.table.place(distinct)
+        known = place >= 0
+        leaves = len(self.model.word_class)  # the table begins with the words that have a leaf
+        number, kind = self.model.ids(distinct, np.where(place < leaves, place, -1))
+        count = np.where(known, self.counts[place] if len(self.counts) else 0, 0)
+        base = np.where(known, np.log10((count + 0.5) / self.norm), 0.0)
+        tail = np.zeros(len(distinct))
+        rare = (number >= leaves) & known
+        tail[rare] = self.tail_log10(count[rare], kind[rare] - CLASSES)
+        ids, cls, known, base, tail = (np.take(x, at) for x in (number, kind, known, base, tail))
         keys = self.model.keys(ids, bounds)
         logs = np.empty(len(h))
         for lo in range(0, len(h), MINI):
             logs[lo: lo + MINI] = self.model.log_class(keys[lo: lo + MINI], cls[lo: lo + MINI]) + self.model.log_word(keys[lo: lo + MINI], ids[lo: lo + MINI])
-        place = self.table.place(h)
-        known = place >= 0
-        count = np.where(known, self.counts[place] if len(self.counts) else 0, 0)
-        base = np.where(known, np.log10((count + 0.5) / self.norm), 0.0)
-        score = logs / np.log(10)
-        at = (ids >= len(self.model.word_class)) & known
-        score[at] += self.tail_log10(count[at], cls[at] - CLASSES)
+        score = logs / np.log(10) + tail
 
         def total(x):
             return np.bincount(of, weights=x, minlength=rows)

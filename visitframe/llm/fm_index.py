@@ -145,16 +145,19 @@ class FMIndex:
 # ---------------------------------------------------------------------------
 
 class Phrases:
-    """Distinct windows of a block of items, as rows of word numbers with the items that hold them."""
+    """Distinct windows of a block of items, as rows of word numbers with the items that hold them.
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    Windows of an item without an id are searched too, but name no item.
+    """
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         words = hash_words([t for _, t in items], ALNUM)
         self.vocabulary, codes = np.unique(words.hash, return_inverse=True)
         codes = codes + 1
         owners: dict[bytes, set[str]] = {}
         for (name, _), lo, hi in zip(items, words.row_start[:-1].tolist(), words.row_start[1:].tolist()):
             for s in range(lo, max(lo + 1, hi - window + 1) if hi > lo else lo):
-                owners.setdefault(codes[s: min(hi, s + window)].astype(np.int64).tobytes(), set()).add(name)
+                owners.setdefault(codes[s: min(hi, s + window)].astype(np.int64).tobytes(), set()).update([] if name is None else [name])
         rows = [np.frombuffer(k, np.int64) for k in owners]
         self.lengths = np.array([len(r) for r in rows], np.int64)
         self.rows = np.zeros((len(rows), window), np.int64)
@@ -279,7 +282,7 @@ def _search_held(held, phrases: Phrases):
 def phrase_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_chars: int) -> Iterator[Phrases]:
     """Windows of the items, in blocks of bounded size; the driver holds one block at a time."""
     block, chars = [], 0
-    for r in benchmark.select(F.col(id_col).cast("string"), text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
+    for r in benchmark.select(F.col(id_col).cast("string"), text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         if block and chars + len(r[1]) > max_chars:
             yield Phrases(block, window)
             block, chars = [], 0
@@ -293,7 +296,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """Adds `n_words`, `spans` (merged, in words) and `items` to every document; all columns of `docs` stay.
 
     Null and empty texts have no words; an item without words has no window; repeated rows are searched each on
-    its own, and repeated item ids count once. Columns of the same names in `docs` are replaced.
+    its own, and repeated item ids count once. Words inside windows of an item without an id are hit; it is not among `items`. Columns of the same names in `docs` are replaced.
     """
     docs = docs.drop("n_words", "spans", "items")
     spark, names = docs.sparkSession, docs.columns

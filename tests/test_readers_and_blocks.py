@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from visitframe.operators import models, retrieval
 from visitframe.scaling import Run, Timeline
-from visitframe.sources import io
+from visitframe.sources import inventory, io
 
 
 def test_csv_with_doubled_quotes_and_line_breaks(spark, tmp_path):
@@ -98,3 +98,12 @@ def test_paired_intervals_of_an_ablation(spark):
     assert out["less"]["delta_auroc_lo"] < out["less"]["delta_from_all"] < out["less"]["delta_auroc_hi"] < 0
     groups = models.compare_patterns(df, {"g": ["weak"]}, {"both": ["g"], "none": []}, ["good"], fit, draws=50).collect()
     assert len(groups) == 6 and all(r["delta_auroc_lo"] <= r["delta_auroc_hi"] for r in groups)
+
+
+def test_rollup_tells_nested_folders_of_one_name_apart(spark, tmp_path):
+    for name in ("a/x/1.csv", "a/x/2.csv", "a/3.txt", "b/x/4.csv", "b/x.zip", "5"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("12345")
+    rows = {r["folder"]: tuple(r)[1:] for r in inventory.folder_rollup(inventory.list_files(spark, str(tmp_path)), str(tmp_path)).collect()}
+    assert rows == {"": (0, 6, 1, 2, 30, ".csv", False), "a": (1, 3, 1, 1, 15, ".csv", False), "a/x": (2, 2, 2, 0, 10, ".csv", False),
+                    "b": (1, 2, 1, 1, 10, ".zip", False), "b/x": (2, 1, 1, 0, 5, ".csv", True)}

@@ -131,6 +131,13 @@ def check_counts(actual: DataFrame, reported: DataFrame, on: str = "name") -> Da
     return j.withColumn("passed", F.col("n").eqNullSafe(F.col("reported")))
 
 
+def check_scan_dates(rows: DataFrame, by: Sequence[str] = (), scan: str = "scan_date", visit: str = "visit_date") -> DataFrame:
+    """No scan may be newer than the visit that uses it: rows with a scan, rows that break this, the largest lead in days."""
+    lead = F.datediff(scan, visit)
+    out = rows.where(F.col(scan).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.coalesce(lead > 0, F.lit(True))).alias("n_late"), F.max(lead).alias("largest_lead"))
+    return out.withColumn("passed", F.col("n_late") == 0)
+
+
 def check_slope(v: DataFrame, value: str, key: str = "entity_id", visits: int = 3) -> DataFrame:
     """Slope over the first visits by the regression aggregate, next to the running slope at that visit."""
     d = v.where((F.col("visit_no") <= visits) & F.col(value).isNotNull())

@@ -102,6 +102,17 @@ def _(t):
     return checked.groupBy("size_ok", "time_ok").agg(F.count("*").alias("n"))
 
 
+@query("a6_folder_rollup", """WITH f AS (SELECT DISTINCT l_returnflag AS a, l_linenumber AS b FROM lineitem)
+ SELECT '' AS folder, CAST(0 AS BIGINT) AS depth, count(*) AS n_files, CAST(0 AS BIGINT) AS n_direct, count(DISTINCT a) AS n_folders, '.parquet' AS file_format FROM f
+ UNION ALL SELECT concat('set=', a), 1, count(*), 0, count(*), '.parquet' FROM f GROUP BY a
+ UNION ALL SELECT concat('set=', a, '/image=', b), 2, 1, 1, 0, '.parquet' FROM f""")
+def _(t):
+    path = scratch_path(t.spark, "nested-folders")
+    rows = t.lineitem.select(F.col("l_returnflag").alias("set"), F.col("l_linenumber").alias("image"), "l_orderkey", "l_quantity")
+    rows.repartition("set", "image").write.partitionBy("set", "image").parquet(path)
+    return inventory.folder_rollup(inventory.list_files(t.spark, path), path).select("folder", "depth", "n_files", "n_direct", "n_folders", "file_format")
+
+
 @query("a8_union_sources", f"""WITH {SCANS} SELECT source, year(scan_date) AS year, count(*) AS n, sum(measure) AS total, count(CASE WHEN tracer IN (1, 2, 3) THEN 1 END) AS n_tracer FROM s GROUP BY 1, 2""", "total")
 def _(t):
     s = t.scans()

@@ -11,6 +11,7 @@ from visitframe.plans.suite_pit import SLOPE_SQL, SPARSE_TIMED, event_now, label
 from visitframe.plans.suite_profile import NORM1, norm_input, norms_one, split_of
 from visitframe.operators.norms import apply_norms
 from visitframe.plans.fixtures import SPARSE
+from visitframe.scaling import Timeline
 
 FIRST = VISITS + """, fv AS (SELECT entity_id, site, arg_min(status, (visit_date, visit_id)) AS stratum FROM v GROUP BY 1, 2)"""
 SPLIT = FIRST + """, sx AS (SELECT site FROM (SELECT site, row_number() OVER (ORDER BY md5(concat_ws('|', site, '2026')), site) - 1 AS rk, count(*) OVER () AS n
@@ -181,6 +182,31 @@ def _(t):
     return splits.check_counts(actual, report)
 
 
+LATEST_SCAN = f"""WITH {VISITS}, {SCANS}, m AS (SELECT v.*, (SELECT max(scan_date) FROM s WHERE s.entity_id = v.entity_id AND scan_date <= visit_date) AS latest FROM v),
+ n AS (SELECT *, CASE WHEN latest IS NOT NULL AND {{late}} THEN visit_date + 3 ELSE latest END AS scan_date FROM m)
+ SELECT segment, count(*) AS n, count(*) FILTER (WHERE scan_date > visit_date) AS n_late, max(date_diff('day', visit_date, scan_date)) AS largest_lead,
+  count(*) FILTER (WHERE scan_date > visit_date) = 0 AS passed FROM n WHERE scan_date IS NOT NULL GROUP BY 1"""
+
+
+def latest_scans(t):
+    """Visits with the date of the entity's latest scan so far, by one ordered scan over both; scans come before the visits of their day."""
+    v = t.visits().select("entity_id", "visit_date", "visit_id", "segment", F.lit(None).cast("date").alias("scan"))
+    s = t.scans().select("entity_id", F.col("scan_date").alias("visit_date"), F.lit(-1).cast("long").alias("visit_id"), F.lit(None).cast("string").alias("segment"), F.col("scan_date").alias("scan"))
+    return pit.carry(Timeline(v.unionByName(s)), scan_date=F.col("scan")).df.where("visit_id >= 0")
+
+
+@query("h6_scan_dates", LATEST_SCAN.replace("{late}", "false"))
+def _(t):
+    return splits.check_scan_dates(latest_scans(t), ["segment"])
+
+
+@query("h6_scan_dates_with_faults", LATEST_SCAN.replace("{late}", "segment = 'BUILDING' AND visit_id % 50 = 0"))
+def _(t):
+    late = F.col("scan_date").isNotNull() & (F.col("segment") == "BUILDING") & (F.col("visit_id") % 50 == 0)
+    rows = latest_scans(t).withColumn("scan_date", F.when(late, F.date_add("visit_date", 3)).otherwise(F.col("scan_date")))
+    return splits.check_scan_dates(rows, ["segment"])
+
+
 @query("h8_kfold", """WITH g AS (SELECT o_orderkey AS row_id, CAST(o_orderstatus = 'F' AS INT) AS y, o_orderpriority AS grp, count(*) OVER (PARTITION BY o_orderstatus = 'F', o_orderpriority) AS k FROM orders),
  s AS (SELECT row_id, CASE WHEN k >= 990 THEN concat_ws('_', y, grp) ELSE CAST(y AS VARCHAR) END AS stratum FROM g)
  SELECT row_id, stratum, (row_number() OVER (PARTITION BY stratum ORDER BY md5(concat_ws('|', row_id, 'fold')), row_id) - 1) % 5 AS fold FROM s""")

@@ -27,6 +27,30 @@ def folder_inventory(files: DataFrame, name_pattern: str, fields: list[str]) ->
     return out.withColumn("name", parse_name("folder", name_pattern, fields)).select("folder", "n_files", "bytes", "file_format", "has_zip_twin", "name.*")
 
 
+def folder_rollup(files: DataFrame, root: str) -> DataFrame:
+    """Per folder at every level below `root` (itself the empty path): files and bytes in it and in all folders below it.
+
+    Folders are told apart by their whole path. `n_direct` counts the files that lie in the folder itself, `n_folders`
+    its direct subfolders, and `has_zip_twin` says whether `<path>.zip` lies beside it. Files are counted per folder
+    and extension first, so only those few rows are repeated for the folders above.
+    """
+    # Spark lists full addresses; what comes before the root's path is the scheme
+    rel = F.substring_index("path", root.rstrip("/") + "/", -1)
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    own = (files.select(F.regexp_replace(rel, "/?[^/]*$", "").alias("dir"), F.when(ext == "", "(none)").otherwise(ext).alias("ext"), "length")
+           .groupBy("dir", "ext").agg(F.count("*").alias("n"), F.sum("length").alias("bytes")))
+    parts = F.filter(F.split("dir", "/"), lambda x: x != "")
+    up = F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
+    each = own.select(up.alias("folder"), "dir", "ext", "n", "bytes")
+    by_ext = each.groupBy("folder", "ext").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("folder") == F.col("dir"), F.col("n")).otherwise(0)).alias("direct"))
+    per = by_ext.groupBy("folder").agg(F.sum("n").alias("n_files"), F.sum("direct").alias("n_direct"), F.sum("bytes").alias("bytes"), F.max_by("ext", F.struct("n", "ext")).alias("file_format"))
+    below = per.where("folder <> ''").groupBy(F.regexp_replace("folder", "/?[^/]*$", "").alias("folder")).agg(F.count("*").alias("n_folders"))
+    twins = files.where(ext == ".zip").select(F.regexp_replace(rel, r"\.[zZ][iI][pP]$", "").alias("folder")).distinct().withColumn("twin", F.lit(True))
+    depth = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))
+    out = per.join(below, "folder", "left").join(twins, "folder", "left")
+    return out.select("folder", depth.alias("depth"), "n_files", "n_direct", F.coalesce("n_folders", F.lit(0)).alias("n_folders"), "bytes", "file_format", F.coalesce("twin", F.lit(False)).alias("has_zip_twin"))
+
+
 def manifest_check(files: DataFrame, manifest: DataFrame, tolerance: int = 0) -> DataFrame:
     """Sizes and times against an earlier listing; missing and new files fail too."""
     now = files.select("path", F.col("length").alias("size_now"), F.col("modificationTime").alias("time_now"))

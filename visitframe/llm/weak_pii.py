@@ -96,28 +96,48 @@ def strict_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def candidates(text: str, strict: list[tuple[str, int, int]]) -> list[tuple[str, int, int, bool]]:
-    """Strict spans and looser ones (kind, start, end, strict); a loose one that meets a strict span is left out."""
-    out = [(k, a, b, True) for k, a, b in strict]
-    taken = [(a, b) for _, a, b in strict]
+def _apart(found: list[re.Match], taken: list[tuple[int, int]]) -> list[re.Match]:
+    """Matches that meet no taken span; both lists ascend and neither overlaps itself, so one sweep does."""
+    out, i = [], 0
+    for m in found:
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if i == len(taken) or taken[i][0] >= m.end():
+            out.append(m)
+    return out
+
+
+def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in ascending order, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
 
-    def add(kind, m):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
-            out.append((kind, m.start(), m.end(), False))
-            taken.append((m.start(), m.end()))
+def candidates(text: str, strict: list[tuple[str, int, int]]) -> list[tuple[str, int, int, bool]]:
+    """Strict spans and looser ones (kind, start, end, strict); a loose one that meets a strict span is left out.
 
+    So is one that meets a loose span of a kind before it. Each kind is one sweep over the sorted spans taken so far,
+    so a text costs in proportion to its length and the sort of its spans.
+    """
+    out = [(k, a, b, True) for k, a, b in strict]
+    taken = _covered([(a, b) for _, a, b in strict])
+    loose: list[tuple[str, list[re.Match]]] = []
     if WRITTEN.search(text):
-        for m in LOOSE_EMAIL.finditer(text):
-            add("email", m)
+        loose.append(("email", list(LOOSE_EMAIL.finditer(text))))
     if TRACE.search(text):
-        for m in LOOSE_PHONE.finditer(text):
-            if 9 <= len(digits_of(m[0])) <= 15:
-                add("phone", m)
-        for m in IP.finditer(text):
-            add("ip", m)
-        for m in CARD.finditer(text):
-            if 13 <= len(digits_of(m[0])) <= 19:
-                add("card", m)
+        loose.append(("phone", [m for m in LOOSE_PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]))
+        loose.append(("ip", list(IP.finditer(text))))
+        loose.append(("card", [m for m in CARD.finditer(text) if 13 <= len(digits_of(m[0])) <= 19]))
+    for kind, found in loose:
+        new = _apart(found, taken)
+        if new:
+            out += [(kind, m.start(), m.end(), False) for m in new]
+            taken = _covered(taken + [m.span() for m in new])
     return out
 
 
@@ -258,8 +278,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> We
 
 def all_spans(text: str, weights: Weights, least: float = 0.5) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(strict spans, all spans), each by kind as listed, then start."""
-    strict = strict_spans(text)
-    more = [(k, a, b) for k, a, b, s in candidates(text, strict) if not s and weights.score(span_features(text, k, a, b, s)) >= least]
+    strict, known, more = strict_spans(text), {}, []
+    for k, a, b, s in candidates(text, strict):
+        if not s:
+            f = span_features(text, k, a, b, s)
+            if f not in known:
+                known[f] = weights.score(f)
+            if known[f] >= least:
+                more.append((k, a, b))
     return strict, sorted(strict + more, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF
-from visitframe.llm import queries as Q
+from visitframe.llm import queries as Q, weak_pii
 from visitframe.llm.chat_template import DEFAULT, Reader, TemplateError, compile_template, escaper, fold_block, format_digests, parse, render, unescape
 from visitframe.llm.fm_index import find_contamination, verdict
 from visitframe.llm.host_reputation import Rule, host_reputation, judge_urls
@@ -153,6 +154,52 @@ def test_every_loose_address_is_a_candidate(spark, form):
     assert spans[0] == f"email:15:{15 + len(form)}"
 
 
+def plain_candidates(text):
+    """Every loose match in the order of the kinds, left out if it meets any span before it."""
+    out = [(k, a, b, True) for k, a, b in strict_spans(text)]
+    for kind, pattern, least, most in (("email", weak_pii.LOOSE_EMAIL, 0, 10**9), ("phone", weak_pii.LOOSE_PHONE, 9, 15), ("ip", weak_pii.IP, 0, 10**9), ("card", weak_pii.CARD, 13, 19)):
+        for m in pattern.finditer(text):
+            if least <= sum(c in "0123456789" for c in m[0]) <= most and not any(a < m.end() and m.start() < b for _, a, b, _ in out):
+                out.append((kind, m.start(), m.end(), False))
+    return out
+
+
+def test_candidates_equal_a_plain_search():
+    rng = random.Random(2)
+    parts = ["jo at ex dot org ", "(030) 1234 5678", "1.2.3.4", "1.2.3.400", "4111 1111 1111 1111", "4111-1111 1111 1112", "+1 377 555 0271", "a.b@c.de", " ", ",", "x", "00 ", "12 "]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(0, 12)))
+        assert weak_pii.candidates(t, strict_spans(t)) == plain_candidates(t), t
+
+
+@pytest.mark.parametrize("unit", ["1.", "(030) 1234 5678 ", "a@b.c ", "jo at ex dot org ", "1-"])
+def test_candidates_of_a_long_text_take_linear_time(unit):
+    t = unit * (1_000_000 // len(unit))
+    start = time.process_time()
+    weak_pii.candidates(t, strict_spans(t))
+    assert time.process_time() - start < 8  # some 0.5 s; a search of all spans for each took minutes
+
+
+def test_added_spans_equal_a_plain_run(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in Q.table(spark, SF, "documents").collect()}
+    seen = collections.Counter((k, weak_pii.votes(t, k, a, b, s), weak_pii.span_features(t, k, a, b, s)) for t in docs.values() for k, a, b, s in plain_candidates(t))
+    belief = {}
+    for kind in weak_pii.KINDS:
+        counts = collections.Counter()
+        for (k, v, _), n in seen.items():
+            counts[v] += n if k == kind else 0
+        counts = collections.Counter({v: n for v, n in counts.items() if n})
+        belief |= {(kind, v): p for v, p in aggregate_votes(counts)[0].items()} if counts else {}
+    x = np.array([f for _, _, f in seen], float)
+    weight = weak_pii.fit_classifier(x, np.array([belief[k, v] for k, v, _ in seen]), np.array(list(seen.values()), float))
+    for r in Q.QUERIES["op3_weak_pii"](spark, SF).collect():
+        t = docs[r["doc_id"]]
+        odds = [(k, a, b, s or float(weight @ np.array(weak_pii.span_features(t, k, a, b, s), float))) for k, a, b, s in plain_candidates(t)]
+        want = {f"{k}:{a}:{b}" for k, a, b, z in odds if z is True or z >= 0}
+        close = {f"{k}:{a}:{b}" for k, a, b, z in odds if z is not True and abs(z) < 1e-6}
+        assert (want ^ set(filter(None, r["spans"].split(",")))) <= close
+
+
 def test_expectation_maximisation_trusts_agreeing_labelers():
     post, reliability, prior = aggregate_votes({(1, 1, 1, 1): 50, (1, 1, -1, 1): 40, (-1, -1, 1, -1): 60, (-1, -1, -1, -1): 50})
     assert post[1, 1, -1, 1] > 0.99 and post[-1, -1, 1, -1] < 0.01 and 0.4 < prior < 0.5
@@ -200,6 +247,19 @@ def test_format_query(spark):
     assert out == {1: (3, 0), None: (1, 1), 2: (1, 0)} and format_digests(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "decimal(12,2)", "double", "string", "date"])
+def test_templates_take_ids_of_any_type(spark, kind):
+    cast = F.date_add(F.lit("2020-01-01").cast("date"), F.col("conv_id").cast("int")) if kind == "date" else F.col("conv_id").cast(kind)
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "bc"), (2, 0, "user", "d"), (None, 0, "user", "e")], "conv_id long, turn int, role string, text string")
+    out = format_digests(rows.withColumn("conv_id", cast))
+    assert out.schema["conv_id"].dataType.simpleString() == kind and sorted((r["n_turns"], r["loss_chars"]) for r in out.collect()) == [(1, 0), (1, 0), (2, 2)]
+
+
+def test_templates_take_ids_that_are_not_a_number(spark):
+    rows = spark.createDataFrame([(float("nan"), 0, "user", "a"), (float("nan"), 1, "assistant", "bc"), (1.0, 0, "user", "d")], "conv_id double, turn int, role string, text string")
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in format_digests(rows).collect()) == [(1, 0), (2, 2)]
+
+
 # fingerprints
 
 def test_prefix_hashes_compare_spans():

@@ -530,7 +530,7 @@ def format_digests(conversations: DataFrame, source: str = DEFAULT) -> DataFrame
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation.
 
     Turns are taken by turn, then role and text; a null role or text is an empty one; a null conv_id is a conversation
-    of its own. One exchange by conversation and a sort that spills; a task holds one turn at a time.
+    of its own; ids may be of any type that can be sorted. One exchange by conversation and a sort that spills; a task holds one turn at a time.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
@@ -538,10 +538,12 @@ def format_digests(conversations: DataFrame, source: str = DEFAULT) -> DataFrame
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def task(batches):
-        template = compile_template(source)
+        template, ids = compile_template(source), None
 
         def turns():
+            nonlocal ids
             for batch in batches:
+                ids = batch.schema.field(0).type
                 yield from zip(*(c.to_pylist() for c in batch.columns))
 
         stream = turns()
@@ -551,7 +553,7 @@ def format_digests(conversations: DataFrame, source: str = DEFAULT) -> DataFrame
 
             def messages(conv=conv):
                 nonlocal ahead
-                while ahead is not _END and ahead[0] == conv:
+                while ahead is not _END and _same(ahead[0], conv):
                     message = {"role": ahead[1], "text": ahead[2]}
                     ahead = next(stream, _END)
                     yield message
@@ -559,20 +561,23 @@ def format_digests(conversations: DataFrame, source: str = DEFAULT) -> DataFrame
             d = _Digest()
             for text, masked in template({"messages": messages()}):
                 d.add(text, masked)
-            while ahead is not _END and ahead[0] == conv:  # a template need not read all
+            while ahead is not _END and _same(ahead[0], conv):  # a template need not read all
                 ahead = next(stream, _END)
             done.append((conv, d.n, d.turns.hexdigest(), d.loss_chars, d.loss.hexdigest(), d.chars))
             if len(done) == 5_000:
-                yield _batch(done, kind_of, names)
+                yield _batch(done, ids, names)
                 done = []
-        yield _batch(done, kind_of, names)
+        if done:
+            yield _batch(done, ids, names)
 
-    kind_of = conversations.schema["conv_id"].dataType.typeName()
     return rows.mapInArrow(task, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def _batch(rows: list[tuple], kind: str, names: list[str]) -> pa.RecordBatch:
-    ids = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}[kind]
+def _same(a, b) -> bool:
+    """Equal ids; not-a-number equals itself, as in Spark's exchange and sort."""
+    return a == b or (a != a and b != b)
+
+
+def _batch(rows: list[tuple], ids: pa.DataType, names: list[str]) -> pa.RecordBatch:
     types = [ids, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    cols = list(zip(*rows)) if rows else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visitframe import scaling
-from visitframe.operators import metrics, norms, profile, splits, survival
+from visitframe.operators import correlation, metrics, norms, profile, splits, survival
 
 
 @pytest.fixture(scope="module")
@@ -64,7 +64,7 @@ def test_spearman_with_ties(scored):
     df, rows = scored
     rank = lambda xs: [sum(b < a for b in xs) + (sum(b == a for b in xs) + 1) / 2 for a in xs]
     want = np.corrcoef(rank([r[3] for r in rows]), rank([r[4] for r in rows]))[0, 1]
-    assert profile.spearman(df, "p", "p_ref").first()["r"] == pytest.approx(want)
+    assert correlation.spearman(df, "p", "p_ref").first()["r"] == pytest.approx(want)
 
 
 @pytest.mark.parametrize("cells", [None, 9])

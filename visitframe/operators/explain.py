@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitframe.functions.columns import edge_bin, quantile_edges
-from visitframe.operators.profile import weighted_corr
+from visitframe.operators.correlation import weighted_corr
 from visitframe.scaling import small_side
 
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from visitframe.functions.columns import logit, qcut
-from visitframe.operators.profile import spearman, unpivot
+from visitframe.operators.correlation import spearman
+from visitframe.operators.profile import unpivot
 from visitframe.session import spread, stage
 from visitframe.scaling import bucket_edges, bucket_of, md5_key, null_safe_join, prefix_sums, rank_by_md5
 

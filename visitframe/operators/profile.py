@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from visitframe.functions.columns import cut, month, qcut, try_date, year_bin
 from visitframe.operators.pit import first_known
-from visitframe.scaling import average_ranks, exact_quantiles, null_safe_join
+from visitframe.scaling import exact_quantiles, null_safe_join
 
 COLUMNS_PER_PASS = 200
 
@@ -240,40 +240,7 @@ def suppress_values(table: DataFrame, rule: Column, cols: Sequence[str]) -> Data
     return table.withColumns({c: F.when(rule, F.col(c)) for c in cols})
 
 
-# ---- correlation -----------------------------------------------------------------------
-
-def weighted_corr(df: DataFrame, by: Sequence[str], x: str, y: str, w: str) -> DataFrame:
-    X, Y, Wt = F.col(x), F.col(y), F.col(w)
-    s = df.groupBy(*by).agg(F.sum(Wt).alias("n"), F.sum(Wt * X).alias("sx"), F.sum(Wt * Y).alias("sy"), F.sum(Wt * X * X).alias("sxx"),
-                            F.sum(Wt * Y * Y).alias("syy"), F.sum(Wt * X * Y).alias("sxy"))
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    var = F.sqrt(F.col("n") * F.col("sxx") - F.col("sx") ** 2) * F.sqrt(F.col("n") * F.col("syy") - F.col("sy") ** 2)
-    return s.select(*by, F.col("n"), F.try_divide(cov, var).alias("r"))
-
-
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation over pairs where both are known; equal pairs are counted once with a weight."""
-    by = list(by)
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("w"))
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
-    both = rows.select(*by, F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).cast("double").alias("v")) for s in ("x", "y")])))
-    ranks = average_ranks(both, [*by, "side"], "v", "r")
-    for s in ("x", "y"):
-        one = ranks.where(F.col("side") == s).select(*by, F.col("v").alias(f"__{s}"), F.col("r").alias(f"r{s}"))
-        d = null_safe_join(d.withColumn(f"__{s}", F.col(s).cast("double")), one, [*by, f"__{s}"], "inner")
-    return weighted_corr(d, by, "rx", "ry", "w")
-
-
-def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "spearman") -> DataFrame:
-    """(a, b, n, r) for every pair of columns, pairwise complete."""
-    items = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v"))
-             for i, a in enumerate(cols) for b in cols[i + 1:]]
-    long = df.select(F.inline(F.array(*items)))
-    if method == "pearson":
-        both = long.where("u IS NOT NULL AND v IS NOT NULL")
-        return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("u", "v").alias("r"))
-    return spearman(long, "u", "v", ["a", "b"])
-
+# ---- components ------------------------------------------------------------------------
 
 def pca_variance(df: DataFrame, vector: str, k: int) -> DataFrame:
     """Cumulative share of variance explained by the first k components of standardised columns."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from visitframe.functions import columns as C
-from visitframe.operators import metrics, norms, pit, profile, splits
+from visitframe.operators import correlation, metrics, norms, pit, profile, splits
 from visitframe.plans.fixtures import LABELLED, PRED, SCANS, SPARSE, TIMED, VISITS
 from visitframe.plans.suite import query
 from visitframe.plans.suite_columns import CODED, coded
@@ -174,12 +174,12 @@ def corr_input(t):
 @query("d17_spearman_matrix", f"""WITH {CORR_BASE}, {PAIRS}, r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY u) + (count(*) OVER (PARTITION BY a, b, u) - 1) / 2.0 AS ru,
  rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2.0 AS rv FROM k) SELECT a, b, count(*) AS n, corr(ru, rv) AS r FROM r GROUP BY 1, 2""", "r")
 def _(t):
-    return profile.corr_matrix(corr_input(t), ["q", "d", "e"])
+    return correlation.corr_matrix(corr_input(t), ["q", "d", "e"])
 
 
 @query("d17_pearson_matrix", f"WITH {CORR_BASE}, {PAIRS} SELECT a, b, count(*) AS n, corr(u, v) AS r FROM k GROUP BY 1, 2", "r")
 def _(t):
-    return profile.corr_matrix(corr_input(t), ["q", "d", "e"], "pearson")
+    return correlation.corr_matrix(corr_input(t), ["q", "d", "e"], "pearson")
 
 
 @query("d18_pca_variance", None, "share cumulative")

@@ -83,12 +83,15 @@ def _(t):
     return metrics.regression_metrics(p, ["split"], y="change").drop("mae_train_median", "mean_change", "share_le0", "rmse_no_change")
 
 
-@query("i6_cox", None, "coef hazard_ratio lower upper")
-def _(t):
+def standard_rows(t):
     s = survival_rows(t)
     stats = s.agg(*[a for c in ("risk", "score") for a in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]).first()
-    z = s.select("time", "event", *[((F.col(c) - stats[f"m_{c}"]) / stats[f"s_{c}"]).alias(c) for c in ("risk", "score")])
-    return survival.fit_cox(z, ["risk", "score"]).table(t.spark)
+    return s.select("time", "event", *[((F.col(c) - stats[f"m_{c}"]) / stats[f"s_{c}"]).alias(c) for c in ("risk", "score")])
+
+
+@query("i6_cox", None, "coef hazard_ratio lower upper")
+def _(t):
+    return survival.fit_cox(standard_rows(t), ["risk", "score"]).table(t.spark)
 
 
 PARAMS = {"cols": ["a", "b"], "median": {"a": 5.0, "b": 0.5}, "columns": ["clin_logit", "d_a", "a_missing", "d_b"], "mean": [0.1, 4.0, 0.2, 0.5], "sd": [1.5, 2.0, 0.4, 0.3],

@@ -154,6 +154,39 @@ def test_every_loose_address_is_a_candidate(spark, form):
     assert spans[0] == f"email:15:{15 + len(form)}"
 
 
+def test_positive_unlabelled_risk_is_minimal(spark):
+    from visitframe.llm.pu_quality import document_features, fit_pu, training_labels
+    good = training_labels(Q.table(spark, SF, "labels"))
+    marked = document_features(Q.table(spark, SF, "documents"), "doc_id", "text").join(good, "doc_id", "left").select("x", F.coalesce("good", F.lit(False)).alias("positive"))
+    marked = stage(marked, "test-quality")
+    prior, ridge = 0.3, 0.1
+    model = fit_pu(marked, prior, ridge)
+    rows = marked.collect()
+    raw = np.array([r["x"] for r in rows])
+    positive = np.array([r["positive"] for r in rows])
+    x = np.column_stack([np.ones(len(raw)), model.inputs(raw.astype(np.float32))])
+    keep = np.concatenate([[0.0], np.full(raw.shape[1], ridge)])
+
+    def risk(w):
+        z = x @ w
+        return np.logaddexp(0, z).mean() - prior * z[positive].mean() + 0.5 * (keep * w**2).sum()
+
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        g = (x * p[:, None]).mean(0) - prior * x[positive].mean(0) + keep * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(keep + 1e-9), g)
+        t = 1.0
+        while risk(w - t * step) > risk(w) and t > 1e-9:
+            t /= 2
+        w = w - t * step
+    least = np.logaddexp(0, x @ w).mean() - prior * np.logaddexp(0, x @ w)[positive].mean()
+    assert model.settled and least >= 0 and risk(w) - 1e-12 <= risk(model.weight) < risk(w) + 1e-4
+    cut = fit_pu(marked, prior, ridge, max_steps=1)  # out of steps: the best so far, no error
+    start = np.concatenate([[np.log(prior / (1 - prior))], np.zeros(raw.shape[1])])
+    assert not cut.settled and risk(cut.weight) <= risk(start) + 1e-12
+
+
 def plain_candidates(text):
     """Every loose match in the order of the kinds, left out if it meets any span before it."""
     out = [(k, a, b, True) for k, a, b in strict_spans(text)]

@@ -115,6 +115,7 @@ class Model:
     sd: np.ndarray
     weight: np.ndarray  # bias first
     prior: float
+    settled: bool = True
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x.astype(np.float64) - self.mean) / self.sd, -10, 10)
@@ -134,7 +135,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit_pu(rows: DataFrame, prior: float, ridge: float = 0.1, max_steps: int = 40, tol: float = 1e-4) -> Model:
     """Fit on rows (x, positive): `positive` marks trusted positives, every row is unlabelled text as well.
 
-    Without rows or positives the model scores every text with the prior. Raises if `max_steps` do not suffice.
+    Without rows or positives the model scores every text with the prior. If `max_steps` do not
+    suffice, the model has the weights of the lowest risk met and says so in `settled`.
     """
     def moments(x, positive):
         x = x.astype(np.float64)
@@ -177,7 +179,7 @@ def fit_pu(rows: DataFrame, prior: float, ridge: float = 0.1, max_steps: int = 4
             break
         weight = weight - step
     else:
-        raise RuntimeError(f"the risk did not settle in {max_steps} steps")
+        model.settled = False
     model.weight = last[0]
     return model
 

@@ -108,6 +108,12 @@ def test_calibration_fit_solves_the_score_equations(scored):
     assert abs((y - q).sum()) < 1e-6 and abs(((y - q) * x).sum()) < 1e-6
 
 
+def test_calibration_fit_tells_what_has_no_fit(spark):
+    rows = [("mixed", i / 20, int(i % 3 == 0)) for i in range(1, 20)] + [("one", i / 20, 1) for i in range(1, 20)] + [("apart", i / 20, int(i > 10)) for i in range(1, 20)]
+    out = {r["grp"]: r["settled"] for r in metrics.calibration_fit(spark.createDataFrame(rows, "grp string, p double, y int"), ["grp"], steps=12).collect()}
+    assert out == {"mixed": True, "one": False, "apart": False}
+
+
 def test_norms_match_least_squares(spark):
     rng = np.random.default_rng(0)
     X = rng.normal(size=(200, 3)) * [10, 1, 3] + [70, 0.5, 14]

@@ -358,11 +358,12 @@ def calibration_bins(df: DataFrame, bins: int = 10, by: Sequence[str] = ()) -> D
     return qcut(df, "p", bins, by=by).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.avg("y").alias("observed"))
 
 
-def calibration_fit(df: DataFrame, by: Sequence[str] = (), steps: int = 8) -> DataFrame:
+def calibration_fit(df: DataFrame, by: Sequence[str] = (), steps: int = 25, tol: float = 1e-9) -> DataFrame:
     """Slope and intercept of observed on logit(predicted), by Newton steps inside the plan.
 
     The data shrink to one row per distinct score first. Each step is one grouped
-    aggregation, and all groups are fitted together.
+    aggregation, and all groups are fitted together until none moves by `tol`. `settled` tells whether a group
+    got there in `steps`; one of a single outcome, or whose scores separate the outcomes, has no finite fit and does not.
     """
     by = list(by)
     cells = score_cells(df, by).withColumn("x", logit("p")).withColumn("n", F.col("pos") + F.col("neg"))
@@ -376,11 +377,14 @@ def calibration_fit(df: DataFrame, by: Sequence[str] = (), steps: int = 8) -> Da
                                F.sum(w).alias("h00"), F.sum(w * F.col("x")).alias("h01"), F.sum(w * F.col("x") * F.col("x")).alias("h11"),
                                F.sum("pos").alias("P"), F.sum("n").alias("N"), F.sum(F.col("p") * F.col("n")).alias("S"))
         det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-        params = s.select(*by, (F.col("a") + F.coalesce(F.try_divide(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det), F.lit(0.0))).alias("a"),
-                          (F.col("b") + F.coalesce(F.try_divide(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det), F.lit(0.0))).alias("b"),
-                          (F.col("P") / F.col("N")).alias("observed_rate"), (F.col("S") / F.col("N")).alias("mean_predicted"))
+        da = F.try_divide(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det)
+        db = F.try_divide(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det)
+        params = s.select(*by, (F.col("a") + F.coalesce(da, F.lit(0.0))).alias("a"), (F.col("b") + F.coalesce(db, F.lit(0.0))).alias("b"),
+                          F.coalesce(F.greatest(F.abs(da), F.abs(db)) < tol, F.lit(False)).alias("settled"), (F.col("P") / F.col("N")).alias("observed_rate"), (F.col("S") / F.col("N")).alias("mean_predicted"))
         params = stage(params, "calibration-step")
-    return params.select(*by, F.col("b").alias("slope"), F.col("a").alias("intercept"), "observed_rate", "mean_predicted")
+        if params.where(~F.col("settled")).isEmpty():
+            break
+    return params.select(*by, F.col("b").alias("slope"), F.col("a").alias("intercept"), "observed_rate", "mean_predicted", "settled")
 
 
 def _with_params(cells: DataFrame, params: DataFrame, by: Sequence[str]) -> DataFrame:

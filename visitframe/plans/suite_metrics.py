@@ -10,7 +10,7 @@ from visitframe.plans.fixtures import LABELLED, PRED, VISITS
 from visitframe.plans.suite import query
 from visitframe.plans.suite_columns import FEATS, checked_entries
 from visitframe.plans.suite_pit import labelled
-from visitframe.scaling import Run, Timeline, exact_quantiles
+from visitframe.scaling import Run, Timeline, exact_quantiles, small_side
 
 AUC = """(sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))"""
 
@@ -99,6 +99,18 @@ def _(t):
     return metrics.calibration_fit(t.predictions(), ["segment"])
 
 
+@query("j6_calibration_equations", f"""WITH {PRED} SELECT segment, avg(y) AS observed_rate, avg(p) AS mean_predicted, avg(y) AS mean_fitted, avg(y * ln(p / (1 - p))) AS x_fitted, true AS settled
+ FROM p GROUP BY 1""", "observed_rate mean_predicted mean_fitted x_fitted")
+def _(t):
+    """The score equations at the fitted slope and intercept: fitted and observed outcomes agree in mean and along the logit."""
+    p = t.predictions()
+    fit = metrics.calibration_fit(p, ["segment"])
+    x = F.ln(F.col("p") / (1 - F.col("p")))
+    q = 1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * x)))
+    sums = p.join(small_side(fit, "calibration-fit"), "segment").groupBy("segment").agg(F.avg(q).alias("mean_fitted"), F.avg(q * x).alias("x_fitted"))
+    return fit.select("segment", "observed_rate", "mean_predicted", "settled").join(sums, "segment")
+
+
 TH = """count(*) FILTER (WHERE p >= t AND y = 1) AS tp, count(*) FILTER (WHERE p >= t AND y = 0) AS fp, count(*) FILTER (WHERE p < t AND y = 1) AS fn, count(*) FILTER (WHERE p < t AND y = 0) AS tn"""
 
 

@@ -17,16 +17,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from visitframe.functions.columns import logit, qcut
+from visitframe.functions.md5 import leading_draws
 from visitframe.operators.correlation import spearman
 from visitframe.operators.profile import unpivot
 from visitframe.session import spread, stage
-from visitframe.scaling import bucket_edges, bucket_of, md5_key, null_safe_join, prefix_sums, rank_by_md5
+from visitframe.scaling import broadcast_if_small, bucket_edges, bucket_of, md5_key, null_safe_join, prefix_sums, rank_by_md5
 
 
 #: cells that one node of a bootstrap tree deals to, and the bits (children) of an inner node
 NODE_CELLS, FAN_BITS = 512, 9
 #: cells of one sorted chunk of a score
 CHUNK_CELLS = 2_000
+#: row positions in one list, draws hashed at once, and weights that a task of row draws may hold
+POSITIONS, HASHED, HELD_WEIGHTS = 1 << 16, 1 << 14, 1 << 24
 
 
 def score_cells(df: DataFrame, by: Sequence[str], p: str = "p", y: str = "y", w: Column | None = None) -> DataFrame:
@@ -166,6 +169,75 @@ def deal_cells(cells: DataFrame, by: Sequence[str], draws: int, seed: str, per_n
     return joined(kids, drawn).mapInArrow(to_cells, f"{schema}, w binary")
 
 
+def draw_cells(base: DataFrame, by: Sequence[str], key: str, draws: int, seed: str) -> DataFrame:
+    """Distinct rows of `base` without `key`, with packed weights `w` as in `deal_cells`, from the draws of `resample` row by row.
+
+    No row per draw exists. The cell of each position of a group is listed in md5 order, 4 bytes or 8 a row. A task takes the list
+    of one group and a block of replicates, hashes all draws of these and counts them by cell; blocks are so short that
+    the counts of a task stay within `HELD_WEIGHTS`. What moves is the lists, once a block, and a weight per cell and replicate.
+    """
+    by, names = list(by), [c for c in base.columns if c != key]
+    ranked = stage(rank_by_md5(base, by, key, seed, "idx"), "row-draws")
+    cells = stage(ranked.groupBy(*names).agg(F.min("idx").alias("__cell"), F.count("*").alias("n")), "draw-cells")
+    most = cells.groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 1
+    reps = max(1, min(-(-draws // 16), HELD_WEIGHTS // most))
+    located = null_safe_join(ranked.drop(key), broadcast_if_small(cells.drop("n")), names, "inner")
+    lists = located.groupBy(*by, F.floor(F.col("idx") / POSITIONS).alias("part")).agg(F.sort_array(F.collect_list(F.struct("idx", "__cell"))).alias("s"))
+    head = F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.lit(""))
+    lists = lists.select(*by, head.alias("__head"), "part", F.col("s.__cell").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(-(-draws // reps) - 1))).alias("unit"))
+    keys = [*by, "unit"]
+    kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
+    of_group = "".join(f"`{c}` {kinds[c]}, " for c in by)
+
+    def units(batches: Iterator[pa.RecordBatch]):
+        """(key columns of one row, unit, head, cell of each position) unit by unit."""
+        now, first, held = None, None, []
+        for batch in batches:
+            col = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+            for i in range(batch.num_rows):
+                key_ = tuple(col[c][i].as_py() for c in keys)
+                if key_ != now:
+                    if held:
+                        yield *first, np.concatenate(held)
+                    now, held = key_, []
+                    first = [col[c].take(pa.array([i])) for c in by], key_[-1], col["__head"][i].as_py().encode()
+                held.append(col["at"][i].values.to_numpy())
+        if held:
+            yield *first, np.concatenate(held)
+
+    def counted(batches):
+        for group, unit, head_, cell_at in units(batches):
+            n = len(cell_at)
+            own, cell_at = np.unique(cell_at, return_inverse=True)
+            lo, hi = unit * reps + 1, min((unit + 1) * reps, draws)
+            w = np.zeros((len(own), hi - lo + 1), np.uint32)
+            for rep in range(lo, hi + 1):
+                count = np.zeros(len(own), np.int64)
+                for at in range(0, n, HASHED):
+                    hit = leading_draws(head_ + f"{rep}|".encode(), at, min(at + HASHED, n), f"|{seed}".encode()) % n
+                    count += np.bincount(cell_at[hit], minlength=len(own))
+                w[:, rep - lo] = count
+            for at in range(0, len(own), 4096):
+                part = own[at:at + 4096]
+                columns = [*[c.take(pa.array(np.zeros(len(part), np.int64))) for c in group], pa.array(part), pa.array(np.full(len(part), unit, np.int32)),
+                           pa.array([pack_weights(r) for r in w[at:at + 4096]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*by, "__cell", "unit", "w"])
+
+    def joined(batches):
+        for batch in batches:
+            col = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+            w = [pack_weights(np.concatenate([[n], *[unpack_weights(b) for b in parts]])) for n, parts in zip(col["n"].to_pylist(), col["parts"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[col[c] for c in names], pa.array(w, pa.binary())], names=[*names, "w"])
+
+    # one task a unit, as far as hashing spreads them
+    n_units = max(1, cells.select(*by).distinct().count()) * -(-draws // reps)
+    drawn = (lists.repartition(min(n_units, 4_000), *keys).sortWithinPartitions(*keys, "part").drop("part")
+             .mapInArrow(counted, f"{of_group}__cell long, unit int, w binary"))
+    parts = drawn.groupBy(*by, "__cell").agg(F.transform(F.sort_array(F.collect_list(F.struct("unit", "w"))), lambda x: x["w"]).alias("parts"))
+    every = null_safe_join(cells, parts, [*by, "__cell"], "inner")
+    return every.mapInArrow(joined, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", w binary")
+
+
 def pack_weights(w: np.ndarray) -> bytes:
     """Weights in the narrowest whole numbers that hold them, after a byte with their width."""
     kind = np.min_scalar_type(int(w.max(initial=0)))
@@ -304,16 +376,17 @@ def bootstrap(df: DataFrame, by: Sequence[str], key: str, draws: int = 1000, see
     """Point values and 95% intervals; one-class replicates are skipped.
 
     With `p_ref` also the paired AUROC difference on the same replicates. Methods: `cells` deals exactly n draws to the
-    distinct (group, outcome, score) cells, `poisson cells` gives them independent weights, `draws` and `poisson` draw
-    for every row. `min_drawn` and `max_drawn` are the least and the most rows of a replicate.
+    distinct (group, outcome, score) cells, `poisson cells` gives them independent weights, `draws` issues a draw for every
+    row by md5 and counts them by cell, `poisson` weighs every row. `min_drawn` and `max_drawn` are the least and the most rows of a replicate.
     """
     by = list(by)
     cols = [*by, key, "y", "p", *([p_ref] if p_ref else [])]
     base = df.select(*cols).where("y IS NOT NULL AND p IS NOT NULL")
     # replicate 0 is the sample itself; both scores are ranked in the same pass
-    if method == "cells":
-        cells = stage(base.groupBy(*[c for c in cols if c != key]).agg(F.count("*").alias("n")), "bootstrap-cells")
-        dealt = stage(deal_cells(cells, by, draws, seed), "dealt-cells")
+    if method in ("cells", "draws"):
+        if method == "cells":
+            cells = stage(base.groupBy(*[c for c in cols if c != key]).agg(F.count("*").alias("n")), "bootstrap-cells")
+        dealt = stage(deal_cells(cells, by, draws, seed) if method == "cells" else draw_cells(base, by, key, draws, seed), "dealt-cells")
         m = replicate_metrics(dealt, by, "p")
         if p_ref:
             m = null_safe_join(m, replicate_metrics(dealt, by, p_ref, precision=False).select(*by, "rep", F.col("auroc").alias("__ref")), [*by, "rep"])

@@ -27,3 +27,15 @@ def test_row_draws_by_cell_are_those_of_the_rows(spark, monkeypatch):
     assert got == want and len(want) > 100
     own = {tuple(r[:3]): r["w"] for r in metrics.explode_weights(dealt).where("rep = 0").select("g", "y", "p", "w").collect()}
     assert own == {tuple(r[:3]): r["n"] for r in df.groupBy("g", "y", "p").agg(F.count("*").alias("n")).collect()}
+
+
+def test_concordance_of_all_replicates_is_that_of_each(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "RISK_CELLS", 60)     # blocks are cut by risk
+    rng = np.random.default_rng(2)
+    rows = [(float(t) / 7, int(rng.integers(2)), float(r) / 4, int(rng.integers(1, 4))) for t, r in zip(rng.integers(1, 500, 600), rng.integers(0, 90, 600))]
+    rows += [(1.0, 1, float("nan"), 2), (2.0, 0, None, 1), (None, 1, 3.0, 1), (1.0, None, 3.0, 1), (1.0, 1, 0.0, 1), (1.0, 0, -0.0, 1)]
+    cells = spark.createDataFrame(rows, "time double, event int, risk double, n long").groupBy("time", "event", "risk").agg(F.sum("n").alias("n"))
+    dealt = metrics.stage(metrics.deal_cells(cells, [], 6, "s"), "dealt")
+    want = metrics.concordance_counts(metrics.explode_weights(dealt), ["rep"], w="w").collect()
+    got = metrics.replicate_concordance(dealt, "time", "event", "risk").select("rep", "concordant", "tied", "comparable").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 7

@@ -6,6 +6,7 @@ exact and the ranking step sees distinct scores only.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -21,7 +22,7 @@ from visitframe.functions.md5 import leading_draws
 from visitframe.operators.correlation import spearman
 from visitframe.operators.profile import unpivot
 from visitframe.session import spread, stage
-from visitframe.scaling import broadcast_if_small, bucket_edges, bucket_of, md5_key, null_safe_join, prefix_sums, rank_by_md5
+from visitframe.scaling import broadcast_if_small, bucket_edges, bucket_of, md5_key, null_safe_join, prefix_sums, rank_by_md5, small_side
 
 
 #: cells that one node of a bootstrap tree deals to, and the bits (children) of an inner node
@@ -30,6 +31,8 @@ NODE_CELLS, FAN_BITS = 512, 9
 CHUNK_CELLS = 2_000
 #: row positions in one list, draws hashed at once, and weights that a task of row draws may hold
 POSITIONS, HASHED, HELD_WEIGHTS = 1 << 16, 1 << 14, 1 << 24
+#: binary digits of a time's number that are compared at once, and cells of a group of times above which it is cut by risk
+TIME_BITS, RISK_CELLS = 8, 100_000
 
 
 def score_cells(df: DataFrame, by: Sequence[str], p: str = "p", y: str = "y", w: Column | None = None) -> DataFrame:
@@ -551,18 +554,169 @@ def c_index(df: DataFrame, by: Sequence[str] = (), **kw) -> DataFrame:
     return c.withColumn("c_index", F.try_divide(F.col("concordant") + F.col("tied") / 2.0, F.col("comparable")))
 
 
+def replicate_concordance(dealt: DataFrame, time: str, event: str, risk: str) -> DataFrame:
+    """(rep, concordant, tied, comparable) of one risk over dealt cells with weights `w`, for all replicates at once.
+
+    As in `concordance_counts`, times are numbered and a pair is counted at the first digit in which its numbers differ,
+    here of `TIME_BITS` bits, so a cell is sent once per digit and no pair or row per draw is formed. A task runs through
+    the cells of a block of numbers by rising risk, with the weights met so far in a tree over the digit's values. Large
+    blocks are cut into chunks by even edges of the risk; the chunks' totals by digit are then scanned in order.
+    """
+    rows = dealt.select(F.col(time).alias("t"), (F.col(event).cast("int") == 1).alias("e"), F.col(risk).cast("double").alias("r"), "w").dropna(subset=["t", "e", "r"])
+    slots = rows.groupBy("t").agg(F.max(F.col("e").cast("int")).alias("has_e"), F.max((~F.col("e")).cast("int")).alias("has_c"))
+    slots = stage(prefix_sums(slots.withColumn("k", F.col("has_e") + F.col("has_c")), [], "t", ["k"]), "time-slots")
+    top = slots.agg(F.max("k_total")).first()[0] or 1
+    levels = max(1, -(-int(top).bit_length() // TIME_BITS))
+    slot = (F.col("k_before") + F.when(F.col("e"), 0).otherwise(F.col("has_e"))).cast("long")
+    cells = rows.join(broadcast_if_small(slots.select("t", "has_e", "k_before")), "t").select(slot.alias("slot"), "e", "r", "w")
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright("slot", TIME_BITS * (i + 1)).alias("block"), F.shiftright("slot", TIME_BITS * i).bitwiseAND(2**TIME_BITS - 1).cast("int").alias("digit"))
+                                 for i in range(levels)])).alias("at")
+    keys = ["level", "block", "chunk"]
+    large = cells.drop("w", "r").select(places).groupBy("at.level", "at.block").agg(F.count("*").alias("n")).where(F.col("n") > RISK_CELLS).select("level", "block", F.lit(True).alias("large"))
+    edges = bucket_edges(cells.select("r"), "r", RISK_CELLS)
+    x = cells.select("e", "r", "w", places).select("e", "r", "w", "at.*").join(small_side(large, "large-blocks"), ["level", "block"], "left")
+    x = x.select("level", "block", F.when(F.col("large"), bucket_of("r", edges)).otherwise(-1).alias("chunk"), "digit", "e", "r", "w")
+    x = x.repartition(*keys).sortWithinPartitions(*keys, "r", F.col("digit").desc())
+
+    def chunks(batches):
+        """(key, rows of a chunk as they come)"""
+        rows_ = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns))))
+        for key, group in itertools.groupby(rows_, lambda r: r[:3]):
+            yield key, (r[3:] for r in group)
+
+    def counts(batches):
+        for (level, block, chunk), group in chunks(batches):
+            tree = _DigitTree()
+            for digit, e, r, w in group:
+                tree.add(digit, e, r, unpack_weights(w))
+            done = tree.finish()
+            totals = [(None, *done)] if chunk < 0 else [(None, *done), *tree.totals()]
+            yield pa.RecordBatch.from_arrays([pa.array([v] * len(totals), t) for v, t in ((level, pa.int32()), (block, pa.int64()), (chunk, pa.int32()))]
+                                             + [pa.array([t[0] for t in totals], pa.int32()), *[pa.array([t[i].astype(np.int64).tobytes() for t in totals], pa.binary()) for i in (1, 2, 3)]],
+                                             names=[*keys, "digit", "concordant", "tied", "comparable"])
+
+    run = stage(x.mapInArrow(counts, "level int, block long, chunk int, digit int, concordant binary, tied binary, comparable binary"), "concordance-chunks")
+
+    def across(batches):
+        """Pairs between chunks of a block: events of a chunk with the later rows of the chunks before it, and all between any two."""
+        for (level, block), group in itertools.groupby(((r[:2], r[2:]) for r in _rows(batches)), lambda r: r[0]):
+            later = events = None
+            for _, part in itertools.groupby((r[1] for r in group), lambda r: r[0]):
+                part = [(d, np.frombuffer(e, np.int64), np.frombuffer(w, np.int64)) for _, d, e, w in part]
+                if later is None:
+                    later, events = (np.zeros((2**TIME_BITS + 1, len(part[0][1])), np.int64) for _ in range(2))
+                    concordant, comparable = np.zeros(later.shape[1], np.int64), np.zeros(later.shape[1], np.int64)
+                beyond = np.cumsum(later[::-1], 0)[::-1]
+                before = np.cumsum(events, 0)
+                for d, e, w in part:
+                    concordant += e * beyond[d + 1]
+                    comparable += e * beyond[d + 1]
+                    if d:
+                        comparable += w * before[d - 1]
+                for d, e, w in part:
+                    later[d] += w
+                    events[d] += e
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (concordant, 0 * concordant, comparable)], names=["concordant", "tied", "comparable"])
+
+    kind = "concordant binary, tied binary, comparable binary"
+    between = (run.where("digit IS NOT NULL").repartition("level", "block").sortWithinPartitions("level", "block", "chunk", "digit")
+               .select("level", "block", "chunk", "digit", "concordant", "tied").mapInArrow(across, kind))
+
+    def by_replicate(batches):
+        total = None
+        for row in _rows(batches):
+            one = np.stack([np.frombuffer(v, np.int64) for v in row])
+            total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[1], dtype=np.int32)), *map(pa.array, total)], names=["rep", "concordant", "tied", "comparable"])
+
+    every = run.where("digit IS NULL").select("concordant", "tied", "comparable").unionByName(between)
+    return every.mapInArrow(by_replicate, "rep int, concordant long, tied long, comparable long").groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("concordant", "tied", "comparable")])
+
+
+def _rows(batches) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)))
+
+
+class _DigitTree:
+    """Weights by digit of the rows met so far, in a Fenwick tree, and the pairs they form; a weight is one number per replicate."""
+
+    SIZE = 2**TIME_BITS
+    #: nodes that a digit adds to, and nodes that make up the sum over larger digits
+    UP, ABOVE = [], []
+    for _d in range(SIZE):
+        _at, _up, _sum = SIZE - _d, [], []
+        while _at <= SIZE:
+            _up.append(_at)
+            _at += _at & -_at
+        _at = SIZE - _d - 1
+        while _at:
+            _sum.append(_at)
+            _at -= _at & -_at
+        UP.append(_up)
+        ABOVE.append(_sum)
+
+    def __init__(self):
+        self.tree = None
+
+    def add(self, digit: int, event: bool, risk: float, w: np.ndarray) -> None:
+        """The next row, by rising risk and, among ties, falling digit."""
+        if self.tree is None:
+            self.tree = np.zeros((self.SIZE + 1, len(w)), np.int64)
+            self.events, self.all = np.zeros((self.SIZE, len(w)), np.int64), np.zeros((self.SIZE, len(w)), np.int64)
+            self.concordant, self.tied = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+            self.risk, self.waiting, self.passed, self.run, self.digit = risk, [], None, None, digit
+        same = risk == self.risk or (risk != risk and self.risk != self.risk)
+        if not same or digit != self.digit:
+            self._end_run()
+            if not same:
+                self._end_ties()
+            self.risk, self.digit = risk, digit
+        self.run = w if self.run is None else self.run + w
+        self.all[digit] += w
+        if event:
+            self.events[digit] += w
+            for node in self.ABOVE[digit]:
+                self.concordant += w * self.tree[node]
+            if self.passed is not None:
+                self.tied += w * self.passed
+
+    def _end_run(self) -> None:
+        self.passed = self.run if self.passed is None else self.passed + self.run
+        self.waiting.append((self.digit, self.run))
+        self.run = None
+
+    def _end_ties(self) -> None:
+        for digit, w in self.waiting:
+            for node in self.UP[digit]:
+                self.tree[node] += w
+        self.waiting, self.passed = [], None
+
+    def finish(self) -> tuple:
+        beyond = np.cumsum(self.all[::-1], 0)[::-1]
+        return self.concordant, self.tied, (self.events[:-1] * beyond[1:]).sum(0)
+
+    def totals(self) -> list[tuple]:
+        """(digit, events, all) of the digits that were met."""
+        return [(int(d), self.events[d], self.all[d], self.all[d][:0]) for d in np.flatnonzero(self.all.any(1))]
+
+
 def c_index_gain(df: DataFrame, key: str, draws: int = 200, seed: str = "cgain", method: str = "cells") -> DataFrame:
     """Paired gain of `risk` over `risk_ref` with a 95% interval over the same replicates, dealt to distinct rows as in `bootstrap`."""
     base = df.select(key, "time", "event", "risk", "risk_ref")
-    if method == "cells":
-        cells = stage(base.drop(key).dropna(subset=["time", "event"]).groupBy("time", "event", "risk", "risk_ref").agg(F.count("*").alias("n")), "concordance-cells")
-        every = explode_weights(deal_cells(cells, [], draws, seed))
+    if method in ("cells", "draws"):
+        if method == "cells":
+            cells = stage(base.drop(key).dropna(subset=["time", "event"]).groupBy("time", "event", "risk", "risk_ref").agg(F.count("*").alias("n")), "concordance-cells")
+        dealt = stage(deal_cells(cells, [], draws, seed) if method == "cells" else draw_cells(base, [], key, draws, seed), "dealt-cells")
+        one = lambda n: replicate_concordance(dealt, "time", "event", n).select("rep", F.try_divide(F.col("concordant") + F.col("tied") / 2.0, F.col("comparable")).alias(n))
+        c = one("risk").join(one("risk_ref"), "rep", "full")
     else:
         every = resample(base, [], key, draws, seed, method).unionByName(base.withColumns({"rep": F.lit(0), "w": F.lit(1).cast("long")}))
-    long = every.select("rep", "time", "event", "w", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("model"), F.col(n).cast("double").alias("r")) for n in ("risk", "risk_ref")])))
-    c = c_index(long, ["rep", "model"], risk="r", w="w").groupBy("rep").agg(
-        *[F.max(F.when(F.col("model") == n, F.col("c_index"))).alias(n) for n in ("risk", "risk_ref")])
+        long = every.select("rep", "time", "event", "w", F.inline(F.array(*[
+            F.struct(F.lit(n).alias("model"), F.col(n).cast("double").alias("r")) for n in ("risk", "risk_ref")])))
+        c = c_index(long, ["rep", "model"], risk="r", w="w").groupBy("rep").agg(
+            *[F.max(F.when(F.col("model") == n, F.col("c_index"))).alias(n) for n in ("risk", "risk_ref")])
     c = c.withColumn("gain", F.col("risk") - F.col("risk_ref"))
     own = lambda x: F.max(F.when(F.col("rep") == 0, F.col(x)))
     drawn = F.when(F.col("rep") > 0, F.col("gain"))

@@ -39,3 +39,9 @@ def test_concordance_of_all_replicates_is_that_of_each(spark, monkeypatch):
     want = metrics.concordance_counts(metrics.explode_weights(dealt), ["rep"], w="w").collect()
     got = metrics.replicate_concordance(dealt, "time", "event", "risk").select("rep", "concordant", "tied", "comparable").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 7
+
+
+def test_registered_bootstrap_returns_its_intervals():
+    from visitframe.plans import registry
+
+    assert "auprc_lo" in registry.ORACLES["j4_bootstrap"] and "md5" in registry.ORACLES["j4_bootstrap"]

@@ -61,7 +61,23 @@ def boot_facts(df, by, n="n"):
                      (F.col("max_drawn") == F.col("n")).alias("none_over"), *[((F.col(f"{c}_lo") < F.col(c)) & (F.col(c) < F.col(f"{c}_hi"))).alias(f"{c}_inside") for c in ("auroc", "brier")])
 
 
-@query("j4_bootstrap", f"""WITH {PRED}, pt AS (SELECT segment, count(*) AS n, CAST(sum(y) AS BIGINT) AS events, {AUC} AS auroc, avg((p - y) ^ 2) AS brier FROM ({ranked('p', 'segment')}) GROUP BY 1),
+DRAWN = f"""WITH {BOOT} SELECT segment, n, events, pt.auroc, pt.brier, pt.auroc - pr.ref AS delta_auroc, count(*) AS replicates,
+ quantile_cont(bt.auroc, 0.025) AS auroc_lo, quantile_cont(bt.auroc, 0.975) AS auroc_hi, quantile_cont(bt.auprc, 0.025) AS auprc_lo, quantile_cont(bt.auprc, 0.975) AS auprc_hi,
+ quantile_cont(bt.brier, 0.025) AS brier_lo, quantile_cont(bt.brier, 0.975) AS brier_hi, quantile_cont(d, 0.025) AS delta_auroc_lo, quantile_cont(d, 0.975) AS delta_auroc_hi
+ FROM pt JOIN pr USING (segment) JOIN bt USING (segment) GROUP BY ALL"""
+DRAWN_ROUNDED = "auroc brier delta_auroc auroc_lo auroc_hi auprc_lo auprc_hi brier_lo brier_hi delta_auroc_lo delta_auroc_hi"
+
+
+def drawn(t):
+    return metrics.bootstrap(t.predictions(), ["segment"], "row_id", draws=1000, p_ref="p_ref", method="draws").drop("auprc", "min_drawn", "max_drawn")
+
+
+@query("j4_bootstrap", DRAWN, DRAWN_ROUNDED)
+def _(t):
+    return drawn(t)
+
+
+@query("j4_bootstrap_facts", f"""WITH {PRED}, pt AS (SELECT segment, count(*) AS n, CAST(sum(y) AS BIGINT) AS events, {AUC} AS auroc, avg((p - y) ^ 2) AS brier FROM ({ranked('p', 'segment')}) GROUP BY 1),
  pr AS (SELECT segment, {AUC} AS ref FROM ({ranked('p', 'segment', 'p_ref')}) GROUP BY 1)
  SELECT segment, n, events, auroc, brier, auroc - ref AS delta_auroc, CAST(1000 AS BIGINT) AS replicates, true AS all_drawn, true AS none_over, true AS auroc_inside, true AS brier_inside
  FROM pt JOIN pr USING (segment)""", "auroc brier delta_auroc")
@@ -74,13 +90,9 @@ def _(t):
     return metrics.bootstrap(t.predictions(), ["segment"], "row_id", draws=1000, p_ref="p_ref")
 
 
-@query("j4_bootstrap_draws", f"""WITH {BOOT} SELECT segment, n, events, pt.auroc, pt.brier, pt.auroc - pr.ref AS delta_auroc, count(*) AS replicates,
- quantile_cont(bt.auroc, 0.025) AS auroc_lo, quantile_cont(bt.auroc, 0.975) AS auroc_hi, quantile_cont(bt.auprc, 0.025) AS auprc_lo, quantile_cont(bt.auprc, 0.975) AS auprc_hi,
- quantile_cont(bt.brier, 0.025) AS brier_lo, quantile_cont(bt.brier, 0.975) AS brier_hi, quantile_cont(d, 0.025) AS delta_auroc_lo, quantile_cont(d, 0.975) AS delta_auroc_hi
- FROM pt JOIN pr USING (segment) JOIN bt USING (segment) GROUP BY ALL""",
-       "auroc brier delta_auroc auroc_lo auroc_hi auprc_lo auprc_hi brier_lo brier_hi delta_auroc_lo delta_auroc_hi")
+@query("j4_bootstrap_draws", DRAWN, DRAWN_ROUNDED)
 def _(t):
-    return metrics.bootstrap(t.predictions(), ["segment"], "row_id", draws=1000, p_ref="p_ref", method="draws").drop("auprc", "min_drawn", "max_drawn")
+    return drawn(t)
 
 
 @query("j4_bootstrap_poisson", None, "auroc auprc brier auroc_lo auroc_hi auprc_lo auprc_hi brier_lo brier_hi")

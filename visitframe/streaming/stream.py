@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,10 @@ def profile_stream(stream: DataFrame, out: str, codes: Sequence[str], categories
 
 
 FEATURE_SCHEMA = "entity_id long, visit_date date, visit_id long, visit_no long, years double, ever_high int, carried double, delta_score double, slope_score double, late boolean"
-STATE_SCHEMA = "first_day int, last_day int, last_id long, n_visits long, ever int, carried double, n long, sx double, sy double, sxx double, sxy double"
+#: one call of the stream's step handles all entities of a bucket; an entity's state is one fixed-size record in its bucket's row
+BUCKETS = 2_000
+STATE = [("entity", "i8"), ("first_day", "i4"), ("last_day", "i4"), ("last_id", "i8"), ("n_visits", "i8"), ("ever", "i4"), ("carried", "f8"), ("n", "i8"),
+         ("sx", "f8"), ("sy", "f8"), ("sxx", "f8"), ("sxy", "f8")]
 
 
 def features_stream(stream: DataFrame, high: float = 30.0) -> DataFrame:
@@ -51,42 +55,44 @@ def features_stream(stream: DataFrame, high: float = 30.0) -> DataFrame:
 
     State holds the first day, the last position, the sticky flag, the last known
     value and five slope sums. A visit that arrives behind the position already
-    emitted would change later rows; it is passed through marked `late`. One call
-    sees an entity's rows of one micro-batch, so the trigger bounds its memory.
+    emitted would change later rows; it is passed through marked `late`. Entities are dealt
+    to buckets, since a call per entity costs far more than the rows it sees. One call
+    sees a bucket's rows of one micro-batch, so the trigger bounds its memory.
     Input: entity_id, visit_date, visit_id, score.
     """
+    names = [c.split()[0] for c in FEATURE_SCHEMA.split(", ")]
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = list(state.get) if state.exists else [None, None, None, 0, None, None, 0, 0.0, 0.0, 0.0, 0.0]
-        frames = [b for b in batches]
-        pdf = pd.concat(frames).sort_values(["visit_date", "visit_id"])
+        states = {r[0]: r[1:] for r in np.frombuffer(state.get[0], STATE).tolist()} if state.exists else {}
+        pdf = pd.concat([b for b in batches]).sort_values(["entity_id", "visit_date", "visit_id"])
+        days = pd.to_datetime(pdf["visit_date"]).to_numpy().astype("datetime64[D]").astype(np.int64).tolist()
+        known = pdf["score"].notna().tolist()
         out = []
-        for day, vid, score in zip(pd.to_datetime(pdf["visit_date"]), pdf["visit_id"], pdf["score"]):
-            d = (day - pd.Timestamp("1970-01-01")).days
-            if s[1] is not None and (d, vid) < (s[1], s[2]):
-                out.append((key[0], day.date(), vid, None, None, None, None, None, None, True))
+        for entity, date, d, vid, score, is_known in zip(pdf["entity_id"].tolist(), pdf["visit_date"].tolist(), days, pdf["visit_id"].tolist(), pdf["score"].tolist(), known):
+            s = states.get(entity)
+            first, last, last_id, visits, ever, carried, n, sx, sy, sxx, sxy = (d, None, None, 0, 0, 0.0, 0, 0.0, 0.0, 0.0, 0.0) if s is None else s
+            if last is not None and (d, vid) < (last, last_id):
+                out.append((entity, date, vid, None, None, None, None, None, None, True))
                 continue
-            first = d if s[0] is None else s[0]
             years = (d - first) / 365.25
-            known = pd.notna(score)
-            ever, carried, n, sx, sy, sxx, sxy = s[4], s[5], s[6], s[7], s[8], s[9], s[10]
-            delta = float(score) - carried if known and carried is not None else None
-            slope = None
-            if known:
+            delta = slope = None
+            if is_known:
                 score = float(score)
-                ever = max(ever or 0, int(score > high))
+                delta = score - carried if n else None
+                ever = max(ever, int(score > high))
                 carried, n, sx, sy, sxx, sxy = score, n + 1, sx + years, sy + score, sxx + years * years, sxy + years * score
                 den = n * sxx - sx * sx
                 if n >= 2 and den > 1e-9:
                     slope = max(min((n * sxy - sx * sy) / den, 10.0), -10.0)
-            s = [first, d, vid, s[3] + 1, ever, carried, n, sx, sy, sxx, sxy]
-            out.append((key[0], day.date(), vid, s[3], years, ever, carried, delta, slope, False))
-        state.update(tuple(s))
-        names = [c.split()[0] for c in FEATURE_SCHEMA.split(", ")]
+            states[entity] = (first, d, vid, visits + 1, ever, carried, n, sx, sy, sxx, sxy)
+            # nothing is known of the score before its first value
+            out.append((entity, date, vid, visits + 1, years, ever if n else None, carried if n else None, delta, slope, False))
+        state.update((np.array([(e, *s) for e, s in states.items()], STATE).tobytes(),))
         res = pd.DataFrame(out, columns=names)
         yield res.astype({"visit_no": "Int64", "ever_high": "Int32", "visit_id": "int64", "entity_id": "int64"})
 
-    return (stream.select("entity_id", "visit_date", "visit_id", "score").groupBy("entity_id")
-            .applyInPandasWithState(step, FEATURE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+    dealt = stream.select("entity_id", "visit_date", "visit_id", "score", F.pmod(F.xxhash64("entity_id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    return dealt.groupBy("bucket").applyInPandasWithState(step, FEATURE_SCHEMA, "entities binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def score_stream(stream: DataFrame, references: DataFrame, on: str, rules: Sequence[Rule]) -> DataFrame:

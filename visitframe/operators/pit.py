@@ -133,22 +133,21 @@ def label_recount(tl: Timeline, event: Column, h: float, out: str = "label_recou
     """The horizon label a second way, from counts instead of minima, without pairing rows.
 
     Events up to the end of the horizon minus events up to this row; rows from
-    the horizon onwards. Probes placed at the two horizon days are read off the
-    same daily cumulative counts.
+    the horizon onwards. Both are read off range frames over the days, which only
+    grow along the order. With hot entities the frames run over daily counts.
     """
     within, reached = math.floor(h * DAYS_PER_YEAR), math.ceil(h * DAYS_PER_YEAR)
-    key = tl.key
-    df = tl.runs(__seen=Run("sum", F.coalesce(event.cast("int"), F.lit(0)))).df
-    daily = df.groupBy(key, "days").agg(F.sum(F.coalesce(event.cast("int"), F.lit(0))).alias("e"), F.count("*").alias("n"))
-    probes = (daily.select(key, F.explode(F.array(F.col("days") + within, F.col("days") + reached - 1)).alias("days"))
-              .distinct().select(key, "days", F.lit(0).alias("e"), F.lit(0).alias("n")))
-    points = daily.unionByName(probes).groupBy(key, "days").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
-    w = Window.partitionBy(key).orderBy("days").rowsBetween(Window.unboundedPreceding, 0)
-    cum = points.select(key, "days", F.sum("e").over(w).alias("ce"), F.sum("n").over(w).alias("cn"),
-                        F.sum("n").over(Window.partitionBy(key)).alias("tn"))
-    a = cum.select(key, (F.col("days") - within).alias("days"), F.col("ce").alias("e_to_horizon"))
-    b = cum.select(key, (F.col("days") - reached + 1).alias("days"), (F.col("tn") - F.col("cn")).alias("n_from_horizon"))
-    df = df.join(a, [key, "days"], "left").join(b, [key, "days"], "left")
+    key, happened = tl.key, F.coalesce(event.cast("int"), F.lit(0))
+    df = tl.runs(__seen=Run("sum", happened)).df
+    w = Window.partitionBy(key).orderBy("days")
+    upto = lambda c, last: F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, last))
+    ahead = lambda e, n: {"e_to_horizon": upto(e, within), "n_from_horizon": F.sum(n).over(Window.partitionBy(key)) - upto(n, reached - 1)}
+    if tl.hot:
+        daily = df.groupBy(key, "days").agg(F.sum(happened).alias("e"), F.count("*").alias("n"))
+        df = df.join(daily.withColumns(ahead("e", "n")).select(key, "days", "e_to_horizon", "n_from_horizon"), [key, "days"], "left")
+    else:
+        known = F.col("days").isNotNull() & F.col(key).isNotNull()
+        df = df.withColumns({c: F.when(known, v) for c, v in ahead(happened, F.lit(1)).items()})
     return df.withColumn(out, F.when(F.col("e_to_horizon") - F.col("__seen") > 0, 1)
                          .when(F.col("n_from_horizon") > 0, 0)).drop("__seen", "e_to_horizon", "n_from_horizon")
 

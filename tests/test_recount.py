@@ -22,3 +22,17 @@ def test_recount_needs_no_join_and_agrees_with_the_daily_counts(spark):
             assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
         out.append({r["visit_id"]: r["label_recount"] for r in found.collect()})
     assert out[0] == out[1] and set(out[0].values()) == {None, 0, 1}
+
+
+def test_first_scan_is_sent_once_and_gaps_are_found_once(spark, tables):
+    from visitframe.operators import joins
+
+    first = joins.first_scan(tables.scans(), ["source"])
+    assert "min_by" not in first._jdf.queryExecution().optimizedPlan().toString()
+    plan = joins.linkage_summary(tables.scans(), tables.visits())._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+    rows = [(1, "b", 2), (1, "a", 1), (1, None, 0), (2, "c", None)]
+    df = spark.createDataFrame(rows, "entity_id long, scan_id string, source int").withColumn("scan_date", F.lit("2000-01-01").cast("date"))
+    for last, want in ((False, {1: (None, 0), 2: ("c", None)}), (True, {1: ("b", 2), 2: ("c", None)})):
+        got = pit.first_row(df, ["scan_id", "source", "scan_date"], order=("scan_date", "scan_id"), last=last).collect()
+        assert {r["entity_id"]: (r["scan_id"], r["source"]) for r in got} == want

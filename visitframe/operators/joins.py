@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from visitframe.operators.pit import first_row
 from visitframe.scaling import Run, Timeline, exact_quantiles, pick_row, small_side
+from visitframe.session import stage
 
 KEY = "entity_id"
 
@@ -119,7 +120,8 @@ def linkage_summary(scans: DataFrame, visits: DataFrame) -> DataFrame:
     """Gap from each entity's first scan to its nearest visit, counted by source and window."""
     s = first_scan(scans, ["source"])
     m = visits.select(KEY, "visit_date").join(s, KEY)
-    gap = m.groupBy(KEY, "source").agg(F.min(F.abs(F.datediff("visit_date", "scan_date"))).alias("gap"))
+    # written once (a number per entity), as the counts and the quantiles read it
+    gap = stage(m.groupBy(KEY, "source").agg(F.min(F.abs(F.datediff("visit_date", "scan_date"))).alias("gap")), "linkage-gaps")
     agg = gap.groupBy("source").agg(F.count("*").alias("n"), *[F.count_if(F.col("gap") <= d).alias(f"within_{d}") for d in (90, 180, 365)],
                                     F.min("gap").alias("min_gap"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"))
     return agg.join(exact_quantiles(gap, ["source"], "gap", {"p25_gap": 0.25, "median_gap": 0.5, "p75_gap": 0.75}), "source")

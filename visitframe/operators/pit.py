@@ -159,6 +159,10 @@ def label_recount(tl: Timeline, event: Column, h: float, out: str = "label_recou
 def first_row(df: DataFrame, cols: Sequence[str], key: str = "entity_id", order: Sequence[str] = ("visit_date", "visit_id"),
               last: bool = False) -> DataFrame:
     """The first (or last) row per entity as it stands, nulls included."""
+    rest = [c for c in cols if c not in order]
+    if len(rest) + len(order) == len(cols):     # the columns hold the order, so they are sent once
+        picked = df.groupBy(key).agg((F.max if last else F.min)(F.struct(*order, *rest)).alias("__p"))
+        return picked.select(key, *[F.col(f"__p.{c}").alias(c) for c in cols])
     return pick_row(df, [key], [F.col(c) for c in order], cols, last)
 
 

@@ -25,6 +25,8 @@ from visitframe.session import stage
 K1, B = 1.5, 0.75
 FUSION = 60
 MAX_QUERIES = 1_000
+#: passages whose words one task counts, pairs of query and passage that it scores, and passages scored at once against all queries
+COUNTED_DOCS, SCORED_PAIRS, SCORED_ROWS = 5_000, 500_000, 256
 
 
 def paragraphs(docs: DataFrame, text: str, heading: Column, keys: Sequence[str]) -> DataFrame:
@@ -56,12 +58,15 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "
     The text is read and tokenised once. Words outside the query batch are
     dropped before the counting shuffle; an empty word marks each passage, so
     the number of passages and their mean length come from the same postings.
+    Words and scores are summed by passage in parts of bounded size, so a task's table of groups does not grow with the input.
     """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
     q = stage(query_terms(queries), "query-terms")
     mark = docs.sparkSession.range(1).select(F.lit("").alias("term"))
     sized = docs.select(doc, tokens(text).alias("tk")).withColumn("length", F.size("tk"))
     tf = (sized.select(doc, "length", F.explode(F.concat("tk", F.array(F.lit("")))).alias("term"))
-          .join(broadcast_if_small(q.select("term").distinct().unionByName(mark)), "term", "left_semi").groupBy(doc, "term", "length").agg(F.count("*").alias("tf")))
+          .join(broadcast_if_small(q.select("term").distinct().unionByName(mark)), "term", "left_semi")
+          .repartition(max(cores, -(-docs.count() // COUNTED_DOCS)), doc).groupBy(doc, "term", "length").agg(F.count("*").alias("tf")))
     tf = stage(tf, "postings")
     stats = tf.where("term = ''").agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("avg_len"))).scalar()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -69,8 +74,9 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "
     idf = F.ln(F.lit(1.0) + (F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = terms.select("qid", "term", (F.col("weight") * idf).alias("w"), F.col("s.avg_len").alias("avg_len"))
     score = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
+    pairs = q.join(df, "term").agg(F.sum("df")).first()[0] or 0
     # with the short side broadcast, a word found in most passages does not gather in one task
-    return tf.join(broadcast_if_small(terms), "term").groupBy("qid", doc).agg(F.round(F.sum(score), SCORE_DIGITS).alias("bm25"))
+    return tf.repartition(max(cores, -(-pairs // SCORED_PAIRS)), doc).join(broadcast_if_small(terms), "term").groupBy("qid", doc).agg(F.round(F.sum(score), SCORE_DIGITS).alias("bm25"))
 
 
 # ---- dense scores --------------------------------------------------------------------------
@@ -94,12 +100,15 @@ def query_matrix(queries: DataFrame, vector: str) -> tuple[list, np.ndarray]:
 
 
 def _scores(pdf: pd.DataFrame, vector: str, q: np.ndarray) -> np.ndarray:
-    # summed column by column, in the order a row expression would use
+    # summed column by column, in the order a row expression would use; a few rows at a time stay in the cache
     d = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-    out = np.zeros((len(d), len(q)))
-    for j in range(d.shape[1]):
-        out += d[:, j:j + 1] * q[:, j][None, :]
-    return np.round(out, SCORE_DIGITS)
+    out, by_column = np.zeros((len(d), len(q))), np.ascontiguousarray(q.T)
+    for lo in range(0, len(d), SCORED_ROWS):
+        part, sums = d[lo:lo + SCORED_ROWS], out[lo:lo + SCORED_ROWS]
+        for j in range(d.shape[1]):
+            sums += part[:, j:j + 1] * by_column[j]
+        np.round(sums, SCORE_DIGITS, out=sums)
+    return out
 
 
 def dense_top(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", vector: str = "vector") -> DataFrame:
@@ -117,10 +126,15 @@ def _dense_top(docs: DataFrame, queries: DataFrame, k: int, doc: str, vector: st
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list = [None] * len(ids)
         for pdf in batches:
-            s, d = _scores(pdf, vector, q), pdf[doc].to_numpy()
+            if not len(pdf):
+                continue
+            s, d = np.ascontiguousarray(_scores(pdf, vector, q).T), pdf[doc].to_numpy()
             for j in range(len(ids)):
-                old_s, old_d = kept[j] or (s[:0, j], d[:0])
-                both_s, both_d = np.concatenate([old_s, s[:, j]]), np.concatenate([old_d, d])
+                old_s, old_d = kept[j] or (s[j, :0], d[:0])
+                # only rows that reach the k-th best so far, or the k-th best of the batch, are sorted; missing scores come last
+                least = old_s[-1] if len(old_s) == k else -np.partition(-s[j], k - 1)[k - 1] if len(d) > k else np.nan
+                near = slice(None) if np.isnan(least) else np.flatnonzero(s[j] >= least)
+                both_s, both_d = np.concatenate([old_s, s[j, near]]), np.concatenate([old_d, d[near]])
                 best = np.lexsort((both_d, -both_s))[:k]
                 kept[j] = (both_s[best], both_d[best])
         for qid, best in zip(ids, kept):
@@ -163,15 +177,23 @@ def dense_ranks(docs: DataFrame, queries: DataFrame, cand: DataFrame, doc: str =
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = {i: np.zeros(len(a), dtype=np.int64) for i, (a, _) in lists.items()}
         for pdf in batches:
-            s, d = _scores(pdf, vector, q), pdf[doc].to_numpy()
+            if not len(pdf):
+                continue
+            s, d = np.ascontiguousarray(_scores(pdf, vector, q).T), pdf[doc].to_numpy()
             for j, i in enumerate(ids):
                 if i not in lists:
                     continue
                 c_id, c_s = lists[i]
-                order = np.lexsort((d, -s[:, j]))
-                neg, did = -s[order, j], d[order]
+                neg = np.sort(-s[j])
                 lo, hi = np.searchsorted(neg, -c_s, "left"), np.searchsorted(neg, -c_s, "right")
-                total[i] += lo + np.array([np.searchsorted(did[a:b], c) for a, b, c in zip(lo, hi, c_id)], dtype=np.int64)
+                total[i] += lo
+                # passages of equal similarity are ordered by id; most batches hold none, and equal candidates share a look
+                tied, tied_d = np.flatnonzero(hi > lo), {}
+                for c in tied.tolist():
+                    value = None if np.isnan(c_s[c]) else float(c_s[c])
+                    if value not in tied_d:
+                        tied_d[value] = np.sort(d[np.isnan(s[j]) if value is None else s[j] == value])
+                    total[i][c] += np.searchsorted(tied_d[value], c_id[c])
         for i, n in total.items():
             yield pd.DataFrame({"qid": i, doc: lists[i][0], "ahead": n})
 

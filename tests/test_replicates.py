@@ -45,3 +45,17 @@ def test_registered_bootstrap_returns_its_intervals():
     from visitframe.plans import registry
 
     assert "auprc_lo" in registry.ORACLES["j4_bootstrap"] and "md5" in registry.ORACLES["j4_bootstrap"]
+
+
+def test_paired_gain_leaves_out_the_precision(spark):
+    from visitframe.operators import models
+
+    rng = np.random.default_rng(5)
+    rows = [(i, "a" if i % 3 else "b", int(rng.integers(2)), float(rng.integers(30)) / 30, float(rng.integers(9)) / 9) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, g string, y int, p double, p_ref double")
+    whole = metrics.bootstrap(df, ["g"], "id", 50, p_ref="p_ref")
+    short = metrics.bootstrap(df, ["g"], "id", 50, p_ref="p_ref", precision=False)
+    assert set(whole.columns) - set(short.columns) == {"auprc", "auprc_lo", "auprc_hi"}
+    assert sorted(map(tuple, whole.select(*short.columns).collect())) == sorted(map(tuple, short.collect()))
+    gain = models.paired_gain(df.select("id", "g", "y", "p"), df.select("id", F.col("p_ref").alias("p")), "id", ["g"], 50)
+    assert sorted(map(tuple, gain.collect())) == sorted(map(tuple, whole.select("g", "delta_auroc_lo", "delta_auroc_hi").collect()))

@@ -298,8 +298,9 @@ def replicate_metrics(dealt: DataFrame, by: Sequence[str], score: str, precision
                     continue
                 w = unpack_weights(w)
                 if not entries or entries[-1][0] != v:
-                    entries.append([v, np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)])
-                entries[-1][1 if y else 2] += w
+                    entries.append([v, None, None])     # a side without rows stays empty
+                side = 1 if y else 2
+                entries[-1][side] = w if entries[-1][side] is None else entries[-1][side] + w
         if key is not None:
             yield key, start, entries
 
@@ -312,17 +313,26 @@ def replicate_metrics(dealt: DataFrame, by: Sequence[str], score: str, precision
 
     def totals(batches):
         for key, _, entries in chunks(batches):
-            pos = neg = pairs = square = 0
+            size = len(next(x for x in entries[0][1:] if x is not None))
+            (pos, neg), (pairs, square) = np.zeros((2, size), np.int64), np.zeros((2, size))
             for v, a, b in entries:
-                pairs = pairs + a * (neg + b / 2)
-                pos, neg, square = pos + a, neg + b, square + a * (v - 1.0) ** 2 + b * v**2
+                if a is not None:
+                    pairs += a * (neg if b is None else neg + b / 2)
+                    pos += a
+                    square += a * (v - 1.0) ** 2
+                if b is not None:
+                    neg += b
+                    square += b * v**2
             yield rows(key, pos=pos, neg=neg, pairs=pairs, square=square)
 
     def precisions(batches):
         for key, (tp, fp, all_pos), entries in chunks(batches):
             out = np.zeros(len(tp))
             for _, a, b in reversed(entries):
-                tp, fp = tp + a, fp + b
+                fp = fp if b is None else fp + b
+                if a is None:
+                    continue
+                tp = tp + a
                 out += np.divide(a * tp, (tp + fp) * all_pos, out=np.zeros(len(a)), where=a > 0)
             yield rows(key, auprc=out)
 
@@ -375,8 +385,8 @@ def resample_cells(cells: DataFrame, draws: int, seed: str) -> DataFrame:
 
 
 def bootstrap(df: DataFrame, by: Sequence[str], key: str, draws: int = 1000, seed: str = "boot", p_ref: str | None = None,
-              method: str = "cells") -> DataFrame:
-    """Point values and 95% intervals; one-class replicates are skipped.
+              method: str = "cells", precision: bool = True) -> DataFrame:
+    """Point values and 95% intervals; one-class replicates are skipped. Without `precision` a cell method leaves out `auprc`.
 
     With `p_ref` also the paired AUROC difference on the same replicates. Methods: `cells` deals exactly n draws to the
     distinct (group, outcome, score) cells, `poisson cells` gives them independent weights, `draws` issues a draw for every
@@ -390,7 +400,7 @@ def bootstrap(df: DataFrame, by: Sequence[str], key: str, draws: int = 1000, see
         if method == "cells":
             cells = stage(base.groupBy(*[c for c in cols if c != key]).agg(F.count("*").alias("n")), "bootstrap-cells")
         dealt = stage(deal_cells(cells, by, draws, seed) if method == "cells" else draw_cells(base, by, key, draws, seed), "dealt-cells")
-        m = replicate_metrics(dealt, by, "p")
+        m = replicate_metrics(dealt, by, "p", precision)
         if p_ref:
             m = null_safe_join(m, replicate_metrics(dealt, by, p_ref, precision=False).select(*by, "rep", F.col("auroc").alias("__ref")), [*by, "rep"])
         return _intervals(m, by, p_ref is not None)
@@ -409,7 +419,8 @@ def bootstrap(df: DataFrame, by: Sequence[str], key: str, draws: int = 1000, see
 
 def _intervals(m: DataFrame, by: Sequence[str], paired: bool) -> DataFrame:
     """Point values (replicate 0) and intervals from metrics per replicate."""
-    names, stats = ["n", "events", "auroc", "auprc", "brier"], ["auroc", "auprc", "brier"]
+    stats = [c for c in ("auroc", "auprc", "brier") if c in m.columns]
+    names = ["n", "events", *stats]
     if paired:
         m = m.withColumn("delta_auroc", F.col("auroc") - F.col("__ref"))
         stats.append("delta_auroc")

@@ -150,7 +150,7 @@ def ablate(df: DataFrame, sets: dict[str, Sequence[str]], fit: Callable[[DataFra
 def paired_gain(scores: DataFrame, reference: DataFrame, key: str, by: Sequence[str], draws: int) -> DataFrame:
     """`delta_auroc_lo`, `delta_auroc_hi` per group: scores against the reference's score of the same row, on the same replicates."""
     pairs = scores.select(*by, key, "y", "p").join(reference.select(key, F.col("p").alias("p_ref")), key)
-    return bootstrap(pairs, by, key, draws, p_ref="p_ref", method="cells").select(*by, "delta_auroc_lo", "delta_auroc_hi")
+    return bootstrap(pairs, by, key, draws, p_ref="p_ref", method="cells", precision=False).select(*by, "delta_auroc_lo", "delta_auroc_hi")
 
 
 def by_group(df: DataFrame, sets: dict[str, Sequence[str]], fit, group: str, key: str = "entity_id", seeds: Sequence[int] = (0,), draws: int = 0) -> DataFrame:

@@ -93,9 +93,9 @@ def to_bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(x), 0, 1 + np.searchsorted(edges, x, "left")).astype(np.uint8)
 
 
-def cut_points(train: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
-    """Edges of at most `MAX_BINS` bins per feature, at about even quantiles of the known values."""
-    probs = [i / MAX_BINS for i in range(1, MAX_BINS)]
+def cut_points(train: DataFrame, features: Sequence[str], bins: int = MAX_BINS) -> list[np.ndarray]:
+    """Edges of at most `bins` bins per feature, at about even quantiles of the known values."""
+    probs = [i / bins for i in range(1, bins)]
     row = train.agg(*[F.percentile_approx(F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")), probs, 100_000).alias(f) for f in features]).first()
     return [np.unique(np.array(v if v is not None else [], float)) for v in row]
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from visitframe.functions.columns import logit, sigmoid
 from visitframe.operators.boosting import Booster, Settings, scorer
+from visitframe.operators.forest import Forest
+from visitframe.operators.forest import scorer as forest_scorer
 from visitframe.operators.metrics import auroc, bootstrap, ranking_metrics, score_cells
 from visitframe.operators.pit import percentile_of
 from visitframe.operators.profile import unpivot
@@ -69,11 +71,10 @@ def fit_logistic(df: DataFrame, features: Sequence[str], target: str = "y", grid
 
 
 def fit_forest(df: DataFrame, features: Sequence[str], target: str = "y", trees: int = 500, leaf: int = 10, depth: int = 30, seed: int = 0) -> Scorer:
-    """Random forest; 30 levels are the most that the learner allows, so the leaf size ends the growth."""
-    design = Design(df, features)
-    m = RandomForestClassifier(featuresCol="x", labelCol=target, numTrees=trees, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", maxDepth=depth,
-                               seed=seed).fit(design(df.where("split = 'train'")))
-    return lambda d: _positive(m.transform(design(d)))
+    """Random forest; the leaf size ends the growth, 30 levels are seldom reached."""
+    prep = Prep(features).fit(df.where("split = 'train'"))
+    forest = Forest(prep.transform(df), prep.columns, target, trees, leaf, depth, seed)
+    return forest_scorer(forest, prep.transform)
 
 
 def fit_boosted(df: DataFrame, features: Sequence[str], target: str = "y", depths: Sequence[int] = (3, 4, 6), rounds: int = 3000, step: float = 0.03,

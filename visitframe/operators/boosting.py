@@ -56,15 +56,29 @@ class Tree:
         self.feature, self.cut = np.full(n, -1, np.int32), np.zeros(n, np.int32)
         self.missing_left, self.value, self.gain = np.zeros(n, bool), np.zeros(n), np.zeros(n)
 
-    def place(self, bins: np.ndarray) -> np.ndarray:
-        """Node that each row (column of `bins`) has reached so far."""
-        n = bins.shape[1]
+    def place(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """Node that each row (column of `bins`) has reached after so many levels."""
+        n, flat = bins.shape[1], np.ascontiguousarray(bins).ravel()
+        levels = self.depth if levels is None else levels
         node, row = np.zeros(n, np.int64), np.arange(n)
-        for _ in range(self.depth):
-            f = self.feature[node]
-            b = bins[np.maximum(f, 0), row]
-            left = np.where(b == 0, self.missing_left[node], b <= self.cut[node])
-            node = np.where(f >= 0, 2 * node + 2 - left, node)
+        if not levels:
+            return node
+        # the next node by node and bin; a leaf leads to itself
+        own = np.arange(2**levels - 1)[:, None]
+        left = np.arange(256) <= self.cut[: len(own), None]
+        left[:, 0] = self.missing_left[: len(own)]
+        split = self.feature[: len(own)] >= 0
+        following = np.where(split[:, None], 2 * own + 2 - left, own).ravel()
+        start = np.where(split, self.feature[: len(own)], 0).astype(np.int64) * n
+        for level in range(levels):
+            if level and not split[2**level - 1: 2 ** (level + 1) - 1].any():
+                break
+            if level and not split[: 2**level - 1].all():  # some rows rest in a leaf above
+                on = np.flatnonzero(node >= 2**level - 1)
+                at = node.take(on)
+                node[on] = following.take(at * 256 + flat.take(start.take(at) + on))
+            else:
+                node = following.take(node * 256 + flat.take(start.take(node) + row))
         return node
 
 
@@ -128,15 +142,20 @@ class Block:
     val: np.ndarray
     margin: np.ndarray  # models x rows
 
-    def gradients(self, model: int, s: Settings, round_: int) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient and Hessian, nought for validation rows and rows that are not drawn."""
+    def drawn(self, s: Settings, round_: int) -> np.ndarray:
+        """Training rows that the round draws, the same for all models."""
         use = ~self.val
         if s.rows < 1:
             use = use & (_draw((self.number << 32) + np.arange(len(self.y)), 2 * (s.seed * 100_003 + round_)) < s.rows)
+        return np.flatnonzero(use)
+
+    def gradients(self, model: int, s: Settings, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of the given rows."""
+        margin, y = self.margin[model].take(rows), self.y.take(rows)
         if s.absolute:
-            return np.sign(self.margin[model] - self.y) * use, use.astype(float)
-        p = 1 / (1 + np.exp(-self.margin[model]))
-        return (p - self.y) * use, np.maximum(p * (1 - p), 1e-16) * use
+            return np.sign(margin - y), np.ones(len(rows))
+        p = 1 / (1 + np.exp(-margin))
+        return p - y, np.maximum(p * (1 - p), 1e-16)
 
 
 def _unpacked(n_features: int, base: float, models: int):
@@ -222,7 +241,8 @@ class Booster:
         models = [Boosted(self.features, self.edges, self.base, d) for d in depths]
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(shared_dir(self.spark))
-        state = self.blocks.rdd.map(_unpacked(len(self.features), self.base, len(models)))
+        # a task sums all its blocks before anything moves
+        state = self.blocks.rdd.coalesce(sc.defaultParallelism).map(_unpacked(len(self.features), self.base, len(models)))
         live, new = list(range(len(models))), {}
         for t in range(rounds + 1):
             last, state = state, state.map(_grown(new)) if new else state
@@ -267,19 +287,22 @@ class Booster:
                 held[key] = held[key] + value if key in held else value
 
             for b in blocks:
+                drawn = b.drawn(s, round_)
+                bins = b.bins.take(drawn, 1)
                 for m, tree in trees.items():
                     if level == 0:
                         add(("val", m), _counted(b, m, s.absolute))
-                    g, h = b.gradients(m, s, round_)
-                    node = tree.place(b.bins) - first
-                    use = np.flatnonzero((node >= 0) & (node < nodes) & (h > 0))
-                    at, g, h = node[use] * 256, g[use], h[use]
+                    use, at = drawn, tree.place(bins, level) - first
+                    on = np.flatnonzero(at >= 0)
+                    here = bins if len(on) == len(at) else bins.take(on, 1)
+                    at, use = at.take(on) * 256, use.take(on)
+                    g, h = b.gradients(m, s, use)
                     for f in chosen:
-                        key = at + b.bins[f, use]
+                        key = at + here[f]
                         add((m, f), np.stack([np.bincount(key, w, nodes * 256).reshape(nodes, 256) for w in (g, h)], 1))
             yield from held.items()
 
-        return dict(_together(state.mapPartitions(sums)).map(lambda kv: kv if kv[0][0] == "val" else (kv[0], best_cuts(kv[1], s))).collect())
+        return dict(_together(state.mapPartitions(sums), len(trees) * (len(chosen) + (level == 0))).map(lambda kv: kv if kv[0][0] == "val" else (kv[0], best_cuts(kv[1], s))).collect())
 
     def _split(self, trees: dict[int, Tree], found: dict, level: int, chosen: list[int]) -> None:
         s = self.s
@@ -302,12 +325,14 @@ class Booster:
         def sums(blocks):
             held: dict = {}
             for b in blocks:
+                drawn = b.drawn(s, round_)
+                bins, y = b.bins.take(drawn, 1), b.y.take(drawn)
                 for m, tree in trees.items():
-                    _, h = b.gradients(m, s, round_)
-                    leaf = tree.place(b.bins)
-                    cell = np.clip(((b.y - b.margin[m]) / wide + 1) / 2 * RESIDUALS, 0, RESIDUALS - 1).astype(np.int64)
-                    for k in np.unique(leaf[h > 0]).tolist():
-                        n = np.bincount(cell[(leaf == k) & (h > 0)], minlength=RESIDUALS)
+                    leaf = tree.place(bins)
+                    cell = np.clip(((y - b.margin[m].take(drawn)) / wide + 1) / 2 * RESIDUALS, 0, RESIDUALS - 1).astype(np.int64)
+                    counts = np.bincount(leaf * RESIDUALS + cell, minlength=len(tree.value) * RESIDUALS).reshape(-1, RESIDUALS)
+                    for k in np.flatnonzero(counts.any(1)).tolist():
+                        n = counts[k].copy()
                         held[(m, k)] = held[(m, k)] + n if (m, k) in held else n
             yield from held.items()
 
@@ -318,7 +343,8 @@ class Booster:
             inside = (half - (c[i] - n[i])) / n[i]
             return ((i + inside) / RESIDUALS * 2 - 1) * wide
 
-        for (m, k), v in _together(state.mapPartitions(sums)).mapValues(median).collect():
+        leaves = sum(2**tree.depth for tree in trees.values())
+        for (m, k), v in _together(state.mapPartitions(sums), leaves).mapValues(median).collect():
             trees[m].value[k] = s.step * v
 
     def _score(self, counted: np.ndarray) -> float:
@@ -331,10 +357,10 @@ class Booster:
         return float((pos * (below + neg / 2)).sum() / pairs) if pairs else -np.inf
 
 
-def _together(sums):
-    """Sums by key over all tasks; those of a single task are complete as they are."""
+def _together(sums, keys: int = 200):
+    """Sums by key over all tasks, in no more tasks than there are keys; those of a single task are complete as they are."""
     parts = sums.getNumPartitions()
-    return sums if parts == 1 else sums.reduceByKey(lambda a, b: a + b, min(parts, 200))
+    return sums if parts == 1 else sums.reduceByKey(lambda a, b: a + b, min(parts, keys, 200))
 
 
 def _counted(b: Block, model: int, absolute: bool) -> np.ndarray:

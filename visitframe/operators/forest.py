@@ -2,7 +2,7 @@
 
 Features are cut into at most `BINS` bins and the rows are packed as for boosting. A tree draws the weight of a row
 (Poisson with mean 1) by a hash of tree and row number, a node its features by a hash of tree and node, and all sums are
-whole numbers. So a tree depends neither on tasks nor on where its nodes are split.
+whole numbers. So for the blocks as packed a tree depends neither on tasks nor on where its nodes are split.
 
 A node with more than `LOCAL_ROWS` rows is split by sums over all blocks, at most `OPEN` nodes a job. The rows of a
 smaller one are sent to one task, which grows the rest of that branch. A row moves once per tree, as one byte per feature,

@@ -10,12 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
+from visitframe.llm import components, setsketch
 from visitframe.llm import queries as Q
 from visitframe.llm.blocks import ALNUM, NOT_SPACE, hash_words, shingle_sets
-from visitframe.llm.components import connected_components
+from visitframe.llm.components import connected_components, star_forest
 from visitframe.llm.fm_index import FMIndex, Phrases, find_contamination, search_texts, suffix_array, verdict
 from visitframe.llm.piece_codec import ChunkTable, encode_decode
 from visitframe.llm.setsketch import DEFAULT, NearDuplicates
+from visitframe.session import stage
 
 SPACED, ALNUMS = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -114,6 +116,34 @@ def test_components_of_chains_and_stars(spark):
     assert len(out) == 61 + 30 and {r["comp"] for r in out} == {"n000", "z0"} and len({r["sid"] for r in out}) == len(out)
 
 
+def test_settled_stars_are_not_contracted_again(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "stage", lambda df, name: written.append(name) or stage(df, name))
+    stars = spark.createDataFrame([("a", f"b{i}") for i in range(20)] + [("c", "d")], "a string, b string")
+    assert star_forest(stars).count() == 21 and written == ["edges"]
+    # stars of an earlier call with one new link: no round beyond those that change something
+    written.clear()
+    got = star_forest(stars.union(spark.createDataFrame([("b3", "d")], "a string, b string"))).collect()
+    assert {(r["a"], r["b"]) for r in got} == {("a", x) for x in ["c", "d"] + [f"b{i}" for i in range(20)]} and len(got) == 22
+    assert written.count("stars") <= 2
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_near_duplicates_same_with_joins_and_with_broadcasts(spark, monkeypatch, most):
+    for module, name in ((components, "SMALL_EDGES"), (setsketch, "SMALL_ROWS"), (setsketch, "REG_ROWS"), (setsketch, "SET_BYTES"), (setsketch, "ID_ROWS")):
+        monkeypatch.setattr(module, name, most)
+    rows = variants(random.Random(11), 40)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in NearDuplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).classes().collect()}
+    assert got == brute_classes(rows, 3, 85, 100)
+
+
+def test_common_pairs_are_formed_once(spark):
+    full = [(k, bytes([s]), 100, bytes([c]), 100) for k in (3, 5, 9) for s, c in ((1, 1), (2, 2), (3, 2))] + [(7, bytes([4]), 100, bytes([4]), 100), (9, bytes([4]), 100, bytes([4]), 100)]
+    df = spark.createDataFrame(full, "key long, sid binary, n long, comp binary, common long")
+    got = [(bytes(r["a"])[0], bytes(r["b"])[0]) for r in NearDuplicates(spark.createDataFrame([], "doc_id long, text string"))._common_pairs(df).collect()]
+    assert sorted(got) == [(1, 2), (1, 3), (1, 4), (2, 4), (3, 4)]
+
+
 def brute_hits(text, items, window):
     words = re.findall(ALNUMS, low(text))
     hit, names = [0] * len(words), set()

@@ -17,7 +17,8 @@ most the smaller number of their common ones, so either they share a rare shingl
 (at most `RARE` partners each) or both consist of common shingles almost entirely,
 which is what the hub has already gathered. No link is lost to either rule.
 Apart from rare shingles, joins have unique keys on one side, which lets Spark
-split a hot bucket or a hot hub.
+split a hot bucket or a hot hub. Few pairs, registers or sets are broadcast, beyond
+a bound they are joined: on small tables the shuffles cost more than the work.
 """
 
 from __future__ import annotations
@@ -30,12 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitframe.llm.blocks import NOT_SPACE, mix, shingle_sets, text_blocks, words_of
-from visitframe.llm.components import connected_components
+from visitframe.llm.components import star_forest
 from visitframe.scaling import broadcast_if_small
 from visitframe.session import stage
 
 _U = np.uint64
 ID_ROWS = 500_000  # candidate ids (one long each) that may be broadcast
+SMALL_ROWS = 50_000  # pairs, classes or set ids (short rows) that may be broadcast: then the wide side stays where it is
+REG_ROWS = 20_000  # register rows (some 300 bytes each) that may be broadcast
+SET_BYTES = 8 << 20  # bytes of shingle sets that may be broadcast
 RARE = 12
 
 
@@ -183,13 +187,18 @@ def _verify_task(num: int, den: int):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                xy = np.sort(np.concatenate([x, y]))
+                both = np.count_nonzero(xy[1:] == xy[:-1])
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
     return task
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid")))
+
+
 class NearDuplicates:
     """Classes of documents linked by `den * intersection >= num * union` of their k-word shingle sets.
 
@@ -212,20 +221,25 @@ class NearDuplicates:
 
     def _sets(self, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
         """(sid, members) of the wanted sets, from the texts again: their ids are broadcast if they are few, else joined."""
-        ids = stage(nodes.join(wanted, "sid", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "candidate-ids")
+        ids = stage(nodes.join(broadcast_if_small(wanted, SMALL_ROWS), "sid", "left_semi").select(F.col("first_id").alias("doc_id")), "candidate-ids")
         texts = self.docs.join(broadcast_if_small(ids, ID_ROWS), "doc_id", "left_semi")
         # rows with one id may differ in text: each set once
         return texts.mapInArrow(_set_task(self.k), "sid binary, members binary").groupBy("sid").agg(F.min("members").alias("members"))
 
     def confirm(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs (a, b) of set ids that are linked: estimate by likelihood, then count on full sets."""
+        pairs = stage(pairs, "pairs")
         regs = nodes.select("sid", "regs", F.col("n_shingles").alias("n"))
-        both = (pairs.join(regs.select(F.col("sid").alias("a"), F.col("regs").alias("regs_a"), F.col("n").alias("n_a")), "a")
+        ends = stage(_ends(pairs).distinct(), "ends")
+        if ends.count() <= REG_ROWS:
+            regs = F.broadcast(stage(regs.join(F.broadcast(ends), "sid", "left_semi"), "regs"))
+        both = (broadcast_if_small(pairs, SMALL_ROWS).join(regs.select(F.col("sid").alias("a"), F.col("regs").alias("regs_a"), F.col("n").alias("n_a")), "a")
                 .join(regs.select(F.col("sid").alias("b"), F.col("regs").alias("regs_b"), F.col("n").alias("n_b")), "b"))
         likely = stage(both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
                        .mapInArrow(_estimate_task(self.sketch, self.num / self.den - self.slack), "a binary, b binary"), "likely")
-        ends = likely.select(F.col("a").alias("sid")).union(likely.select(F.col("b").alias("sid"))).distinct()
-        sets = stage(self._sets(ends, nodes), "sets")
+        sets = stage(self._sets(_ends(likely), nodes), "sets")
+        if (sets.agg(F.sum(F.length("members"))).first()[0] or 0) <= SET_BYTES:
+            sets = F.broadcast(sets)
         both = (likely.join(sets.select(F.col("sid").alias("a"), F.col("members").alias("x")), "a")
                 .join(sets.select(F.col("sid").alias("b"), F.col("members").alias("y")), "b"))
         return stage(both.select("a", "b", "x", "y").mapInArrow(_verify_task(self.num, self.den), "a binary, b binary"), "links")
@@ -248,7 +262,7 @@ class NearDuplicates:
         and the members that can be linked without one, with `common`, the number of their shingles that are not rare."""
         known = stage(members.select("sid", "n", "comp").distinct(), "open-nodes")
         held = self._sets(known.select("sid"), nodes).mapInArrow(_explode_task, "sid binary, member long")
-        held = stage(held.join(known, "sid"), "open-members")
+        held = stage(held.join(broadcast_if_small(known, SMALL_ROWS), "sid"), "open-members")
         held = stage(held.join(held.groupBy("member").agg(F.count("*").alias("f")), "member"), "counted-members")
         rare = held.where(F.col("f") <= RARE)
         other = rare.where("f > 1").select("member", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
@@ -259,22 +273,27 @@ class NearDuplicates:
         full = members.join(own, "sid")
         return pairs, full.where(F.lit(self.den) * F.col("common") >= F.lit(self.num) * F.col("n"))
 
-    def _common_pairs(self, full: DataFrame, nodes: DataFrame) -> DataFrame:
+    def _common_pairs(self, full: DataFrame) -> DataFrame:
         """Pairs of different components that consist of common shingles enough to be linked by them.
 
         A pair that shares several buckets is formed in the first of them only.
         """
         num, den = F.lit(self.num), F.lit(self.den)
-        full = full.join(nodes.select("sid", "bands"), "sid")
-        other = full.select("key", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("common").alias("common_b"), F.col("bands").alias("bands_b"))
+        full = full.join(full.groupBy("sid").agg(F.array_sort(F.collect_set("key")).alias("keys")), "sid")
+        other = full.select("key", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("common").alias("common_b"), F.col("keys").alias("keys_b"))
         return (full.withColumnRenamed("sid", "a").join(other, "key")
                 .where((F.col("comp") < F.col("comp_b")) & self._fits("n", "n_b") & ((den + num) * F.least("common", "common_b") >= num * (F.col("n") + F.col("n_b")))
-                       & (F.array_intersect("bands", "bands_b")[0] == F.col("key")))
+                       & (F.array_intersect("keys", "keys_b")[0] == F.col("key")))
                 .select("a", "b"))
 
-    def _still_open(self, members: DataFrame, comps: DataFrame) -> DataFrame:
-        now = members.drop("comp").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        return stage(self._open(stage(now, "members")), "open")
+    @staticmethod
+    def _with_comp(rows: DataFrame, forest: DataFrame) -> DataFrame:
+        """Rows with `comp`, the smallest set id of their component; a set without links is its own."""
+        comps = forest.select(F.col("b").alias("sid"), F.col("a").alias("comp"))
+        return rows.join(broadcast_if_small(comps, SMALL_ROWS), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+
+    def _still_open(self, members: DataFrame, forest: DataFrame) -> DataFrame:
+        return stage(self._open(stage(self._with_comp(members.drop("comp"), forest), "members")), "open")
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept for every document."""
@@ -288,22 +307,19 @@ class NearDuplicates:
         degree = members.groupBy("sid").agg(F.sum("c").alias("degree"))
         members = stage(members.drop("c").join(degree, "sid"), "members")
 
-        links = self.confirm(self._stars(members, F.col("degree")), nodes)
-        comps = connected_components(links)
-        left = self._still_open(members, comps)
+        forest = star_forest(self.confirm(self._stars(members, F.col("degree")), nodes))
+        left = self._still_open(members, forest)
         if not left.isEmpty():
             pairs, full = self._rare(left, nodes)
             # the set with most common shingles and fewest others is the centre of its bucket: an original among edited copies
             full = stage(self._open(stage(full, "full")), "full-open")
             pairs = pairs.union(self._stars(full, F.struct("common", (-F.col("n")).alias("others")))).distinct()
-            links = stage(links.union(self.confirm(pairs, nodes)), "links")
-            comps = connected_components(links)
-            full = self._still_open(full, comps)
+            forest = star_forest(forest.union(self.confirm(pairs, nodes)))
+            full = self._still_open(full, forest)
             if not full.isEmpty():
-                links = stage(links.union(self.confirm(self._common_pairs(full, nodes), nodes)), "links")
-                comps = connected_components(links)
+                forest = star_forest(forest.union(self.confirm(self._common_pairs(full), nodes)))
         # a class is named by the smallest id of its documents
-        roots = nodes.select("sid", "first_id").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        roots = self._with_comp(nodes.select("sid", "first_id"), forest)
         names = roots.groupBy("comp").agg(F.min("first_id").alias("component_id"))
         names = stage(roots.select("sid", "comp").join(names, "comp").select("sid", "component_id"), "names")
         out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid")).join(names, "sid", "left")
